@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from credsieve import resources as R
 from credsieve.functions.clean import tokenize
-from credsieve.functions.common import literal_strings
+from credsieve.functions.common import let, literal_strings
 
 MIN_TOKEN = 7
 MAX_CANDIDATES = 20
@@ -36,6 +36,10 @@ def _aws_secret_lines(c: Column) -> Column:
 
 def key_candidates(c: Column, patterns=R.KEY_PATTERNS) -> Column:
     """Distinct matches of all key patterns in a text cleaned for keys."""
+    return let(c, lambda text: _key_matches(text, patterns))
+
+
+def _key_matches(c, patterns):
     parts = []
     for name, regex in patterns:
         matches = F.regexp_extract_all(c, F.lit("(?d)" + regex), F.lit(0))

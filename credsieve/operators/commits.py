@@ -4,29 +4,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from credsieve import schemas
+from credsieve.functions.common import let
 
 _KEYS = ["owner", "repo", "file_path"]
 
 
 def format_commits(status, body):
     """Reply of the commit history as compact JSON; ``{}`` unless the status is 200."""
-    commits = F.from_json(body, schemas.COMMIT_BODY)
-
     def text(c):
         return F.coalesce(c, F.lit(""))
 
-    rows = F.transform(
-        commits,
-        lambda c: F.struct(
-            text(c["sha"]).alias("commit_id"),
-            text(c["commit"]["author"]["email"]).alias("email"),
-            text(c["commit"]["author"]["name"]).alias("commiter_name"),
-            text(c["commit"]["author"]["date"]).alias("commit_date"),
-            text(c["author"]["login"]).alias("user_id"),
-        ),
-    )
-    reply = F.to_json(F.struct(status.alias("status"), rows.alias("commits")))
-    return F.when((status == 200) & commits.isNotNull(), reply).otherwise(F.lit("{}"))
+    def reply(commits):
+        rows = F.transform(
+            commits,
+            lambda c: F.struct(
+                text(c["sha"]).alias("commit_id"),
+                text(c["commit"]["author"]["email"]).alias("email"),
+                text(c["commit"]["author"]["name"]).alias("commiter_name"),
+                text(c["commit"]["author"]["date"]).alias("commit_date"),
+                text(c["author"]["login"]).alias("user_id"),
+            ),
+        )
+        return F.to_json(F.struct(status.alias("status"), rows.alias("commits")))
+
+    parsed = let(F.from_json(body, schemas.COMMIT_BODY), lambda c: F.when(c.isNotNull(), reply(c)))
+    return F.when(status == 200, F.coalesce(parsed, F.lit("{}"))).otherwise(F.lit("{}"))
 
 
 def attach_commits(df: DataFrame, commits: DataFrame) -> DataFrame:

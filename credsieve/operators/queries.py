@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credsieve.functions.common import compute_once, let, literal_strings
+from credsieve.functions.common import compute_once, let
 from credsieve.functions.score import occurrences
 from credsieve.functions.urls import url_extension, url_owner, url_repo
 from credsieve.resources import ANY_EXTENSION
@@ -51,18 +51,18 @@ def search_pairs(queries: DataFrame, extensions: DataFrame) -> DataFrame:
     return queries.crossJoin(extensions.select(F.col("type").alias("search_extension")))
 
 
-def shortest_terms(words) -> list:
-    """Words that hold no other word of the list.
+def word_families(words) -> dict:
+    """Words grouped under a shortest word of the list that they contain.
 
-    A text without any of these holds none of the words, which spares most
-    files the test of the whole list.
+    A text without the shortest word holds none of its family, which spares
+    most files the test of most words.
     """
-    low = sorted({w.lower() for w in words}, key=lambda w: (len(w), w))
-    kept = []
-    for word in low:
-        if not any(short in word for short in kept):
-            kept.append(word)
-    return kept
+    families = {}
+    for word in sorted(dict.fromkeys(words), key=lambda w: (len(w), w.lower())):
+        low = word.lower()
+        short = next((s for s in families if s in low), low)
+        families.setdefault(short, []).append(word)
+    return families
 
 
 def found_words(content, words):
@@ -74,17 +74,27 @@ def found_words(content, words):
     empty = F.array().cast("array<struct<kw:string,n:int>>")
     if not words:
         return empty
-    terms = F.array(
-        *[F.struct(F.lit(w).alias("kw"), F.lit(w.lower()).alias("low")) for w in words]
+    families = F.array(
+        *[
+            F.struct(
+                F.lit(short).alias("short"),
+                F.array(
+                    *[F.struct(F.lit(w).alias("kw"), F.lit(w.lower()).alias("low")) for w in family]
+                ).alias("words"),
+            )
+            for short, family in word_families(words).items()
+        ]
     )
-    shortest = literal_strings(shortest_terms(words))
 
     def search(low):
-        hits = F.transform(
-            F.filter(terms, lambda t: F.contains(low, t["low"])),
-            lambda t: F.struct(t["kw"].alias("kw"), occurrences(low, t["low"]).alias("n")),
-        )
-        return F.when(F.exists(shortest, lambda s: F.contains(low, s)), hits).otherwise(empty)
+        def members(family):
+            return F.transform(
+                F.filter(family["words"], lambda w: F.contains(low, w["low"])),
+                lambda w: F.struct(w["kw"].alias("kw"), occurrences(low, w["low"]).alias("n")),
+            )
+
+        present = F.filter(families, lambda f: F.contains(low, f["short"]))
+        return F.flatten(F.transform(present, members))
 
     return let(F.lower(content), search)
 

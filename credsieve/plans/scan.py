@@ -31,7 +31,7 @@ from credsieve.operators.weights import key_weight
 from credsieve.sources.lists import read_confidence
 
 CREDS, KEYS = "creds", "keys"
-PUBLIC, ENTERPRISE = "public", "enterprise"
+PUBLIC, ENTERPRISE, FILES = "public", "enterprise", "files"
 _LABELS = {CREDS: "Credential", KEYS: "Key & Token"}
 
 
@@ -147,6 +147,8 @@ def with_fetch_url(df: DataFrame, config: ScanConfig) -> DataFrame:
         fetch = urls.to_raw_url(html, config.site_host, config.raw_host)
         report = urls.to_blob_url(F.col("fetch_url"), config.site_host, config.raw_host)
         path = urls.raw_file_path(F.col("fetch_url"))
+    elif config.source == FILES:
+        return df.withColumns({"fetch_url": html, "URL": html})
     else:
         full_name = F.concat_ws("/", urls.url_owner(html), urls.url_repo(html))
         fetch = urls.to_contents_url(config.pre_url, full_name, urls.blob_file_path(html))
@@ -277,13 +279,11 @@ def detections(
         rows = ml_filter(rows.withColumn("Code", F.col("line")), model).drop("Code")
     if commits is not None:
         rows = attach_commits(rows, commits)
-    rows = stamp(rows, config.as_of).withColumns(
-        {
-            "Code": code_column(F.col("line"), F.col("secret"), config.unmask, config.compat_mask),
-            "Owner": F.col("owner"),
-            "Repo_Name": F.col("repo"),
-        }
+    rows = stamp(rows, config.as_of).withColumn(
+        "Code", code_column(F.col("line"), F.col("secret"), config.unmask, config.compat_mask)
     )
+    if config.source != FILES:
+        rows = rows.withColumns({"Owner": F.col("owner"), "Repo_Name": F.col("repo")})
     return rows.select(*_output_columns(config, commits is not None))
 
 
