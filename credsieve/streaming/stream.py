@@ -46,13 +46,15 @@ def scan_stream(
 
 def drop_seen_stream(rows: DataFrame, delay="1 day", event_time="indexed_at") -> DataFrame:
     """One row per fingerprint within the delay; the state is bounded by it."""
-    return rows.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["hashed_url"])
+    timed = rows.withColumn(event_time, F.col(event_time).cast("timestamp"))
+    return timed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["hashed_url"])
 
 
 def detections_per_window(
     rows: DataFrame, width="1 hour", delay="1 day", event_time="indexed_at"
 ) -> DataFrame:
     """Detections per time window, kind and owner, for a batch or a stream."""
+    rows = rows.withColumn(event_time, F.col(event_time).cast("timestamp"))
     if rows.isStreaming:
         rows = rows.withWatermark(event_time, delay)
     return (
