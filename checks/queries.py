@@ -130,14 +130,22 @@ def read_dictionary(spark, sf):
     return lists.read_dictionary(spark, _csv(spark, words, "dictionary"))
 
 
-def _ledger_rows(spark, sf):
-    files = X.code_files(spark, sf).where("file_id % 10 = 0")
+_LAST_RUN = "1998-01-01"
+
+
+def _ledger_rows(spark, sf, landed_before=None):
+    """Ledger of all files, or of a run that saw the files landed before a date."""
+    files = X.code_files(spark, sf)
+    if landed_before is not None:
+        files = files.where(F.col("indexed_at") < F.lit(landed_before).cast("timestamp"))
     pairs = query_ops.match_files(files, X.CORE_KEYWORDS).withColumn("kw", F.explode("found.kw"))
     return ledger.ledger_rows(scan.with_fingerprint(pairs, CONFIG))
 
 
 _LEDGER_SQL = f"""ledger_rows AS (SELECT DISTINCT md5(concat({O.CONTENTS_URL}, '"', kw, '"')) AS hashed_url, {O.CONTENTS_URL} AS url
-FROM files JOIN core ON contains(lower(content), kw) WHERE file_id % 10 = 0)"""
+FROM files JOIN core ON contains(lower(content), kw)),
+seen_rows AS (SELECT DISTINCT md5(concat({O.CONTENTS_URL}, '"', kw, '"')) AS hashed_url
+FROM files JOIN core ON contains(lower(content), kw) WHERE indexed_at < TIMESTAMP '{_LAST_RUN}')"""
 _LEDGER_CTES = f"{O.FILES}, {O.words_cte(X.CORE_KEYWORDS, 'core0')}, core AS (SELECT kw FROM core0), {_LEDGER_SQL}"
 
 
@@ -282,7 +290,7 @@ FROM region CROSS JOIN (SELECT DISTINCT c_name FROM customer)"""
 )
 def public_queries(spark, sf):
     return query_ops.public_queries(
-        X.table(spark, sf, "region").select(F.col("r_name").alias("keyword")),
+        lists.list_values(X.table(spark, sf, "region").select("r_name")),
         X.table(spark, sf, "customer").select(F.col("c_name").alias("keyword")).distinct(),
     )
 
@@ -307,7 +315,7 @@ FROM supplier CROSS JOIN nation"""
 )
 def search_pairs(spark, sf):
     words = X.table(spark, sf, "supplier").select(F.col("s_name").alias("keyword"))
-    types = X.table(spark, sf, "nation").select(F.col("n_name").alias("type"))
+    types = lists.list_values(X.table(spark, sf, "nation").select("n_name"))
     return query_ops.search_pairs(query_ops.enterprise_queries(words), types)
 
 
@@ -428,48 +436,54 @@ def fingerprint(spark, sf):
 
 
 @query(
-    f"WITH {_LEDGER_CTES}, {_PAIRS} SELECT file_id, kw FROM pairs WHERE hashed_url NOT IN (SELECT hashed_url FROM ledger_rows)"
+    f"WITH {_LEDGER_CTES}, {_PAIRS} SELECT file_id, kw FROM pairs WHERE hashed_url NOT IN (SELECT hashed_url FROM seen_rows)"
 )
 def drop_seen(spark, sf):
-    seen = _ledger_rows(spark, sf)
+    seen = _ledger_rows(spark, sf, _LAST_RUN)
     return ledger.drop_seen(_core_pairs(spark, sf), seen).select("file_id", "kw")
 
 
 @query(
     f"""WITH {_LEDGER_CTES}, {_PAIRS} SELECT DISTINCT hashed_url, url FROM pairs
-WHERE hashed_url NOT IN (SELECT hashed_url FROM ledger_rows)"""
+WHERE hashed_url NOT IN (SELECT hashed_url FROM seen_rows)"""
 )
 def ledger_rows(spark, sf):
-    return ledger.ledger_rows(_core_pairs(spark, sf), _ledger_rows(spark, sf))
+    return ledger.ledger_rows(_core_pairs(spark, sf), _ledger_rows(spark, sf, _LAST_RUN))
 
 
-@query("SELECT c_name AS path FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 2 = 0")
+@query(
+    """SELECT c_name AS path FROM customer
+WHERE NOT (c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_nationkey < 12)"""
+)
 def drop_seen_files(spark, sf):
-    """Every third file is known; every second of all files changed since."""
+    """Files of two segments are known; those of the later nations changed since."""
     customers = X.table(spark, sf, "customer")
-    known = customers.where("c_custkey % 3 = 0").select(
+    known = customers.where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).select(
         F.col("c_name").alias("path"), F.col("c_custkey").alias("modified_ms")
     )
+    changed = (F.col("c_nationkey") >= 12).cast("bigint")
     now = customers.select(
-        F.col("c_name").alias("path"),
-        (F.col("c_custkey") + F.when(F.col("c_custkey") % 2 == 0, 1).otherwise(0)).alias("modified_ms"),
+        F.col("c_name").alias("path"), (F.col("c_custkey") + changed).alias("modified_ms")
     )
     return ledger.drop_seen_files(now, ledger.file_ledger_rows(known)).select("path")
 
 
 @query(
-    f"""WITH {O.FILES}, {O.hits_ctes('creds', X.CORE_KEYWORDS)}, {O.score_ctes(False)},
-masked AS (SELECT kw, concat({O.OWNER}, '/', {O.REPO}) AS repo, ext, substr({O.mask('line', 'secret')}, 1, 12) AS code,
-  round(weight + entropy + count_score + dict_score, 6) AS score FROM found)
-SELECT kw AS Second_Key, ext AS Extension, repo AS URL, code AS Code, max(score) AS Score FROM masked GROUP BY ALL"""
+    f"""WITH {O.FILES}, {O.hits_ctes('creds', X.CORE_KEYWORDS)}, {O.CONFIDENCE}, {O.DICTIONARY}, {O.match_rows('hits')},
+sums AS (SELECT html_url, kw, ext, {O.mask('line', 'secret')} AS code,
+  coalesce(k.value, 0) + coalesce(e.value, 0) + entropy + log2(50) / (log2(n + 1) + 1)
+  + log2(100) / (log2(unnest([0.0, match]) + 1) + 1) AS score
+  FROM hits JOIN matches USING (secret) LEFT JOIN conf k ON k.key = kw LEFT JOIN conf e ON e.key = ext)
+SELECT kw AS Second_Key, ext AS Extension, html_url AS URL, code AS Code, round(max(score), 6) AS Score FROM sums GROUP BY ALL"""
 )
 def unique_detections(spark, sf):
+    """Two runs, with and without dictionary, report the same lines."""
     config = replace(CONFIG, keywords=X.CORE_KEYWORDS)
-    found = scan.scan_creds(X.code_files(spark, sf), config)
-    coarse = found.withColumns(
-        {"URL": F.concat_ws("/", "Owner", "Repo_Name"), "Code": F.substring("Code", 1, 12)}
+    files = X.code_files(spark, sf)
+    twice = scan.scan_creds(files, config).unionByName(
+        scan.scan_creds(files, config, ngrams=X.ngram_table(spark, sf))
     )
-    unique = ledger.unique_detections(coarse)
+    unique = ledger.unique_detections(twice)
     return rounded(unique.select("Second_Key", "Extension", "URL", "Code", "Score"))
 
 
@@ -881,12 +895,12 @@ def scan_keys_documents(spark, sf):
 @query(
     f"""WITH {_LEDGER_CTES}, {O.hits_ctes('creds', X.CORE_KEYWORDS)}
 SELECT html_url AS URL, kw AS Second_Key, {O.mask('line', 'secret')} AS Code FROM hits
-WHERE md5(concat({O.CONTENTS_URL}, '"', kw, '"')) NOT IN (SELECT hashed_url FROM ledger_rows)"""
+WHERE md5(concat({O.CONTENTS_URL}, '"', kw, '"')) NOT IN (SELECT hashed_url FROM seen_rows)"""
 )
 def scan_creds_new_files(spark, sf):
     """Incremental scan against the ledger."""
     config = replace(CONFIG, keywords=X.CORE_KEYWORDS, columns=("URL", "Second_Key", "Code"))
-    seen = _ledger_rows(spark, sf)
+    seen = _ledger_rows(spark, sf, _LAST_RUN)
     return scan.scan_creds(X.code_files(spark, sf), config, ledger=seen, ngrams=X.ngram_table(spark, sf))
 
 
@@ -1100,18 +1114,13 @@ def evaluate(spark, sf):
 
 
 _REVIEWED = f"""{O.training('creds', X.CORE_KEYWORDS)},
-review AS (SELECT secret, line, 0 AS label FROM hits WHERE file_id % 3 = 0)"""
+review AS (SELECT secret, line, 0 AS label FROM hits WHERE ext = 'txt')"""
 
 
 def _reviewed_training(spark, sf):
-    """Training rows; those of every third file are labelled 0."""
+    """Training rows; reviewers marked what stands in text files as false."""
     rows = _collected(spark, sf, "creds", False)
-    config = replace(
-        CONFIG, keywords=X.CORE_KEYWORDS, unmask=True, case_sensitive=True, keep_secret=True,
-        columns=("Secret", "Code"),
-    )
-    third = X.code_files(spark, sf).where("file_id % 3 = 0")
-    review = scan.scan_creds(third, config).withColumn("Label", F.lit(0))
+    review = rows.where("Extension = 'txt'").select("Secret", "Code", F.lit(0).alias("Label"))
     return features.apply_labels(rows, review)
 
 

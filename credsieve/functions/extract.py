@@ -42,7 +42,8 @@ def key_candidates(c: Column, patterns=R.KEY_PATTERNS) -> Column:
 def _key_matches(c, patterns):
     parts = []
     for name, regex in patterns:
-        matches = F.regexp_extract_all(c, F.lit("(?d)" + regex), F.lit(0))
+        regex = "(?d)" + R.PATTERN_RUN_STARTS.get(name, "") + regex
+        matches = F.regexp_extract_all(c, F.lit(regex), F.lit(0))
         needle = R.PATTERN_NEEDLES.get(name)
         if needle is not None:
             matches = F.when(F.contains(c, F.lit(needle)), matches).otherwise(

@@ -57,14 +57,11 @@ def drop_id_columns(df: DataFrame, source: str) -> DataFrame:
     return df.drop(*ID_COLUMNS[source])
 
 
-def categories(df: DataFrame, column: str) -> list:
-    """Sorted distinct values of a category column (keywords, extensions)."""
-    rows = df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column)
-    return [row[0] for row in rows.collect()]
-
-
 def one_hot(df: DataFrame, values: dict) -> DataFrame:
-    """Replace category columns by 0/1 columns ``<column>_<value>``."""
+    """Replace category columns by 0/1 columns ``<column>_<value>``.
+
+    ``values`` names the categories per column, as the configured lists do.
+    """
     plain = [F.col(c) for c in df.columns if c not in values]
     dummies = [
         F.coalesce((F.col(column) == F.lit(v)).cast("int"), F.lit(0)).alias(f"{column}_{v}")

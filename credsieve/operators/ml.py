@@ -2,28 +2,51 @@
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from credsieve import resources as R
 from credsieve.operators.features import CATEGORICAL, NUMERIC, with_features
 
 TREES = 500
 DEPTH = 3
 
 
-def pipeline(trees=TREES, depth=DEPTH, seed=123) -> Pipeline:
-    """Category encoding (unseen values allowed), assembly and forest."""
+def known_words():
+    """Default categories: all keywords and extensions of the default lists."""
+    keywords = dict.fromkeys(R.SECONDARY_CREDS + R.SECONDARY_KEYS)
+    return list(keywords), list(dict.fromkeys(R.EXTENSIONS))
+
+
+def categories_in(training: DataFrame, keywords=None, extensions=None) -> list:
+    """The configured keywords and extensions that the training rows hold.
+
+    Only configured words are asked for: the text behind the last dot of a URL
+    can be anything, and a list of all such texts would pass through the
+    driver. Other values share one category.
+    """
+    configured = zip(CATEGORICAL, (keywords, extensions), known_words())
+    present = []
+    for column, own, default in configured:
+        words = list(own or default)
+        rows = training.where(F.col(column).isin(words)).select(column).distinct().collect()
+        met = {row[0] for row in rows}
+        present.append([w for w in words if w in met] or words[:1])
+    return present
+
+
+def pipeline(labels, trees=TREES, depth=DEPTH, seed=123) -> Pipeline:
+    """Category encoding by the given labels, assembly and forest."""
     indexed = [f"{c}_index" for c in CATEGORICAL]
     dummies = [f"{c}_dummies" for c in CATEGORICAL]
+    indexers = [
+        StringIndexerModel.from_labels(values, column, index, handleInvalid="keep")
+        for values, column, index in zip(labels, CATEGORICAL, indexed)
+    ]
     return Pipeline(
         stages=[
-            StringIndexer(
-                inputCols=CATEGORICAL,
-                outputCols=indexed,
-                handleInvalid="keep",
-                stringOrderType="alphabetAsc",
-            ),
+            *indexers,
             OneHotEncoder(
                 inputCols=indexed, outputCols=dummies, dropLast=False, handleInvalid="keep"
             ),
@@ -35,11 +58,12 @@ def pipeline(trees=TREES, depth=DEPTH, seed=123) -> Pipeline:
     )
 
 
-def train(training: DataFrame, trees=TREES, depth=DEPTH, seed=123) -> PipelineModel:
+def train(training: DataFrame, trees=TREES, depth=DEPTH, seed=123, **categories) -> PipelineModel:
     """Fit on labelled training rows with features; two rows are the minimum."""
     if training.limit(2).count() < 2:
         raise ValueError("training needs at least two rows")
-    return pipeline(trees, depth, seed).fit(training)
+    labels = categories_in(training, **categories)
+    return pipeline(labels, trees, depth, seed).fit(training)
 
 
 def predict(df: DataFrame, model: PipelineModel) -> DataFrame:

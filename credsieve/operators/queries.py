@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credsieve.functions.common import compute_once, let
+from credsieve.functions.common import compute_once, let, literal_strings
 from credsieve.functions.score import occurrences
 from credsieve.functions.urls import url_extension, url_owner, url_repo
 from credsieve.resources import ANY_EXTENSION
@@ -19,18 +19,18 @@ def enterprise_query(secondary):
     return F.concat(F.lit('"'), secondary, F.lit('"'))
 
 
-def public_queries(primary: DataFrame, secondary: DataFrame) -> DataFrame:
+def public_queries(primary, secondary: DataFrame) -> DataFrame:
     """Every primary with every secondary keyword; blank primaries are skipped.
 
-    Both inputs are configuration lists. Without any primary keyword the
-    secondary keywords stand alone.
+    ``primary`` is a list of words. Without any the secondary keywords stand alone.
     """
-    primary = primary.where(F.trim("keyword") != "").select(F.col("keyword").alias("primary"))
-    secondary = secondary.select(F.col("keyword").alias("secondary"))
-    if primary.isEmpty():
-        pairs = secondary.withColumn("primary", F.lit(None).cast("string"))
-    else:
-        pairs = secondary.crossJoin(primary)
+    words = [p for p in primary if p and p.strip()]
+    pairs = secondary.select(
+        F.col("keyword").alias("secondary"),
+        F.explode(literal_strings(words) if words else F.array(F.lit(None).cast("string"))).alias(
+            "primary"
+        ),
+    )
     return pairs.select(
         "primary", "secondary", public_query(F.col("primary"), F.col("secondary")).alias("query")
     )
@@ -46,9 +46,9 @@ def keyword_queries(custom: DataFrame) -> DataFrame:
     return enterprise_queries(custom)
 
 
-def search_pairs(queries: DataFrame, extensions: DataFrame) -> DataFrame:
-    """Every extension with every query (both are configuration lists)."""
-    return queries.crossJoin(extensions.select(F.col("type").alias("search_extension")))
+def search_pairs(queries: DataFrame, extensions) -> DataFrame:
+    """Every extension (a list) with every query."""
+    return queries.withColumn("search_extension", F.explode(literal_strings(extensions)))
 
 
 def word_families(words) -> dict:

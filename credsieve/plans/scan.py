@@ -15,7 +15,7 @@ from credsieve import resources as R
 from credsieve import schemas
 from credsieve.functions import clean, extract, urls
 from credsieve.functions.common import compute_once, let
-from credsieve.functions.context import file_hits
+from credsieve.functions.context import file_hits, line_short
 from credsieve.functions.mask import code_column
 from credsieve.functions.score import (
     MIN_ENTROPY,
@@ -85,9 +85,9 @@ def candidates(links_stripped, config: ScanConfig):
 
 
 def _strong(secrets):
-    """Candidates with their entropy, weak ones dropped."""
+    """Candidates with their entropy; weak ones and those no short line can hold dropped."""
     scored = F.transform(
-        secrets, lambda s: F.struct(s.alias("secret"), shannon_entropy(s).alias("entropy"))
+        F.filter(secrets, line_short), lambda s: F.struct(s.alias("secret"), shannon_entropy(s).alias("entropy"))
     )
     return F.filter(scored, lambda s: s["entropy"] > MIN_ENTROPY)
 

@@ -378,6 +378,12 @@ PATTERN_NEEDLES = {
     "Slack Webhook": "/B",
 }
 
+# A pattern that begins with a run of characters is only tried where the run
+# begins (or the last match ended): the same matches in linear time.
+PATTERN_RUN_STARTS = {
+    "Google YouTube OAuth ID Gmail, GCloud": r"(?:\G|(?<![0-9]))",
+}
+
 # The names that announce an AWS secret on the same line, and
 # the characters of the 40 character secret.
 AWS_SECRET_NAMES = ("awsSecretKey", "aws_secret", "api-key", "aws_account_secret")

@@ -9,6 +9,8 @@ from pyspark.sql import types as T
 from credsieve import resources as R
 from credsieve import schemas
 
+MAX_LIST = 100_000
+
 KEYWORD_DEFAULTS = {
     "primary": (),
     "creds": R.SECONDARY_CREDS,
@@ -100,8 +102,15 @@ def read_confidence(spark, path=None) -> DataFrame:
 
 
 def list_values(df: DataFrame) -> list:
-    """Values of a configuration list (keywords, extensions, stop words)."""
-    return [row[0] for row in df.collect()]
+    """Values of a configuration list (keywords, extensions, stop words).
+
+    Lists become constants of the plan, so one of more than ``MAX_LIST`` rows
+    is refused.
+    """
+    rows = df.limit(MAX_LIST + 1).collect()
+    if len(rows) > MAX_LIST:
+        raise ValueError(f"a configuration list may have at most {MAX_LIST} rows")
+    return [row[0] for row in rows]
 
 
 def _read_table(spark, path, schema, fmt) -> DataFrame:
