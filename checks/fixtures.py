@@ -6,6 +6,7 @@
 import os
 import tempfile
 
+from credsieve.functions.common import compute_once
 from credsieve.operators.dictionary import build_ngram_table, dictionary_words
 from credsieve.operators.partitioning import fill_cores
 from credsieve.scratch import CHECKPOINT_CONF, written
@@ -56,10 +57,18 @@ def code_files(spark, sf_dir):
 
 
 def code_files_of(orders):
-    """The corpus of a batch or stream of ``orders`` rows."""
-    return orders.sparkSession.sql(
+    """The corpus of a batch or stream of ``orders`` rows.
+
+    The columns are derived once; filters of the scans do not derive them again.
+    """
+    files = orders.sparkSession.sql(
         CODE_FILES.replace("FROM orders)", "FROM {orders})"), orders=orders
     )
+    return compute_once(files, [], **{c: files[c] for c in files.columns})
+
+
+def documents(spark, sf_dir, *columns):
+    return fill_cores(table(spark, sf_dir, "documents").select("doc_id", *columns), "doc_id")
 
 
 DOCUMENT_FILES = """
@@ -73,10 +82,9 @@ FROM documents
 
 def document_files(spark, sf_dir):
     """Natural texts as files."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     return spark.sql(
         DOCUMENT_FILES.replace("FROM documents", "FROM {documents}"),
-        documents=fill_cores(documents, "doc_id"),
+        documents=documents(spark, sf_dir, "source", "lang", "text"),
     )
 
 
@@ -103,6 +111,11 @@ def commits_raw(spark, sf_dir):
     )
 
 
+def stored_words(spark, sf_dir):
+    """Dictionary: the words of ``documents``."""
+    return written(dictionary_words(documents(spark, sf_dir, "text")), "words")
+
+
 _ngram_paths: dict = {}
 
 
@@ -111,7 +124,5 @@ def ngram_table(spark, sf_dir):
     ensure_scratch(spark)
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
     if key not in _ngram_paths:
-        documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-        words = dictionary_words(fill_cores(documents, "doc_id"))
-        _ngram_paths[key] = written(build_ngram_table(words), "ngrams")
+        _ngram_paths[key] = written(build_ngram_table(stored_words(spark, sf_dir)), "ngrams")
     return _ngram_paths[key]

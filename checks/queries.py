@@ -19,6 +19,7 @@ from credsieve.operators import (
     queries as query_ops,
     weights,
 )
+from credsieve.operators.partitioning import fill_cores
 from credsieve.plans import file_scan, job, keyword_search, scan
 from credsieve.scratch import new_path, written
 from credsieve.sinks import tables
@@ -64,11 +65,11 @@ def texts(spark, sf):
     code = X.code_files(spark, sf).select(
         F.concat(F.lit("c"), F.col("file_id").cast("string")).alias("id"), "content"
     )
-    docs = X.table(spark, sf, "documents").select(
+    docs = X.documents(spark, sf, "text").select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"),
         F.col("text").alias("content"),
     )
-    pages = X.table(spark, sf, "pages").select(
+    pages = fill_cores(X.table(spark, sf, "pages").select("page_id", "html"), "page_id").select(
         F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"),
         F.col("html").alias("content"),
     )
@@ -126,7 +127,7 @@ def read_stop_words(spark, sf):
 
 @query(f"WITH {O.DICTIONARY} SELECT w AS dic_word FROM words")
 def read_dictionary(spark, sf):
-    words = dictionary.dictionary_words(X.table(spark, sf, "documents"))
+    words = dictionary.dictionary_words(X.documents(spark, sf, "text"))
     return lists.read_dictionary(spark, _csv(spark, words, "dictionary"))
 
 
@@ -639,8 +640,7 @@ def entropy_gate(spark, sf):
 
 @query(f"WITH {O.DICTIONARY} SELECT ngram, total, doc_freq, round(log_total, 6) AS log_total FROM ngrams")
 def build_ngram_table(spark, sf):
-    words = dictionary.dictionary_words(X.table(spark, sf, "documents"))
-    return dictionary.build_ngram_table(words).withColumn("log_total", F.round("log_total", 6))
+    return dictionary.build_ngram_table(X.stored_words(spark, sf)).withColumn("log_total", F.round("log_total", 6))
 
 
 _MATCH_SQL = f"WITH {_CREDS_OF_TEXTS}, {O.DICTIONARY}, {O.match_rows('tokens')}"

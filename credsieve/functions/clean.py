@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from credsieve import resources as R
+from credsieve.functions.common import let
 
 MAX_URLS = 30
 MIN_LINES = 3
@@ -33,12 +34,17 @@ def bare_url_pattern(tlds=R.TLDS) -> str:
     )
 
 
+def _where_it_holds(c: Column, mark: str, change) -> Column:
+    """``change(c)`` for texts with ``mark``, which every match holds; others as they are."""
+    return let(c, lambda t: F.when(F.contains(t, F.lit(mark)), change(t)).otherwise(t))
+
+
 def strip_urls(c: Column) -> Column:
-    return F.regexp_replace(c, URL, " ")
+    return _where_it_holds(c, "://", lambda t: F.regexp_replace(t, URL, " "))
 
 
 def strip_emails(c: Column) -> Column:
-    return F.regexp_replace(c, _EMAIL_LINEAR, " ")
+    return _where_it_holds(c, "@", lambda t: F.regexp_replace(t, _EMAIL_LINEAR, " "))
 
 
 def strip_bare_urls(c: Column, tlds=R.TLDS) -> Column:
@@ -73,11 +79,18 @@ def tokenize(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(r"(?U)[^\s\x1c-\x1f]+"), F.lit(0))
 
 
+def scheme_url_count(content: Column) -> Column:
+    count = F.regexp_count(content, F.lit(URL))
+    return F.when(F.contains(content, F.lit("://")), count).otherwise(F.lit(0))
+
+
+def bare_url_count(links_stripped: Column, tlds=R.TLDS) -> Column:
+    return F.regexp_count(links_stripped, F.lit(bare_url_pattern(tlds)))
+
+
 def url_count(content: Column, links_stripped: Column, tlds=R.TLDS) -> Column:
     """URLs in a file: those with a scheme, plus bare ones in the stripped text."""
-    return F.regexp_count(content, F.lit(URL)) + F.regexp_count(
-        links_stripped, F.lit(bare_url_pattern(tlds))
-    )
+    return scheme_url_count(content) + bare_url_count(links_stripped, tlds)
 
 
 def few_urls(content: Column, links_stripped: Column, tlds=R.TLDS) -> Column:

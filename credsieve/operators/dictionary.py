@@ -24,6 +24,7 @@ def dictionary_words(documents: DataFrame, text="text") -> DataFrame:
 def build_ngram_table(words: DataFrame) -> DataFrame:
     """Total occurrences of each 3, 4 and 5 character piece over the words.
 
+    ``words`` should be a stored table, as its rows are counted as well.
     Pieces found in fewer than 1e-5 of the words are dropped. One aggregation
     with map-side combine: a word counts for the document frequency at the
     first place the piece stands in it.
@@ -31,12 +32,14 @@ def build_ngram_table(words: DataFrame) -> DataFrame:
     total_words = words.select(F.count("*")).scalar()
 
     def marked(grams):
-        return F.transform(
+        once = F.transform(grams, lambda g: F.struct(g.alias("ngram"), F.lit(1).alias("first")))
+        some_twice = F.transform(
             grams,
             lambda g, i: F.struct(
                 g.alias("ngram"), (F.array_position(grams, g) == i + 1).cast("int").alias("first")
             ),
         )
+        return F.when(F.size(F.array_distinct(grams)) == F.size(grams), once).otherwise(some_twice)
 
     pieces = words.select(F.explode(let(char_ngrams(F.col("dic_word")), marked)).alias("p"))
     return (

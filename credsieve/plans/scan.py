@@ -76,12 +76,17 @@ class ScanConfig:
         return f"{self.source_prefix}_{self.source.capitalize()}_{_LABELS[self.kind]}"
 
 
-def candidates(links_stripped, config: ScanConfig):
-    """Candidate secrets of a text without URLs and e-mails."""
+def candidates(links_stripped, bare_urls, config: ScanConfig):
+    """Candidate secrets of a text without URLs and e-mails.
+
+    ``bare_urls`` is the number of scheme-less URLs left in it.
+    """
     if config.kind == KEYS:
         return extract.key_candidates(clean.blank_key_noise(links_stripped), config.patterns)
-    text = clean.blank_cred_noise(clean.strip_bare_urls(links_stripped, config.tlds))
-    return extract.cred_candidates(text, config.stop_words)
+    text = F.when(
+        bare_urls > 0, clean.strip_bare_urls(links_stripped, config.tlds)
+    ).otherwise(links_stripped)
+    return extract.cred_candidates(clean.blank_cred_noise(text), config.stop_words)
 
 
 def _strong(secrets):
@@ -96,15 +101,19 @@ def _gated(content, extension, config, body):
     """``body(candidates)`` for files that pass the file gates, else null."""
     cheap = clean.not_markdown(extension) & clean.long_enough(content)
 
-    def with_links_stripped(text):
+    def with_bare_urls(text, bare):
         return F.when(
-            clean.few_urls(content, text, config.tlds),
+            clean.scheme_url_count(content) + bare <= clean.MAX_URLS,
             let(
-                candidates(text, config),
+                candidates(text, bare, config),
                 lambda found: F.when(extract.candidate_count_ok(found), body(found)),
             ),
         )
 
+    def with_links_stripped(text):
+        bare = clean.bare_url_count(text, config.tlds)
+        return let(bare, lambda n: with_bare_urls(text, n))
+
     return F.when(cheap, let(clean.strip_links(content), with_links_stripped))
 
 
