@@ -20,8 +20,9 @@ MIN_LINES = 3
 URL = r"https?://[!$-_a-z]+"
 EMAIL = r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+"
 
+_LOCAL, _HOST = R.ALNUM + r"_.+\-", R.ALNUM + r".\-"
 _EMAIL_LINEAR = (
-    r"(?:\G|(?<![a-zA-Z0-9_.+-]))[a-zA-Z0-9_.+-]++@[a-zA-Z0-9-]++\.[a-zA-Z0-9-.]+"
+    rf"(?:(?<![{_LOCAL}])|\G)[{_LOCAL}]++@[{R.ALNUM}\-]++\.[{_HOST}]+"
 )
 
 
@@ -29,7 +30,7 @@ def bare_url_pattern(tlds=R.TLDS) -> str:
     """URL without a scheme: dotted word ending in a known domain, and its path."""
     names = "|".join(re.escape(t) for t in tlds)
     return (
-        r"(?:\G|(?<![A-Za-z0-9.-]))[A-Za-z0-9.-]*[A-Za-z0-9]\."
+        rf"(?:(?<![{_HOST}])|\G)[{_HOST}]*[{R.ALNUM}]\."
         rf"(?i:{names})(?![A-Za-z0-9_])(?:[/:?#][!$-_a-z]*)?"
     )
 
@@ -43,22 +44,53 @@ def strip_urls(c: Column) -> Column:
     return _where_it_holds(c, "://", lambda t: F.regexp_replace(t, URL, " "))
 
 
+def _change_lines(text: Column, holds, change) -> Column:
+    """Change the lines that pass a test, for patterns that stay within a line."""
+    changed = F.transform(
+        F.split(text, "\n", -1), lambda l: F.when(holds(l), change(l)).otherwise(l)
+    )
+    return F.array_join(changed, "\n")
+
+
 def strip_emails(c: Column) -> Column:
-    return _where_it_holds(c, "@", lambda t: F.regexp_replace(t, _EMAIL_LINEAR, " "))
+    return _where_it_holds(
+        c,
+        "@",
+        lambda text: _change_lines(
+            text,
+            lambda line: F.contains(line, F.lit("@")),
+            lambda line: F.regexp_replace(line, _EMAIL_LINEAR, " "),
+        ),
+    )
+
+
+def holds_domain(c: Column, tlds=R.TLDS) -> Column:
+    """Quick test that every text with a bare URL passes: a dot and a known domain."""
+    names = "|".join(re.escape(t) for t in tlds)
+    return c.rlike(rf"\.(?<=[A-Za-z0-9]\.)(?i:{names})(?![A-Za-z0-9_])")
 
 
 def strip_bare_urls(c: Column, tlds=R.TLDS) -> Column:
     """Blank scheme-less URLs; expects a text without URLs and e-mails."""
-    return F.regexp_replace(c, bare_url_pattern(tlds), " ")
+    pattern = bare_url_pattern(tlds)
+    return _change_lines(
+        c,
+        lambda line: holds_domain(line, tlds),
+        lambda line: F.regexp_replace(line, pattern, " "),
+    )
+
+
+def char_class(chars: str) -> str:
+    """The characters of a regex class, escaped where they have a meaning there."""
+    return re.sub(r"([\[\]\\^&-])", r"\\\1", chars)
 
 
 def blank_key_noise(c: Column) -> Column:
-    blanks = " " * len(R.KEY_NOISE)
-    return F.replace(F.translate(c, R.KEY_NOISE, blanks), F.lit(R.KEY_NOISE_PAIR), F.lit(" "))
+    return F.regexp_replace(c, f"[{char_class(R.KEY_NOISE)}]|{R.KEY_NOISE_PAIR}", " ")
 
 
 def blank_cred_noise(c: Column) -> Column:
-    return F.translate(c, R.CRED_NOISE, " " * len(R.CRED_NOISE))
+    return F.regexp_replace(c, f"[{char_class(R.CRED_NOISE)}]", " ")
 
 
 def strip_links(c: Column) -> Column:
@@ -85,7 +117,14 @@ def scheme_url_count(content: Column) -> Column:
 
 
 def bare_url_count(links_stripped: Column, tlds=R.TLDS) -> Column:
-    return F.regexp_count(links_stripped, F.lit(bare_url_pattern(tlds)))
+    def count(text):
+        lines = F.filter(F.split(text, "\n", -1), lambda line: holds_domain(line, tlds))
+        return F.regexp_count(F.array_join(lines, "\n"), F.lit(bare_url_pattern(tlds)))
+
+    return let(
+        links_stripped,
+        lambda text: F.when(holds_domain(text, tlds), count(text)).otherwise(F.lit(0)),
+    )
 
 
 def url_count(content: Column, links_stripped: Column, tlds=R.TLDS) -> Column:

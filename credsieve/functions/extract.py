@@ -4,7 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from credsieve import resources as R
-from credsieve.functions.clean import tokenize
+from credsieve.functions.clean import char_class, tokenize
 from credsieve.functions.common import let, literal_strings
 
 MIN_TOKEN = 7
@@ -12,6 +12,14 @@ MAX_CANDIDATES = 20
 
 _NO_STRINGS = "array<string>"
 
+# Whitespace of the Latin-1 range, written out for speed; and the rest.
+_SPACE = r"\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0"
+_RARE_SPACE = r"\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def _can_stand_in_clean_text(literal) -> bool:
+    return not any(c in literal for c in (*R.KEY_NOISE, R.KEY_NOISE_PAIR))
+
 
 def _aws_secret_lines(c: Column) -> Column:
     """Per line: text up to the last 40 character block after an AWS secret name.
@@ -20,7 +28,8 @@ def _aws_secret_lines(c: Column) -> Column:
     stand in it or behind it. Cutting the line behind its last upper-case
     letter first keeps the look for the block linear.
     """
-    names = "|".join(R.AWS_SECRET_NAMES)
+    present = [n for n in R.AWS_SECRET_NAMES if _can_stand_in_clean_text(n)]
+    names = "|".join(present)
     block = rf"(?<![{R.AWS_SECRET_CHARS}])[{R.AWS_SECRET_CHARS}]{{40}}(?![{R.AWS_SECRET_CHARS}])"
     up_to_upper = r"(?d)^.*[A-Z][0-9a-z/+=]*"
     head = rf"(?d)^(?>.*?(?:{names})).*{block}"
@@ -29,28 +38,45 @@ def _aws_secret_lines(c: Column) -> Column:
         lines, lambda l: F.regexp_extract(F.regexp_extract(l, up_to_upper, 0), head, 0)
     )
     named = F.lit(False)
-    for name in R.AWS_SECRET_NAMES:
+    for name in present:
         named = named | F.contains(c, F.lit(name))
     return F.when(named, found).otherwise(F.array().cast(_NO_STRINGS))
 
 
 def key_candidates(c: Column, patterns=R.KEY_PATTERNS) -> Column:
-    """Distinct matches of all key patterns in a text cleaned for keys."""
-    return let(c, lambda text: _key_matches(text, patterns))
+    """Distinct matches of all key patterns in a text cleaned for keys.
+
+    Long runs of key characters are cut out once; the patterns made of such
+    characters are matched against those few runs.
+    """
 
+    def matches(text):
+        run = f"(?<![{R.RUN_CHARS}])[{R.RUN_CHARS}]{{{R.RUN_LENGTH},}}"
+        runs = F.array_join(F.regexp_extract_all(text, F.lit(run), F.lit(0)), " ")
+        return let(runs, lambda r: _key_matches(text, r, patterns))
 
-def _key_matches(c, patterns):
-    parts = []
+    return let(c, matches)
+
+
+def _key_matches(text, runs, patterns):
+    parts, guarded = [], {}
     for name, regex in patterns:
-        regex = "(?d)" + R.PATTERN_RUN_STARTS.get(name, "") + regex
-        matches = F.regexp_extract_all(c, F.lit(regex), F.lit(0))
-        needle = R.PATTERN_NEEDLES.get(name)
-        if needle is not None:
-            matches = F.when(F.contains(c, F.lit(needle)), matches).otherwise(
+        java = F.lit("(?d)" + R.PATTERN_RUN_STARTS.get(name, "") + regex)
+        known = (name, regex) in R.KEY_PATTERNS
+        needle = R.PATTERN_NEEDLES.get(name) if known else None
+        if known and name in R.RUN_PATTERNS:
+            parts.append(F.regexp_extract_all(runs, java, F.lit(0)))
+        elif needle is None:
+            parts.append(F.regexp_extract_all(text, java, F.lit(0)))
+        elif _can_stand_in_clean_text(needle):
+            guarded.setdefault(needle, []).append(F.regexp_extract_all(text, java, F.lit(0)))
+    for needle, found in guarded.items():
+        parts.append(
+            F.when(F.contains(text, F.lit(needle)), F.flatten(F.array(*found))).otherwise(
                 F.array().cast(_NO_STRINGS)
             )
-        parts.append(matches)
-    parts.append(_aws_secret_lines(c))
+        )
+    parts.append(_aws_secret_lines(text))
     return F.filter(F.array_distinct(F.flatten(F.array(*parts))), lambda k: k != "")
 
 
@@ -70,11 +96,27 @@ def is_cred_token(t: Column, stop_words=R.STOP_WORDS) -> Column:
 
 
 def cred_candidates(c: Column, stop_words=R.STOP_WORDS) -> Column:
-    """Distinct credential-like tokens of a text cleaned for credentials."""
-    long_tokens = F.regexp_extract_all(
-        c, F.lit(rf"(?U)[^\s\x1c-\x1f]{{{MIN_TOKEN},}}"), F.lit(0)
+    """Distinct credential-like tokens of a text without links.
+
+    Tokens are runs between whitespace and the characters that cleaning blanks,
+    so blanking them first makes no difference. Runs with rare whitespace in
+    them are split further, after those without a digit or letter are gone.
+    """
+    run = rf"[^{_SPACE}{char_class(R.CRED_NOISE)}]{{{MIN_TOKEN},}}"
+    runs = F.filter(
+        F.regexp_extract_all(c, F.lit(run), F.lit(0)),
+        lambda t: t.rlike("[0123456789]") & t.rlike("[a-zA-Z]"),
+    )
+    inner = F.lit(f"[^{_RARE_SPACE}]{{{MIN_TOKEN},}}")
+    tokens = F.flatten(
+        F.transform(
+            runs,
+            lambda t: F.when(
+                t.rlike(f"[{_RARE_SPACE}]"), F.regexp_extract_all(t, inner, F.lit(0))
+            ).otherwise(F.array(t)),
+        )
     )
-    return F.array_distinct(F.filter(long_tokens, lambda t: is_cred_token(t, stop_words)))
+    return F.array_distinct(F.filter(tokens, lambda t: is_cred_token(t, stop_words)))
 
 
 def cred_tokens(c: Column, stop_words=R.STOP_WORDS) -> Column:

@@ -52,11 +52,7 @@ def search_pairs(queries: DataFrame, extensions) -> DataFrame:
 
 
 def word_families(words) -> dict:
-    """Words grouped under a shortest word of the list that they contain.
-
-    A text without the shortest word holds none of its family, which spares
-    most files the test of most words.
-    """
+    """Words grouped under a shortest word of the list that they contain."""
     families = {}
     for word in sorted(dict.fromkeys(words), key=lambda w: (len(w), w.lower())):
         low = word.lower()
@@ -65,35 +61,56 @@ def word_families(words) -> dict:
     return families
 
 
+def word_branches(short, family) -> dict:
+    """Words of a family by the short word and the character before (else behind) it."""
+    branches = {}
+    for word in family:
+        at = word.lower().index(short)
+        part = slice(at - 1, at + len(short)) if at else slice(at, at + len(short) + 1)
+        branches.setdefault(word.lower()[part], []).append(word)
+    return branches
+
+
+def _word_tree(words):
+    """ARRAY<STRUCT<short, branches ARRAY<STRUCT<part, words ARRAY<STRUCT<kw, low>>>>>>."""
+
+    def leaf(word):
+        return F.struct(F.lit(word).alias("kw"), F.lit(word.lower()).alias("low"))
+
+    def branch(part, own):
+        return F.struct(F.lit(part).alias("part"), F.array(*map(leaf, own)).alias("words"))
+
+    def family(short, own):
+        branches = [branch(*b) for b in word_branches(short, own).items()]
+        return F.struct(F.lit(short).alias("short"), F.array(*branches).alias("branches"))
+
+    return F.array(*[family(*f) for f in word_families(words).items()])
+
+
 def found_words(content, words):
     """ARRAY<STRUCT<kw, n>>: the words a text holds (any case) and how often.
 
-    One pass reads and lower-cases the text once for all words.
+    One pass reads and lower-cases the text once for all words. Words that
+    share a part are only looked for if the text holds that part, so most
+    texts are searched for a dozen parts instead of all words.
     """
     words = list(dict.fromkeys(words))
-    empty = F.array().cast("array<struct<kw:string,n:int>>")
     if not words:
-        return empty
-    families = F.array(
-        *[
-            F.struct(
-                F.lit(short).alias("short"),
-                F.array(
-                    *[F.struct(F.lit(w).alias("kw"), F.lit(w.lower()).alias("low")) for w in family]
-                ).alias("words"),
-            )
-            for short, family in word_families(words).items()
-        ]
-    )
+        return F.array().cast("array<struct<kw:string,n:int>>")
+    tree = _word_tree(words)
 
     def search(low):
-        def members(family):
+        def matches(branch):
             return F.transform(
-                F.filter(family["words"], lambda w: F.contains(low, w["low"])),
+                F.filter(branch["words"], lambda w: F.contains(low, w["low"])),
                 lambda w: F.struct(w["kw"].alias("kw"), occurrences(low, w["low"]).alias("n")),
             )
 
-        present = F.filter(families, lambda f: F.contains(low, f["short"]))
+        def members(family):
+            present = F.filter(family["branches"], lambda b: F.contains(low, b["part"]))
+            return F.flatten(F.transform(present, matches))
+
+        present = F.filter(tree, lambda f: F.contains(low, f["short"]))
         return F.flatten(F.transform(present, members))
 
     return let(F.lower(content), search)
