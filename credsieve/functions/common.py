@@ -1,9 +1,25 @@
 """Small expression helpers shared by the other modules."""
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+_built: dict = {}
+
+
+def built_once(build, *key) -> Column:
+    """``build(*key)``, kept for later plans of this process.
+
+    Large expressions take seconds to put together call by call; a stream would
+    do so for each batch.
+    """
+    slot = (id(SparkContext._gateway), build, key)
+    if slot not in _built:
+        _built[slot] = build(*key)
+    return _built[slot]
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once, however often body uses it.
 
@@ -23,12 +39,19 @@ def compute_once(df: DataFrame, keep, **exprs) -> DataFrame:
     return df.select(*keep, F.inline(F.array(row)))
 
 
+def sql_string(text: str) -> str:
+    """A text as SQL literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def literal_strings(values) -> Column:
-    """Constant ARRAY<STRING>, typed also when empty."""
-    values = list(values)
-    if not values:
-        return F.array().cast("array<string>")
-    return F.lit(values)
+    """Constant ARRAY<STRING>, typed also when empty.
+
+    Constants of many values are built as one SQL text: a call per value would
+    take longer than the query.
+    """
+    items = ", ".join(sql_string(v) for v in values)
+    return F.expr(f"cast(array({items}) as array<string>)")
 
 
 def strip_blank(c: Column) -> Column:

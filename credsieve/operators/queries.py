@@ -3,7 +3,13 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credsieve.functions.common import compute_once, let, literal_strings
+from credsieve.functions.common import (
+    built_once,
+    compute_once,
+    let,
+    literal_strings,
+    sql_string,
+)
 from credsieve.functions.score import occurrences
 from credsieve.functions.urls import url_extension, url_owner, url_repo
 from credsieve.resources import ANY_EXTENSION
@@ -74,17 +80,19 @@ def word_branches(short, family) -> dict:
 def _word_tree(words):
     """ARRAY<STRUCT<short, branches ARRAY<STRUCT<part, words ARRAY<STRUCT<kw, low>>>>>>."""
 
-    def leaf(word):
-        return F.struct(F.lit(word).alias("kw"), F.lit(word.lower()).alias("low"))
+    def array(name, key, items):
+        parts = [f"named_struct('{key}', {sql_string(k)}, '{name}', {v})" for k, v in items]
+        return f"array({', '.join(parts)})"
 
-    def branch(part, own):
-        return F.struct(F.lit(part).alias("part"), F.array(*map(leaf, own)).alias("words"))
+    def leaves(own):
+        return array("low", "kw", [(w, sql_string(w.lower())) for w in own])
 
-    def family(short, own):
-        branches = [branch(*b) for b in word_branches(short, own).items()]
-        return F.struct(F.lit(short).alias("short"), F.array(*branches).alias("branches"))
+    def branches(short, own):
+        parts = word_branches(short, own).items()
+        return array("words", "part", [(part, leaves(ws)) for part, ws in parts])
 
-    return F.array(*[family(*f) for f in word_families(words).items()])
+    families = word_families(words).items()
+    return F.expr(array("branches", "short", [(s, branches(s, own)) for s, own in families]))
 
 
 def found_words(content, words):
@@ -116,6 +124,10 @@ def found_words(content, words):
     return let(F.lower(content), search)
 
 
+def _found_in_content(words):
+    return found_words(F.col("content"), words)
+
+
 def has_extension(extension, extensions):
     """Extension test of a search: an empty list or ``others`` means any."""
     extensions = list(extensions)
@@ -134,9 +146,10 @@ def match_files(files: DataFrame, secondary, primary=None, extensions=()) -> Dat
     secondary = [w for w in secondary if w]
     content = F.col("content")
     ext = url_extension(F.col("html_url"))
-    exprs = {"ext": ext, "found": found_words(content, secondary)}
+    exprs = {"ext": ext, "found": built_once(_found_in_content, tuple(secondary))}
     if primary is not None:
-        exprs["found_primary"] = found_words(content, [p for p in primary if p and p.strip()])
+        words = tuple(p for p in primary if p and p.strip())
+        exprs["found_primary"] = built_once(_found_in_content, words)
     matched = compute_once(
         files.where(content.isNotNull() & has_extension(ext, extensions)),
         files.columns,

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from credsieve import resources as R
 from credsieve import schemas
 from credsieve.functions import clean, extract, urls
-from credsieve.functions.common import compute_once, let
+from credsieve.functions.common import built_once, compute_once, let
 from credsieve.functions.context import file_hits, line_short
 from credsieve.functions.mask import code_column
 from credsieve.functions.score import (
@@ -132,23 +132,29 @@ def stage_files(files: DataFrame, config: ScanConfig) -> DataFrame:
     it is null for a file a gate stopped, and empty without a hit line.
     """
     matched = match_files(files, config.words, config.primary, config.extensions)
-    content, found = F.col("content"), F.col("found")
-    hits = _gated(
-        content,
-        F.col("ext"),
-        config,
-        lambda c: let(
-            _strong(c),
-            lambda s: file_hits(
-                content, found, s, config.kind == CREDS, config.case_sensitive
-            ),
-        ),
-    )
     keep = [c for c in matched.columns if c != "content"]
-    staged = compute_once(matched, keep, hits=hits)
+    staged = compute_once(matched, keep, hits=built_once(_hits, config))
     return latest_per_url(staged) if config.dedupe else staged
 
 
+def _hits(config):
+    """``hits`` of a file with ``content``, ``ext`` and ``found``."""
+
+    def of_candidates(secrets):
+        return let(
+            _strong(secrets),
+            lambda strong: file_hits(
+                F.col("content"),
+                F.col("found"),
+                strong,
+                config.kind == CREDS,
+                config.case_sensitive,
+            ),
+        )
+
+    return _gated(F.col("content"), F.col("ext"), config, of_candidates)
+
+
 def with_fetch_url(df: DataFrame, config: ScanConfig) -> DataFrame:
     """Add ``fetch_url`` (read by the scan, hashed by the ledger), URL and path parts."""
     html = F.col("html_url")
