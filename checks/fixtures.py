@@ -41,8 +41,9 @@ RAW_HOST = "https://raw.example.com"
 
 
 def ensure_scratch(spark):
-    """Use the cluster's shared folder; only where none is named (tests), a local one."""
-    if not spark.conf.get(CHECKPOINT_CONF, None):
+    """Use the cluster's shared folder; a local one only if none is named in local mode."""
+    named = spark.conf.get(CHECKPOINT_CONF, None)
+    if not named and spark.sparkContext.master.startswith("local"):
         spark.conf.set(CHECKPOINT_CONF, tempfile.mkdtemp(prefix="credsieve-"))
 
 

@@ -35,7 +35,8 @@ def attach_commits(df: DataFrame, commits: DataFrame) -> DataFrame:
     """Add ``Commit_Details`` by (owner, repo, file_path); ``{}`` where unknown.
 
     Replies landed twice count once, a good one first. The JSON is parsed after
-    the join, so only replies of files with a detection are.
+    the join, so only replies of files with a detection are. Rows per file are
+    few: the candidates of one version of a file, see ``latest_per_url``.
     """
     one_reply = commits.groupBy(*_KEYS).agg(
         F.max(F.struct((F.col("status") == 200).alias("ok"), "status", "body")).alias("reply")

@@ -5,12 +5,12 @@ from pyspark.sql import functions as F
 
 from credsieve.functions.common import let
 from credsieve.functions.score import char_ngrams
+from credsieve.operators.partitioning import SALTS, left_join_hot
 from credsieve.scratch import written
 
 MIN_DOC_SHARE = 1e-5
 # Rows of the n-gram table up to which it is broadcast (about 100 bytes each).
 MAX_BROADCAST_NGRAMS = 2_000_000
-SALTS = 32
 
 
 def dictionary_words(documents: DataFrame, text="text") -> DataFrame:
@@ -63,7 +63,7 @@ def dictionary_match(df: DataFrame, ngrams: DataFrame, secret="secret", max_rows
     table = ngrams.select("ngram", "log_total")
     if is_broadcastable(table, max_rows):
         return _match_broadcast(df, table, secret)
-    return _match_shuffled(df, table, secret)
+    return _match_shuffled(df, table, secret, max_rows)
 
 
 def _match_broadcast(df, table, secret):
@@ -83,7 +83,7 @@ def _match_broadcast(df, table, secret):
     )
 
 
-def _match_shuffled(df, table, secret):
+def _match_shuffled(df, table, secret, max_rows):
     """For a table too large to broadcast.
 
     Each distinct secret is scored once. Frequent pieces and frequent secrets
@@ -103,13 +103,6 @@ def _match_shuffled(df, table, secret):
         .groupBy("_secret")
         .agg(F.sum(F.col("tf") * F.col("log_total")).alias("match"))
     )
-    salted = rows.withColumn(
-        "_salt", F.pmod(F.xxhash64(*[c for c in rows.columns]), F.lit(SALTS)).cast("int")
-    )
-    scores = scores.withColumn("_salt", every_salt)
-    joined = salted.join(
-        scores, (salted[secret] == scores["_secret"]) & (salted["_salt"] == scores["_salt"]), "left"
-    )
-    return joined.select(
-        *[salted[c] for c in rows.columns], F.coalesce(scores["match"], F.lit(0.0)).alias("match")
-    )
+    scores = scores.withColumnRenamed("_secret", secret)
+    joined = left_join_hot(rows, scores, [secret], max_rows, SALTS)
+    return joined.select(*rows.columns, F.coalesce("match", F.lit(0.0)).alias("match"))

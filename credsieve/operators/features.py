@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from credsieve.operators.partitioning import left_join_hot
+
 # Columns that identify a detection and are no features.
 ID_COLUMNS = {
     "public": (
@@ -82,11 +84,15 @@ def align_columns(df: DataFrame, columns) -> DataFrame:
     )
 
 
-def apply_labels(df: DataFrame, review: DataFrame) -> DataFrame:
-    """Reviewed labels override the default 1; of several reviews the lowest counts."""
+def apply_labels(df: DataFrame, review: DataFrame, max_rows=1_000_000) -> DataFrame:
+    """Reviewed labels override the default 1; of several reviews the lowest counts.
+
+    The same line may stand in very many files, so one reviewed line may label
+    a large share of the rows.
+    """
     reviewed = review.groupBy("Secret", "Code").agg(F.min("Label").alias("_reviewed"))
     return (
-        df.join(reviewed, ["Secret", "Code"], "left")
+        left_join_hot(df, reviewed, ["Secret", "Code"], max_rows)
         .withColumn("Label", F.coalesce("_reviewed", F.lit(1)))
         .select(*df.columns)
     )

@@ -1,6 +1,9 @@
-"""Parallelism of the body pass."""
+"""Spreading work over cores and hot keys over tasks."""
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+SALTS = 32
 
 
 def fill_cores(table: DataFrame, key: str) -> DataFrame:
@@ -14,3 +17,17 @@ def fill_cores(table: DataFrame, key: str) -> DataFrame:
     if table.rdd.getNumPartitions() >= cores:
         return table
     return table.repartition(cores, key)
+
+
+def left_join_hot(left: DataFrame, right: DataFrame, keys, max_rows=1_000_000, salts=SALTS):
+    """Left join to a side with one row per key, where ``left`` may have hot keys.
+
+    The right side is counted: a small one is broadcast, so ``left`` is not
+    shuffled at all. Beyond that each key of ``left`` is spread over ``salts``
+    tasks and the right side is repeated per salt.
+    """
+    if right.limit(max_rows + 1).count() <= max_rows:
+        return left.join(F.broadcast(right), keys, "left")
+    salt = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
+    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.withColumn("_salt", salt).join(repeated, [*keys, "_salt"], "left").drop("_salt")

@@ -40,8 +40,25 @@ def test_id_columns(spark):
 def test_labels(spark):
     rows = spark.createDataFrame([("s", "c", 1), ("t", "c", 1)], ["Secret", "Code", "Label"])
     review = spark.createDataFrame([("s", "c", 0), ("s", "c", 1), ("x", "y", 0)], ["Secret", "Code", "Label"])
-    labelled = {r.Secret: r.Label for r in features.apply_labels(rows, review).collect()}
-    assert labelled == {"s": 0, "t": 1}
+    for max_rows in (100, 0):
+        labelled = features.apply_labels(rows, review, max_rows)
+        assert {r.Secret: r.Label for r in labelled.collect()} == {"s": 0, "t": 1}
+
+
+def test_one_line_in_a_third_of_the_rows(spark):
+    """Broadcast or salted: every copy gets its label."""
+    rows = spark.range(6000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("Secret"),
+        F.lit("c").alias("Code"),
+        F.col("id"),
+        F.lit(1).alias("Label"),
+    )
+    review = spark.createDataFrame([("hot", "c", 0), ("1", "c", 0)], ["Secret", "Code", "Label"])
+    for max_rows in (100, 0):
+        labelled = features.apply_labels(rows, review, max_rows)
+        assert labelled.count() == 6000 and labelled.where("Label = 0").count() == 2001
+    plan = labelled._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" in plan
 
 
 def test_split_is_stable(spark):
