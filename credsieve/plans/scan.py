@@ -253,8 +253,11 @@ def candidate_hits(
 
     if ledger is None:
         return with_fingerprint(_explode_matches(with_match(rows), config), config)
-    rows = with_fingerprint(_explode_matches(rows, config), config)
-    return with_match(drop_seen(rows, ledger))
+    rows = _explode_matches(rows, config)
+    unseen = drop_seen(with_fingerprint(rows, config), ledger)
+    # derived columns are cheap; only the join key stays, which the rows are
+    # partitioned by, so scoring does not shuffle them again
+    return with_fingerprint(with_match(unseen.select("hashed_url", *rows.columns)), config)
 
 
 def detections(
