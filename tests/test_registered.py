@@ -7,9 +7,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
+from checks import queries as registered
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry_module.queries(), entry_module.oracle_sql()
+QUERIES, ORACLES = registered.QUERIES, registered.ORACLES
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
@@ -31,6 +32,8 @@ def normal(rows, columns):
 def test_only_iterative_queries_lack_sql():
     assert set(QUERIES) - set(ORACLES) == {"train", "ml_filter"}
     assert set(ORACLES) <= set(QUERIES)
+    assert set(QUERIES) <= set(entry_module.queries())
+    assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
