@@ -126,6 +126,8 @@ _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 2**64)
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
+#: Every ASCII byte that is neither letter nor digit.
+NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _powers: dict = {}
 
 
@@ -167,13 +169,14 @@ def batches(texts, limit=1 << 20):
 class Words:
     """Words of a list of texts (bytes): ``start`` and ``end`` in ``data``, 64-bit
     ``hash``, ``doc`` (index of the text) of every word, ``first`` (index of the first
-    word of each text, one more entry at the end) and ``offset`` of each text."""
+    word of each text, one more entry at the end) and ``offset`` of each text. Words are
+    runs of bytes that ``separators`` does not mark; newlines always separate."""
 
-    def __init__(self, texts):
+    def __init__(self, texts, separators=_IS_SPACE):
         self.data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
         self.size = np.fromiter((len(t) for t in texts), np.int64, len(texts))
         self.offset = np.concatenate(([0], np.cumsum(self.size + 1)))[:-1]
-        space = _IS_SPACE[self.data]
+        space = separators[self.data]
         self.space = space
         edge = np.diff(np.concatenate(([True], space)).astype(np.int8))
         self.start = np.flatnonzero(edge == -1)

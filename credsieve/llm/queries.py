@@ -1,12 +1,13 @@
 """The registered queries of the operators and their SQL, by operator number."""
 
-from credsieve.llm import compression, quality_rules, simhash, urlfilter
+from credsieve.llm import compression, decontaminate, quality_rules, simhash, urlfilter
 
 QUERIES = {
     "op3_url_filters": urlfilter.op3_url_filters,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
     "op8_quality_classifier": compression.op8_quality_classifier,
+    "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
 }
 
 ORACLES = {"op3_url_filters": urlfilter.ORACLE}
