@@ -1,5 +1,6 @@
 """Helpers shared by the operators: tables, scratch, vectorised words, components."""
 
+import gc
 import tempfile
 import uuid
 
@@ -37,7 +38,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/credsieve-llm/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables made by ``written`` that nothing reads any more, and let Spark drop
+    the shuffle files of finished jobs (it does so once their plans are garbage)."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    release(spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished jobs before a large step."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -143,6 +162,18 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def running_hash(data: np.ndarray) -> np.ndarray:
+    """Prefix sums from which ``span_hash`` gives the hash of any byte range."""
+    return np.concatenate(
+        (np.zeros(1, np.uint64), np.cumsum(_VALUES[data] * powers(_BASE, len(data))))
+    )
+
+
+def span_hash(running: np.ndarray, start, end) -> np.ndarray:
+    """Hashes of the byte ranges [start, end); equal bytes have equal hashes."""
+    return mix((running[end] - running[start]) * powers(_BASE_INVERSE, len(running))[start])
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit hashes."""
     h = h ^ (h >> np.uint64(31))
@@ -181,15 +212,7 @@ class Words:
         edge = np.diff(np.concatenate(([True], space)).astype(np.int8))
         self.start = np.flatnonzero(edge == -1)
         self.end = np.flatnonzero(edge == 1)
-        total = np.concatenate(
-            (
-                np.zeros(1, np.uint64),
-                np.cumsum(_VALUES[self.data] * powers(_BASE, len(self.data))),
-            )
-        )
-        self.hash = mix(
-            (total[self.end] - total[self.start]) * powers(_BASE_INVERSE, len(self.data))[self.start]
-        )
+        self.hash = span_hash(running_hash(self.data), self.start, self.end)
         self.first = np.searchsorted(self.start, np.append(self.offset, len(self.data)))
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
 

@@ -1,6 +1,6 @@
 """The registered queries of the operators and their SQL, by operator number."""
 
-from credsieve.llm import compression, decontaminate, quality_rules, simhash, urlfilter
+from credsieve.llm import compression, decontaminate, quality_rules, simhash, suffixes, urlfilter
 
 QUERIES = {
     "op3_url_filters": urlfilter.op3_url_filters,
@@ -8,6 +8,7 @@ QUERIES = {
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
     "op8_quality_classifier": compression.op8_quality_classifier,
     "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
+    "op10_suffix_array_dedup": suffixes.op10_suffix_array_dedup,
 }
 
 ORACLES = {"op3_url_filters": urlfilter.ORACLE}
