@@ -128,8 +128,10 @@ def _pieces(text: bytes):
 
 
 def shard_transforms(docs: DataFrame, key, length: int) -> DataFrame:
-    """Rows of all shards' transforms, each shard in suffix order: key columns, low, count
-    (int), sym, bwt, c, u (long)."""
+    """Rows of all shards' transforms, each shard in suffix order: key columns, low, count,
+    sym, bwt, c, u. ``bwt`` and ``u`` only refine the blocks of ``sym`` and ``c``, so half a
+    hash each will do: blocks have names of 96 bits."""
+    kinds = {"low": np.int32, "count": np.int32, "bwt": np.int32, "u": np.int32}
 
     def run(frames):
         for frame in frames:
@@ -148,18 +150,22 @@ def shard_transforms(docs: DataFrame, key, length: int) -> DataFrame:
                 owner = np.array([c[0] for c in part])[rows.pop("text")]
                 out = frame[key].iloc[owner].reset_index(drop=True)
                 for name, column in rows.items():
-                    kind = np.int32 if name in ("low", "count") else np.int64
-                    out[name] = column.astype(kind) if kind is np.int32 else column.view(kind)
+                    out[name] = column.astype(kinds.get(name, np.int64))
                 yield out
 
-    schema = f"{key[0]} long, {key[1]} int, low int, count int, sym long, bwt long, c long, u long"
+    schema = f"{key[0]} long, {key[1]} int, low int, count int, sym long, bwt int, c long, u int"
     return docs.select(*key, "text").mapInPandas(run, schema)
 
 
-def refine(rows: DataFrame, block) -> DataFrame:
-    """Rows whose block, named by the columns ``block``, holds two or more rows."""
-    shared = rows.groupBy(*block).agg(F.count("*").alias("rows")).where("rows > 1").drop("rows")
-    return written(rows.join(shared, block), "suffix-blocks")
+def refine(rows: DataFrame, block, drop=()) -> DataFrame:
+    """Rows whose block, named by the columns ``block``, holds two or more rows. The
+    counts are combined before the shuffle; they are written, so that the join has plain
+    exchanges on both sides and Spark can split a large block."""
+    counts = rows.groupBy(*block).agg(F.count("*").alias("rows")).where("rows > 1")
+    shared = written(counts.select(*block), "suffix-blocks")
+    kept = written(rows.join(shared.hint("merge"), block).drop(*drop), "suffix-rows")
+    discard(shared)
+    return kept
 
 
 def repeated_ranges(docs: DataFrame, key, length: int = LENGTH) -> DataFrame:
@@ -168,22 +174,27 @@ def repeated_ranges(docs: DataFrame, key, length: int = LENGTH) -> DataFrame:
     made by ``keyed``; rows that are equal throughout count as copies of each other."""
     _check_lengths(length)
     first = refine(shard_transforms(docs, key, length), ["sym"])
-    release(docs.sparkSession)
     # LF step: the row now stands for the suffix that starts one phrase earlier.
-    second = refine(first, ["bwt", "sym"])
+    second = refine(first, ["bwt", "sym"], drop=["bwt", "sym"])
     discard(first)
-    blocks = written(
-        second.groupBy("c", "u").agg(
-            F.count("*").alias("rows"), F.min(F.struct(*key, "low", "count")).alias("one")
+    contexts = written(second.groupBy("c", "u").agg(F.count("*").alias("rows")), "suffix-contexts")
+    repeated = contexts.where("rows > 1").select("c", "u")
+    whole = written(
+        second.join(repeated.hint("merge"), ["c", "u"]).select(
+            *key, "low", (F.col("low") + F.col("count") - 1).alias("high")
         ),
-        "suffix-contexts",
+        "suffix-whole",
     )
-    whole = second.join(blocks.where("rows > 1").select("c", "u"), ["c", "u"]).select(
-        *key, "low", (F.col("low") + F.col("count") - 1).alias("high")
+    # Blocks that share the inner bytes but not the outer: windows one by one, of one row
+    # for each outer context.
+    kinds = contexts.groupBy("c").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    several = written(kinds.select("c"), "suffix-several")
+    probes = (
+        second.join(several.hint("merge"), "c")
+        .groupBy("c", "u")
+        .agg(F.count("*").alias("rows"), F.min(F.struct(*key, "low", "count")).alias("one"))
+        .select("one.*", (F.col("rows") == 1).alias("open"))
     )
-    # Blocks that share the inner bytes but not the outer: their windows one by one.
-    several = blocks.groupBy("c").agg(F.count("*").alias("kinds")).where("kinds > 1").select("c")
-    probes = blocks.join(several, "c").select("one.*", (F.col("rows") == 1).alias("open"))
     per_text = probes.groupBy(*key).agg(
         F.collect_list("low").alias("lows"),
         F.collect_list("count").alias("counts"),
@@ -198,7 +209,7 @@ def repeated_ranges(docs: DataFrame, key, length: int = LENGTH) -> DataFrame:
         ),
         "suffix-windows",
     )
-    release(docs.sparkSession)
+    discard(second, contexts, several)
     shared = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     single = windows.where("open").join(shared, ["h1", "h2"])
     return whole.unionByName(single.select(*key, "low", F.col("low").alias("high")))
