@@ -177,23 +177,26 @@ def repeated_ranges(docs: DataFrame, key, length: int = LENGTH) -> DataFrame:
     # LF step: the row now stands for the suffix that starts one phrase earlier.
     second = refine(first, ["bwt", "sym"], drop=["bwt", "sym"])
     discard(first)
-    contexts = written(second.groupBy("c", "u").agg(F.count("*").alias("rows")), "suffix-contexts")
-    repeated = contexts.where("rows > 1").select("c", "u")
+    contexts = written(
+        second.groupBy("c", "u").agg(
+            F.count("*").alias("rows"), F.min(F.struct(*key, "low", "count")).alias("one")
+        ),
+        "suffix-contexts",
+    )
+    repeated = written(contexts.where("rows > 1").select("c", "u"), "suffix-repeated")
     whole = written(
         second.join(repeated.hint("merge"), ["c", "u"]).select(
             *key, "low", (F.col("low") + F.col("count") - 1).alias("high")
         ),
         "suffix-whole",
     )
+    discard(second, repeated)
     # Blocks that share the inner bytes but not the outer: windows one by one, of one row
     # for each outer context.
     kinds = contexts.groupBy("c").agg(F.count("*").alias("kinds")).where("kinds > 1")
     several = written(kinds.select("c"), "suffix-several")
-    probes = (
-        second.join(several.hint("merge"), "c")
-        .groupBy("c", "u")
-        .agg(F.count("*").alias("rows"), F.min(F.struct(*key, "low", "count")).alias("one"))
-        .select("one.*", (F.col("rows") == 1).alias("open"))
+    probes = contexts.join(several.hint("merge"), "c").select(
+        "one.*", (F.col("rows") == 1).alias("open")
     )
     per_text = probes.groupBy(*key).agg(
         F.collect_list("low").alias("lows"),
@@ -209,7 +212,7 @@ def repeated_ranges(docs: DataFrame, key, length: int = LENGTH) -> DataFrame:
         ),
         "suffix-windows",
     )
-    discard(second, contexts, several)
+    discard(contexts, several)
     shared = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     single = windows.where("open").join(shared, ["h1", "h2"])
     return whole.unionByName(single.select(*key, "low", F.col("low").alias("high")))
