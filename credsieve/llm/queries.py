@@ -1,10 +1,19 @@
 """The registered queries of the operators and their SQL, by operator number."""
 
-from credsieve.llm import compression, decontaminate, quality_rules, simhash, suffixes, urlfilter
+from credsieve.llm import (
+    compression,
+    decontaminate,
+    linededup,
+    quality_rules,
+    simhash,
+    suffixes,
+    urlfilter,
+)
 
 QUERIES = {
     "op3_url_filters": urlfilter.op3_url_filters,
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op6_line_dedup": linededup.op6_line_dedup,
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
     "op8_quality_classifier": compression.op8_quality_classifier,
     "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
