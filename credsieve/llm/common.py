@@ -83,6 +83,18 @@ def keyed(docs: DataFrame, id_column: str = "doc_id") -> tuple[DataFrame, list[s
     ), [k1, k2]
 
 
+def labelled_texts(docs: DataFrame, chosen: DataFrame, label: str = "quality") -> DataFrame:
+    """One text for each of the chosen doc_ids, whose number is fixed; of several rows
+    with one id the smallest text, combined before the shuffle."""
+    return (
+        docs.select("doc_id", "text")
+        .join(F.broadcast(chosen.select("doc_id", label)), "doc_id")
+        .groupBy("doc_id")
+        .agg(F.min("text").alias("text"), F.first(label).alias(label))
+        .where("text is not null")
+    )
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (u, v: long) as rows (node, component).
 

@@ -8,7 +8,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credsieve.llm.common import read
+from credsieve.llm.common import labelled_texts, read
 
 #: Labelled texts per class for the dictionaries, and the pieces taken of each: the
 #: bound of the training sample. Pieces are spread evenly over the whole text.
@@ -124,7 +124,7 @@ class QualityModel:
         chosen = first(known.where("quality = 1"), half[1]).unionByName(
             first(known.where("quality = 0"), half[0])
         )
-        samples = _labelled(docs, chosen).mapInPandas(_sample_pieces, "quality int, piece binary")
+        samples = labelled_texts(docs, chosen).mapInPandas(_sample_pieces, "quality int, piece binary")
         rows = samples.collect()
         dictionaries = [
             build_dictionary([bytes(r.piece) for r in rows if r.quality == q]) for q in (1, 0)
@@ -132,7 +132,7 @@ class QualityModel:
         # Rows used above are not used again, if there are others.
         rest = known.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti")
         rest = first(rest, CALIBRATION_TEXTS)
-        used = _labelled(docs, rest)
+        used = labelled_texts(docs, rest)
 
         def measure(frames):
             for frame in frames:
@@ -144,18 +144,6 @@ class QualityModel:
         return cls(*dictionaries, *calibrate(points["x"].to_numpy(), points["quality"].to_numpy()))
 
 
-def _labelled(docs, chosen):
-    """One text for each of the chosen doc_ids, whose number is fixed; of several rows
-    with one id the smallest text, combined before the shuffle."""
-    return (
-        docs.select("doc_id", "text")
-        .join(F.broadcast(chosen.select("doc_id", "quality")), "doc_id")
-        .groupBy("doc_id")
-        .agg(F.min("text").alias("text"), F.first("quality").alias("quality"))
-        .where("text is not null")
-    )
-
-
 def _sample_pieces(frames):
     for frame in frames:
         for quality, text in zip(frame["quality"], _texts(frame)):

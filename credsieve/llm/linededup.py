@@ -14,6 +14,7 @@ from credsieve.llm.common import discard, fresh, keyed, read, release, written
 
 #: Lines with fewer words are never touched.
 MIN_WORDS = 5
+COUNTS = ("n_lines", "n_removed", "n_long_left")
 _LINE = ["h", "g"]
 
 
@@ -140,8 +141,8 @@ def _near_copies(bodies: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """Columns of ``docs`` with ``text`` reduced to its kept lines, plus n_lines and
-    n_removed (of all lines of the text).
+    """Columns of ``docs`` with ``text`` reduced to its kept lines, plus n_lines, n_removed
+    (of all lines of the text) and n_long_left (judged lines that stay).
 
     Lines are parts between ``\\n``. A line of ``MIN_WORDS`` words or more goes if an earlier
     line of the corpus has the same words, or words that one changed, inserted or dropped
@@ -149,7 +150,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     of the text), then smaller line number. The earlier line need not stay itself.
     Shorter lines always stay. A null text stays null with no lines. Rows equal in doc_id
     and text are one document and come out once; their other columns are those of one of
-    the rows. Extra columns pass through, but for two named like the counts; an empty
+    the rows. Extra columns pass through, but for any named like the counts; an empty
     table stays empty.
     """
     with_key, key = keyed(docs)
@@ -180,13 +181,26 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         chosen, F.filter(parts, stays_here)
     )
     return cut.select(
-        *[c for c in docs.columns if c not in ("text", "n_lines", "n_removed")],
+        *[c for c in docs.columns if c not in ("text", *COUNTS)],
         F.array_join(chosen, "\n").alias("text"),
         F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size(parts) - F.size(chosen), F.lit(0)).cast("long").alias("n_removed"),
+        F.size(own).cast("long").alias("n_long_left"),
     )
 
 
+def without_copied_lines(docs: DataFrame) -> DataFrame:
+    """``docs`` with copied lines removed, in the same columns; a column n_chars counts
+    the new text. Documents that lose their last line of ``MIN_WORDS`` words go."""
+    # Columns named like the counts step aside meanwhile.
+    aside = {name: fresh(docs, f"_{name}") for name in COUNTS if name in docs.columns}
+    cut = dedup_lines(docs.withColumnsRenamed(aside)).where("n_removed = 0 or n_long_left > 0")
+    if "n_chars" in docs.columns:
+        length = F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars"))
+        cut = cut.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType))
+    return cut.select(*[F.col(aside.get(name, name)).alias(name) for name in docs.columns])
+
+
 def op6_line_dedup(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")

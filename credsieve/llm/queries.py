@@ -4,6 +4,7 @@ from credsieve.llm import (
     compression,
     decontaminate,
     linededup,
+    mixing,
     quality_rules,
     simhash,
     suffixes,
@@ -12,6 +13,7 @@ from credsieve.llm import (
 
 QUERIES = {
     "op3_url_filters": urlfilter.op3_url_filters,
+    "op4_mixing_to_targets": mixing.op4_mixing_to_targets,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_line_dedup": linededup.op6_line_dedup,
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
