@@ -207,21 +207,25 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows of ``docs`` without a contaminated passage, with all their columns."""
-    kept = docs
-    for sent in _prepared(docs, benchmark):
+def _is_clean(sent, text):
+    """Column: no item of the broadcast ``sent`` aligns with the text."""
+
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        out = np.ones(len(texts), bool)
+        for first, part in batches([normal(t) for t in texts]):
+            for match in sent.value.matches(text_words(part)):
+                out[first + match[0]] = False
+        return pd.Series(out)
 
-        @F.pandas_udf("boolean")
-        def clean(texts: pd.Series, sent=sent) -> pd.Series:
-            out = np.ones(len(texts), bool)
-            for first, part in batches([normal(t) for t in texts]):
-                for match in sent.value.matches(text_words(part)):
-                    out[first + match[0]] = False
-            return pd.Series(out)
+    return clean(text)
 
-        kept = kept.where(clean(F.col("text")))
-    return kept
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Rows of ``docs`` without a contaminated passage, with all their columns."""
+    for sent in list(_prepared(docs, benchmark)):
+        docs = docs.where(_is_clean(sent, F.col("text")))
+    return docs
 
 
 def op9_benchmark_decontamination(spark, sf_dir):
