@@ -8,10 +8,14 @@ from credsieve.llm import (
     quality_rules,
     simhash,
     suffixes,
+    surrogates,
+    toolcalls,
     urlfilter,
 )
 
 QUERIES = {
+    "op1_pii_surrogates": surrogates.op1_pii_surrogates,
+    "op2_tool_call_linking": toolcalls.op2_tool_call_linking,
     "op3_url_filters": urlfilter.op3_url_filters,
     "op4_mixing_to_targets": mixing.op4_mixing_to_targets,
     "op5_quality_rules": quality_rules.op5_quality_rules,
