@@ -43,6 +43,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` over all shuffle partitions, for few rows that each take long; Spark would
+    put them into few tasks by their size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove tables made by ``written`` that nothing reads any more, and let Spark drop
     the shuffle files of finished jobs (it does so once their plans are garbage)."""

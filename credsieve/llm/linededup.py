@@ -67,11 +67,12 @@ def _bodies(with_key: DataFrame, key, lines: DataFrame) -> DataFrame:
     """``lines`` plus their words, read again from the documents that hold them."""
     wanted = lines.select(*[F.col(f"place.{k}").alias(k) for k in key], "place", *_LINE)
     per_text = wanted.groupBy(*key).agg(F.collect_list(F.struct("place", *_LINE)).alias("wanted"))
-    # Rows equal in id and text hold the same lines; one of them will do.
+    # Rows equal in id and text hold the same lines; one of each stays at the end.
     texts = with_key.select(*key, "text").join(per_text.hint("merge"), key)
     picked = texts.select(F.split("text", "\n").alias("lines"), F.inline("wanted"))
     words = line_words(F.get("lines", F.col("place.line")))
-    return written(picked.select(*_LINE, "place", words.alias("words")), "line-bodies")
+    found = picked.select(*_LINE, "place", words.alias("words")).dropDuplicates(_LINE)
+    return written(found, "line-bodies")
 
 
 def _variants(bodies: DataFrame) -> DataFrame:

@@ -9,12 +9,13 @@ layout and case. Surrogates that equal a real entity or another surrogate are dr
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credsieve.llm.common import fresh, keyed, read, written
+from credsieve.llm.common import fresh, keyed, read, spread, written
 
 #: Titles that precede a person's name, by the gender they tell.
 MALE_TITLES = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин")
 FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа")
-_TITLES = "|".join(sorted(MALE_TITLES + FEMALE_TITLES, key=len, reverse=True))
+_SPELT = {x for title in MALE_TITLES + FEMALE_TITLES for x in (title, title.upper())}
+_TITLES = "|".join(sorted(_SPELT, key=lambda title: (-len(title), title)))
 
 #: (type, pattern), the first that fits a mention names its type. Every pattern is entered
 #: at the start of a run of its characters only, so long runs cost linear time.
@@ -74,7 +75,7 @@ def canonical_of(kind, mention):
     """What all mentions of an entity share: digits, letters in lower case, the name."""
     name = F.regexp_replace(mention, rf"^(?:{_TITLES})\.? ", "")
     title = F.regexp_extract(mention, rf"^({_TITLES})", 1)
-    gender = F.when(title.isin(*FEMALE_TITLES), "f").otherwise("m")
+    gender = F.when(F.upper(title).isin(*[t.upper() for t in FEMALE_TITLES]), "f").otherwise("m")
     return (
         F.when(kind == "person", F.concat(gender, F.lit(" "), F.lower(name)))
         .when(kind.isin("email", "ip", "mac"), F.lower(mention))
@@ -215,7 +216,7 @@ def assign_surrogates(entities: DataFrame, key: str) -> DataFrame:
     done = None
     for attempt in range(MAX_ROUNDS):
         draw = surrogate_of(F.col("kind"), F.col("canonical"), F.lit(attempt), key)
-        drawn = written(left.withColumn("surrogate", draw), "pii-drawn")
+        drawn = written(spread(left, "canonical").withColumn("surrogate", draw), "pii-drawn")
         free = drawn.join(real, ["kind", "surrogate"], "left_anti")
         if done is not None:
             free = free.join(done.hint("merge"), ["kind", "surrogate"], "left_anti")
@@ -275,7 +276,7 @@ def replace_entities(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
         with_key.select(*keys, F.explode(F.array_distinct(mentions_in(F.col("text")))).alias("mention")),
         "pii-mentions",
     )
-    kinds = found.select("mention").distinct().withColumn("kind", kind_of(F.col("mention")))
+    kinds = spread(found.select("mention").distinct(), "mention").withColumn("kind", kind_of(F.col("mention")))
     mentions = written(
         kinds.withColumn("canonical", canonical_of(F.col("kind"), F.col("mention"))), "pii-kinds"
     )
@@ -283,7 +284,7 @@ def replace_entities(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     surrogates = assign_surrogates(entities, key)
     shown = render(F.col("kind"), F.col("mention"), F.col("surrogate"))
     replaced = written(
-        mentions.join(surrogates.hint("merge"), ["kind", "canonical"]).select(
+        spread(mentions.join(surrogates.hint("merge"), ["kind", "canonical"]), "mention").select(
             "mention", shown.alias("shown")
         ),
         "pii-replacements",

@@ -1,0 +1,240 @@
+"""PII surrogates, tool calls, mixing and the pipeline."""
+
+import json
+import random
+import re
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from credsieve.llm import linededup, mixing, surrogates, toolcalls
+
+SF = "/root/testdata/sf0.01"
+
+
+def luhn(number):
+    total = 0
+    for k, c in enumerate(reversed(number)):
+        d = int(c) * (1 + k % 2)
+        total += d - 9 * (d > 9)
+    return total % 10 == 0
+
+
+PII = [
+    (1, "Mail Ann.Lee7@Mail.example.com, or ann.lee7@mail.EXAMPLE.com; bob@mail.example.com!"),
+    (2, "call +1 (499) 555-6503 or +1-499-555-6503, not +1 499 555 6504"),
+    (3, 'host 188.54.39.104, v1.2.3 and 999.1.1.1; token = "1eb9c654e721b4f812088970e66a6345cee33dd6"***'),
+    (4, "card 4539578763621486, 4539 5787 6362 1486 and 4539578763621487 12345"),
+    (5, "Mrs. Jane Doe met Mr John Smith-Jones; MRS. JANE DOE left. Frau Doe. Госпожа Анна Петрова"),
+    (6, "ssn 123-45-6789, mac 00:1A:2b:3c:4D:5e, iban DE89 3704 0044 0532 0130 00"),
+    (7, None),
+    (8, ""),
+    (9, "nothing to see, 12 monkeys @ home " * 3),
+    (None, "bob@mail.example.com"),
+    (1, "Mail Ann.Lee7@Mail.example.com, or ann.lee7@mail.EXAMPLE.com; bob@mail.example.com!"),
+    (10, "x" * 20000 + "@" + "9" * 20000 + " a@b.co"),
+]
+
+
+def test_surrogates(documents):
+    docs = documents(PII, "mention")
+    found = surrogates.replace_entities(docs, "k")
+    assert found.columns == [*docs.columns, "n_replaced"]
+    rows = [(r.doc_id, r.text, r.n_replaced) for r in found.collect()]
+    assert len(rows) == len(PII)
+    out = {i: t for i, t, _ in rows}
+    counts = {i: n for i, _, n in rows}
+    assert out[7] is None and out[8] == "" and out[9] == PII[8][1]
+    assert [counts[i] for i in (1, 2, 3, 4, 5, 6, 7, 9)] == [3, 3, 2, 3, 5, 3, 0, 0]
+    first, second, third = re.findall(r"\S+@[^\s,;!]+", out[1])
+    assert first.lower() == second.lower() != third.lower()
+    assert [c.isupper() for c in first] == [c.isupper() for c in "Ann.Lee7@Mail.example.com"]
+    assert first.split("@")[1].lower() == third.split("@")[1].lower()  # one domain stays one
+    assert out[None] == third
+    a, b, c = re.findall(r"\+[\d ()-]+\d", out[2])
+    assert re.sub(r"\D", "", a) == re.sub(r"\D", "", b) != re.sub(r"\D", "", c)
+    assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", a) and re.fullmatch(r"\+1-\d{3}-\d{3}-\d{4}", b)
+    assert "v1.2.3" in out[3] and "999.1.1.1" in out[3]
+    octets = re.search(r"host ([\d.]+),", out[3])[1].split(".")
+    assert len(octets) == 4 and all(0 < int(o) < 256 for o in octets)
+    assert re.search(r'"[0-9a-f]{40}"\*\*\*', out[3]) and "1eb9c654" not in out[3]
+    one, two, three = re.match(r"card (\d{16}), (\d{4} \d{4} \d{4} \d{4}) and (\d{16}) 12345", out[4]).groups()
+    assert one == two.replace(" ", "") != three
+    assert luhn(one) == luhn("4539578763621486") and one[0] == "4"
+    jane = re.match(r"Mrs\. (\w+ \w+) met Mr (\w+ \w+-\w+); MRS\. ([A-Z ]+) left", out[5])
+    assert jane and jane[1].split()[0].endswith("a") and jane[2].split()[0].endswith("n")
+    assert jane[1].istitle() and jane[3] == jane[1].upper() and "Jane Doe" not in out[5]
+    anna = re.search(r"Госпожа ([а-я]+а) ([а-я]+)", out[5].lower().replace("госпожа", "Госпожа"))
+    assert anna and "петрова" not in out[5].lower()
+    assert re.fullmatch(
+        r"ssn \d{3}-\d{2}-\d{4}, mac [\dA-Fa-f:]{17}, iban DE\d{2}( \d{4}){4} \d{2}", out[6]
+    )
+    again = {r.doc_id: r.text for r in surrogates.replace_entities(docs, "k").collect()}
+    assert again == out
+    other = {r.doc_id: r.text for r in surrogates.replace_entities(docs, "other").collect()}
+    assert other[2] != out[2] and other[9] == out[9]
+    assert surrogates.replace_entities(documents([])).count() == 0
+
+
+def test_colliding_draws_are_drawn_again(spark, monkeypatch):
+    """A kind with few surrogates: all are distinct, none is a real entity."""
+
+    def narrow(kind, canonical, attempt, key):
+        from pyspark.sql import functions as F
+
+        return F.pmod(F.xxhash64(canonical, attempt, F.lit(key)), F.lit(60)).cast("string")
+
+    monkeypatch.setattr(surrogates, "surrogate_of", narrow)
+    real = [("ssn", str(k)) for k in range(12)]
+    table = spark.createDataFrame(real, "kind string, canonical string")
+    rows = surrogates.assign_surrogates(table, "k").collect()
+    new = [r.surrogate for r in rows]
+    assert len(rows) == len(set(new)) == 12 and not set(new) & {c for _, c in real}
+    monkeypatch.setattr(surrogates, "MAX_ROUNDS", 3)
+    full = spark.createDataFrame([("ssn", str(k)) for k in range(60)], "kind string, canonical string")
+    with pytest.raises(ValueError):
+        surrogates.assign_surrogates(full, "k")
+
+
+CALLS = [
+    (1, "a", 1, "search", '{"query": "x", "limit": 3}', []),
+    (1, "b", 2, "search", '{"limit": "3", "extra": {"z": 1, "a": [2, {"c": 1, "b": 2}]}}', ["a"]),
+    (1, "c", 3, "compute", '{"values": [1], "scale": 2.5}', ["b", "a", "ghost"]),
+    (1, "d", 4, "nope", "{}", ["e"]),
+    (1, "e", 5, "lookup", '{"key": null}', ["d"]),
+    (1, "f", 6, "lookup", "not json", ["e"]),
+    (2, "a", 1, "lookup", '{"key": "k", "exact": true}', None),
+    (2, "a", 7, "lookup", '{"key": "later"}', []),
+    (2, "g", 2, "search", None, []),
+    (2, "h", 3, "search", "[1]", []),
+    (None, "i", 1, "search", '{"query": "q"}', []),
+]
+RESULTS = [
+    (1, "a", 2, "ra"),
+    (1, "b", 1, "too early"),
+    (1, "c", 9, None),
+    (1, "z", 3, "orphan"),
+    (2, "a", 3, "second"),
+    (2, "a", 2, "first"),
+    (None, "i", 2, "never matches"),
+]
+
+
+def test_tool_calls(spark):
+    calls = spark.createDataFrame(
+        [(*c, "x") for c in CALLS],
+        "conv_id long, call_id string, turn long, name string, arguments string, after array<string>, status string",
+    )
+    results = spark.createDataFrame(RESULTS, "conv_id long, call_id string, turn long, content string")
+    found = toolcalls.link_tool_calls(calls, results, toolcalls.schema_table(spark))
+    rows = found.collect()
+    got = {(r.conv_id, r.call_id, r.turn): r for r in rows}
+    state = {k: (r.level, r.status, list(r.errors)) for k, r in got.items()}
+    assert state[1, "a", 1] == (0, "ok", [])
+    assert state[1, "b", 2] == (1, "early_result", ["missing query", "not integer: limit", "unknown extra"])
+    assert state[1, "c", 3] == (2, "ok", ["unknown dependency ghost"])
+    assert state[1, "d", 4] == (None, "cycle", ["unknown tool"])
+    assert state[1, "e", 5] == (None, "cycle", ["missing key"])
+    assert state[1, "f", 6] == (None, "cycle", ["arguments are no JSON object"])
+    assert state[2, "a", 1] == (0, "ok", ["repeated id"])
+    assert state[2, "g", 2] == (0, "no_result", ["arguments are no JSON object"])
+    assert state[2, "h", 3][1:] == ("no_result", ["arguments are no JSON object"])
+    assert state[1, "z", None] == (None, "orphan_result", [])
+    assert state[None, "i", 1][1] == "no_result" and state[None, "i", None][1] == "orphan_result"
+    assert len(rows) == 12
+    for r in rows:
+        assert r.json == json.dumps(json.loads(r.json), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    b = json.loads(got[1, "b", 2].json)
+    assert b["arguments"] == {"limit": "3", "extra": {"z": 1, "a": [2, {"c": 1, "b": 2}]}}
+    assert json.loads(got[2, "a", 1].json)["result"] == "first"
+    order = [(r.level, r.turn) for r in rows if r.conv_id == 1 and r.level is not None]
+    assert order == sorted(order)
+    empty = toolcalls.link_tool_calls(calls.limit(0), results.limit(0), toolcalls.schema_table(spark))
+    assert empty.count() == 0
+
+
+def test_long_chain_of_calls(spark):
+    rows = [(1, f"c{k}", [f"c{k - 1}"] if k else []) for k in range(12)]
+    calls = spark.createDataFrame(rows, "conv_id long, call_id string, after array<string>")
+    levels = {r.call_id: r.level for r in toolcalls.topological_levels(calls).collect()}
+    assert levels == {f"c{k}": k for k in range(12)}
+
+
+def test_rates_reach_the_targets(spark, documents):
+    rng = random.Random(1)
+    letters = {"a": "abcdef", "b": "ghijkl", "c": "mnopqr"}
+    rows, labels = [], []
+    for k in range(300):
+        domain = rng.choice("aaaabbc")
+        rows.append((k, " ".join("".join(rng.choices(letters[domain], k=2)) for _ in range(rng.randrange(5, 80)))))
+        labels.append((k, domain))
+    rows += [(None, None), (999, ""), rows[0]]
+    labels += [(0, "b"), (None, "a"), (4, None)]
+    table = spark.createDataFrame(labels, "doc_id long, domain string")
+    docs = documents(rows, "rate")
+    targets = {"a": 0.2, "b": 0.3, "c": 0.5}
+    got = mixing.mix(docs, table, "domain", targets).toPandas()
+    assert len(got) == len(rows)
+    p, n = np.stack(got["posteriors"]), got["tokens"].to_numpy()
+    assert np.allclose(p.sum(1), 1) and (got["rate"] >= 0).all()
+    total = (n * got["rate"].to_numpy()) @ p / n.sum()
+    assert np.abs(total - [0.2, 0.3, 0.5]).max() < 1e-4
+    known = dict(labels[1:300])
+    sure = got[got["doc_id"].isin(known)]
+    assert (sure["domain"] == sure["doc_id"].map(known)).mean() > 0.97
+    assert ((got["copies"] - got["rate"]).abs() < 1).all()
+    assert got.loc[got["doc_id"].isna() | (got["doc_id"] == 999), "tokens"].eq(0).all()
+    none = mixing.mix(docs, table.limit(0), "domain", targets).toPandas()
+    assert set(none["domain"]) == {"all"} and np.allclose(none["rate"], 1)
+    assert mixing.mix(documents([]), table, "domain", targets).count() == 0
+
+
+def test_steps_never_increase_the_error(spark):
+    rng = np.random.RandomState(0)
+    p = rng.dirichlet([0.3, 0.3, 0.3], 200)
+    n = rng.randint(1, 50, 200)
+    members = spark.createDataFrame(
+        [(int(t), [float(x) for x in q]) for t, q in zip(n, p)], "tokens long, posteriors array<double>"
+    )
+    steps, error = mixing.fit_rates(members, ["a", "b", "c"], {"a": 0.9, "b": 0.1})
+    weight = np.linalg.pinv((p * n[:, None]).T @ p / n.sum() + 1e-9 * np.eye(3))
+    errors = []
+    for k in range(len(steps) + 1):
+        e = (mixing.replay(p, steps[:k]) * n) @ p / n.sum() - [0.9, 0.1, 0]
+        errors.append(e @ weight @ e)
+    assert all(b <= a * (1 + 1e-9) for a, b in zip(errors, errors[1:]))
+
+
+def test_pipeline_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    before = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = corpus_pipeline.written(stage(spark, before, SF), name)
+        assert after.columns == docs.columns
+        lost = before.count() - after.count()
+        assert 0 <= lost < 0.3 * before.count()
+        before = after
+    texts = [r.text for r in before.collect()]
+    seen = set()
+    for text in texts:
+        for line in text.split("\n"):
+            w = tuple(re.findall(r"[^\x20\x09-\x0D]+", line))
+            if len(w) >= linededup.MIN_WORDS:
+                assert w not in seen
+                seen.add(w)
+    rates = corpus_pipeline.STAGES[-1][1](spark, before, SF).collect()
+    assert len(rates) == len(texts) and all(r.rate >= 0 for r in rates)
+
+
+def test_pipeline_on_awkward_rows(spark, documents, tmp_path):
+    rows = [(None, None), (1, ""), (1, ""), (2, "some words of a text that is kept here"), (3, None)]
+    for name, schema in (
+        ("labels", "doc_id long, quality int, toxic int"),
+        ("benchmark", "item_id long, text string"),
+    ):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    for given in (documents(rows, "n_removed"), documents([])):
+        given.write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        found = corpus_pipeline.run(spark, str(tmp_path))
+        assert found.count() <= len(rows)
