@@ -57,8 +57,8 @@ def is_broadcastable(ngrams: DataFrame, max_rows=MAX_BROADCAST_NGRAMS) -> bool:
 def dictionary_match(df: DataFrame, ngrams: DataFrame, secret="secret", max_rows=MAX_BROADCAST_NGRAMS):
     """Add ``match``: sum over the pieces of the secret of the piece's log total.
 
-    ``ngrams`` should be a stored table, as it is counted first. Rows of ``df``
-    must be distinct.
+    ``ngrams`` should be a stored table, as it is counted first. Equal rows of
+    ``df`` stay apart, each with its own match.
     """
     table = ngrams.select("ngram", "log_total")
     if is_broadcastable(table, max_rows):
@@ -70,7 +70,8 @@ def _match_broadcast(df, table, secret):
     """One pass: pieces probe the broadcast table, then fold back into their row.
 
     Only pieces the table knows leave the join. The empty piece, which always
-    matches, keeps secrets without any known piece.
+    matches once a row, keeps secrets without any known piece and tells how many
+    equal rows were folded into one; they come out as often.
     """
     spark = df.sparkSession
     keep_row = spark.range(1).select(F.lit("").alias("ngram"), F.lit(0.0).alias("log_total"))
@@ -79,7 +80,13 @@ def _match_broadcast(df, table, secret):
         df.withColumn("ngram", F.explode(grams))
         .join(F.broadcast(table.unionByName(keep_row)), "ngram")
         .groupBy(*df.columns)
-        .agg(F.sum("log_total").alias("match"))
+        .agg(F.sum("log_total").alias("_sum"), F.count_if(F.col("ngram") == "").alias("_rows"))
+        .select(
+            *df.columns,
+            (F.col("_sum") / F.col("_rows")).alias("match"),
+            F.explode(F.sequence(F.lit(1), F.col("_rows"))).alias("_copy"),
+        )
+        .drop("_copy")
     )
 
 
@@ -103,6 +110,6 @@ def _match_shuffled(df, table, secret, max_rows):
         .groupBy("_secret")
         .agg(F.sum(F.col("tf") * F.col("log_total")).alias("match"))
     )
-    scores = scores.withColumnRenamed("_secret", secret)
+    scores = written(scores.withColumnRenamed("_secret", secret), "scores")
     joined = left_join_hot(rows, scores, [secret], max_rows, SALTS)
     return joined.select(*rows.columns, F.coalesce("match", F.lit(0.0)).alias("match"))

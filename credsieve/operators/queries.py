@@ -136,12 +136,19 @@ def has_extension(extension, extensions):
     return extension.isin(extensions)
 
 
-def match_files(files: DataFrame, secondary, primary=None, extensions=()) -> DataFrame:
+def has_terms():
+    """Whether a row of ``match_files`` holds what the search asks for."""
+    primary = F.col("found_primary").isNull() | (F.size("found_primary") > 0)
+    return (F.size("found") > 0) & primary
+
+
+def match_files(files: DataFrame, secondary, primary=None, extensions=(), every=False) -> DataFrame:
     """Files that hold a search term, with all terms found: one row per file.
 
     ``primary=None`` searches the secondary keywords alone; otherwise a file
     must hold a primary keyword as well. Adds ``ext``, ``found`` and
-    ``found_primary``.
+    ``found_primary``. ``every`` keeps files without a term, with nothing found,
+    so that they count as versions of their URL.
     """
     secondary = [w for w in secondary if w]
     content = F.col("content")
@@ -154,12 +161,11 @@ def match_files(files: DataFrame, secondary, primary=None, extensions=()) -> Dat
         files.where(content.isNotNull() & has_extension(ext, extensions)),
         files.columns,
         **exprs,
-    ).where(F.size("found") > 0)
+    )
     if primary is None:
-        return matched.withColumn(
-            "found_primary", F.lit(None).cast("array<struct<kw:string,n:int>>")
-        )
-    return matched.where(F.size("found_primary") > 0)
+        nothing = F.lit(None).cast("array<struct<kw:string,n:int>>")
+        matched = matched.withColumn("found_primary", nothing)
+    return matched if every else matched.where(has_terms())
 
 
 def keyword_match(files: DataFrame, secondary, primary=None, extensions=()) -> DataFrame:

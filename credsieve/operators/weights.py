@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 def key_weight(df: DataFrame, confidence: DataFrame, keyword="kw", extension="ext") -> DataFrame:
     """Add ``keyword_weight``, ``extension_weight`` and their sum ``Key_Weight``.
 
-    Unknown keys weigh 0. The weight table is a short list whose size the
-    optimizer knows, so it decides on the broadcast.
+    Unknown keys weigh 0; of several weights of a key the highest counts, so no
+    row is repeated. The weight table is a short list whose size the optimizer
+    knows, so it decides on the broadcast.
     """
+    confidence = confidence.groupBy("key").agg(F.max("value").alias("value"))
     by_keyword = confidence.select(
         F.col("key").alias(keyword), F.col("value").alias("keyword_weight")
     )

@@ -7,7 +7,7 @@ from credsieve.operators.ledger import drop_seen, ledger_rows
 from credsieve.operators.queries import enterprise_query, public_query
 from credsieve.operators.report import run_report
 from credsieve.plans.scan import PUBLIC, ScanConfig, detections, scanned_pairs, stage_files
-from credsieve.scratch import written
+from credsieve.scratch import run_folder, written
 
 
 def with_query(detected: DataFrame, config: ScanConfig) -> DataFrame:
@@ -22,21 +22,22 @@ def with_query(detected: DataFrame, config: ScanConfig) -> DataFrame:
 def run_scan(files: DataFrame, config: ScanConfig, ledger=None, model=None, **inputs) -> dict:
     """``detections``, new ``ledger`` rows and ``report`` of one run.
 
-    The body pass is written once; the three results read its narrow rows.
+    The body pass is written once; the three results read its narrow rows. They are
+    written too, and what the run wrote besides, plain secrets among it, is removed
+    when it ends, however it ends.
     """
-    staged = written(stage_files(files, config), "staged")
-    pairs = scanned_pairs(staged, config)
-    if ledger is not None:
-        pairs = drop_seen(pairs, ledger)
-    found = detections(staged, config, ledger=ledger, model=model, **inputs)
-    if model is None:
-        kept = found = written(found, "detections")
-        all_found = found
-    else:
-        kept = written(found, "detections")
-        all_found = detections(staged, config, ledger=ledger, **inputs)
-    return {
-        "detections": kept,
-        "ledger": ledger_rows(pairs),
-        "report": run_report(pairs, with_query(all_found, config), with_query(kept, config)),
-    }
+    with run_folder(files.sparkSession):
+        staged = written(stage_files(files, config), "staged")
+        pairs = scanned_pairs(staged, config)
+        if ledger is not None:
+            pairs = drop_seen(pairs, ledger)
+        found = detections(staged, config, ledger=ledger, model=model, **inputs)
+        kept = all_found = written(found, "detections", keep=True)
+        if model is not None:
+            all_found = detections(staged, config, ledger=ledger, **inputs)
+        report = run_report(pairs, with_query(all_found, config), with_query(kept, config))
+        return {
+            "detections": kept,
+            "ledger": written(ledger_rows(pairs), "ledger", keep=True),
+            "report": written(report, "report", keep=True),
+        }

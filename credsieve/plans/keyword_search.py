@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from credsieve import schemas
 from credsieve.operators.commits import attach_commits, stamp
 from credsieve.operators.ledger import drop_seen, fingerprint, latest_per_url
-from credsieve.operators.queries import enterprise_query, match_files
+from credsieve.operators.queries import enterprise_query, has_terms, match_files
 from credsieve.plans.scan import PUBLIC, ScanConfig, with_fetch_url
 
 
@@ -19,10 +19,11 @@ def search_keywords(
 
     Public results report the keyword with its quotes, enterprise ones without.
     """
-    matched = match_files(files, keywords)
-    matched = matched.select("file_id", "html_url", "indexed_at", "found")
+    matched = match_files(files, keywords, every=config.dedupe)
+    matched = matched.select("file_id", "html_url", "indexed_at", "found", "found_primary")
     if config.dedupe:
-        matched = latest_per_url(matched)
+        matched = latest_per_url(matched).where(has_terms())
+    matched = matched.drop("found_primary")
     rows = matched.withColumn("kw", F.explode("found.kw")).drop("found")
     rows = with_fetch_url(rows, config).withColumn("query", enterprise_query(F.col("kw")))
     rows = rows.withColumn("hashed_url", fingerprint(F.col("fetch_url"), F.col("query")))

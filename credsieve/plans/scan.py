@@ -26,7 +26,7 @@ from credsieve.functions.score import (
 from credsieve.operators.commits import attach_commits, stamp
 from credsieve.operators.dictionary import dictionary_match
 from credsieve.operators.ledger import drop_seen, fingerprint, latest_per_url
-from credsieve.operators.queries import enterprise_query, match_files, public_query
+from credsieve.operators.queries import enterprise_query, has_terms, match_files, public_query
 from credsieve.operators.weights import key_weight
 from credsieve.sources.lists import read_confidence
 
@@ -129,12 +129,19 @@ def stage_files(files: DataFrame, config: ScanConfig) -> DataFrame:
     """The body pass: one narrow row per file with a search term.
 
     ``hits`` is ARRAY<STRUCT<secret, entropy, matches ARRAY<STRUCT<kw, n, line>>>>;
-    it is null for a file a gate stopped, and empty without a hit line.
+    it is null for a file a gate stopped, and empty without a hit line. The newest
+    version of a URL counts even if it holds no term any more; so with ``dedupe``
+    files without one stay, without their body, until the versions are ranked.
     """
-    matched = match_files(files, config.words, config.primary, config.extensions)
+    matched = match_files(
+        files, config.words, config.primary, config.extensions, every=config.dedupe
+    )
     keep = [c for c in matched.columns if c != "content"]
-    staged = compute_once(matched, keep, hits=built_once(_hits, config))
-    return latest_per_url(staged) if config.dedupe else staged
+    hits = built_once(_hits, config)
+    if not config.dedupe:
+        return compute_once(matched, keep, hits=hits)
+    staged = compute_once(matched, keep, hits=F.when(has_terms(), hits))
+    return latest_per_url(staged).where(has_terms())
 
 
 def _hits(config):

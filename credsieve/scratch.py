@@ -1,6 +1,8 @@
 """Intermediate tables in the shared folder named by ``spark.checkpoint.dir``."""
 
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,13 +17,46 @@ def scratch_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/credsieve/{name}-{uuid.uuid4().hex}"
+_runs = threading.local()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and read it back: computed once, survives lost executors."""
+def _run_folders() -> list[str]:
+    """Folders of the runs under way in this thread, the innermost last."""
+    if not hasattr(_runs, "folders"):
+        _runs.folders = []
+    return _runs.folders
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def run_folder(spark: SparkSession):
+    """Tables written meanwhile lie in one folder, which is removed at the end, also
+    after a failure: they may hold plain secrets."""
+    folder = f"{scratch_dir(spark)}/credsieve/run-{uuid.uuid4().hex}"
+    _run_folders().append(folder)
+    try:
+        yield
+    finally:
+        _run_folders().remove(folder)
+        remove(spark, folder)
+
+
+def new_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    runs = _run_folders()
+    folder = f"{scratch_dir(spark)}/credsieve" if keep or not runs else runs[-1]
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` once and read it back: computed once, survives lost executors.
+    ``keep``: the table outlives the run that makes it."""
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = new_path(spark, name, keep)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table

@@ -87,7 +87,7 @@ def read_dictionary(spark, path) -> DataFrame:
 
 
 def read_confidence(spark, path=None) -> DataFrame:
-    """Weight per keyword or extension; an empty table is an error."""
+    """Weight per keyword or extension; an empty table or a repeated key is an error."""
     if path is None:
         keys, values = zip(*R.CONFIDENCE)
         return spark.createDataFrame(
@@ -98,6 +98,9 @@ def read_confidence(spark, path=None) -> DataFrame:
     ).where("key is not null")
     if table.isEmpty():
         raise ValueError(f"no confidence values in {path}")
+    twice = table.groupBy("key").count().where("count > 1").orderBy("key").first()
+    if twice is not None:
+        raise ValueError(f"several confidence values for {twice['key']!r} in {path}")
     return table
 
 

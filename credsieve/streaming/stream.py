@@ -7,6 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from credsieve.plans.job import run_scan
 from credsieve.plans.scan import ScanConfig
+from credsieve.scratch import remove
 
 
 def _seen_before(spark, ledger_path, batch_id):
@@ -35,6 +36,8 @@ def scan_stream(
         part = f"batch_id={batch_id}"
         out["detections"].write.mode("overwrite").parquet(f"{detections_path}/{part}")
         out["ledger"].write.mode("overwrite").parquet(f"{ledger_path}/{part}")
+        for table in out.values():
+            remove(spark, table.scratch_path)
 
     return (
         files.writeStream.foreachBatch(scan_batch)
