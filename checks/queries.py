@@ -208,13 +208,10 @@ def search_results(spark, sf):
 
 @query(
     """SELECT doc_id AS file_id, length(text) AS chars, md5(text) AS digest FROM documents
-WHERE lang <> 'fr' AND text IS NOT NULL"""
+WHERE text IS NOT NULL"""
 )
 def code_files(spark, sf):
-    raw = X.document_files(spark, sf).withColumn(
-        "content", F.when(~F.col("html_url").contains("/fr/"), F.col("content"))
-    )
-    return landed.code_files(raw).select(
+    return landed.code_files(X.document_files(spark, sf)).select(
         "file_id", F.length("content").alias("chars"), F.md5("content").alias("digest")
     )
 
@@ -364,11 +361,11 @@ def scope_filter_repos(spark, sf):
 
 @query(
     f"""WITH {O.FILES} SELECT file_id, strftime(indexed_at, '%Y-%m-%d') AS indexed
-FROM files ORDER BY indexed_at DESC, html_url LIMIT 100"""
+FROM files"""
 )
 def newest_first(spark, sf):
-    top = query_ops.newest_first(X.code_files(spark, sf).drop("content"), limit=100)
-    return top.select("file_id", F.date_format("indexed_at", "yyyy-MM-dd").alias("indexed"))
+    ordered = query_ops.newest_first(X.code_files(spark, sf).drop("content"))
+    return ordered.select("file_id", F.date_format("indexed_at", "yyyy-MM-dd").alias("indexed"))
 
 
 # --- URLs --------------------------------------------------------------------
@@ -862,6 +859,30 @@ def scan_creds_core(spark, sf):
     return rounded(scan.scan_creds(X.code_files(spark, sf), config))
 
 
+# Every second file landed again a day later: of those, every third as it was, every
+# third without a keyword, every third too short to be scanned.
+_LATER = """SELECT file_id + 1000000000 AS file_id, html_url, indexed_at + INTERVAL 1 DAY AS indexed_at,
+CASE file_id % 3 WHEN 0 THEN content WHEN 1 THEN concat('nothing', chr(10), 'to', chr(10), 'find') ELSE 'password' END AS content
+FROM {files} WHERE file_id % 2 = 0"""
+_NEWEST = O.FILES.replace("files AS (", "landed AS (", 1) + f""",
+versions AS (SELECT file_id, html_url, indexed_at, content FROM landed UNION ALL {_LATER.format(files="landed")}),
+files AS (SELECT file_id, html_url, indexed_at, content FROM
+  (SELECT *, row_number() OVER (PARTITION BY html_url ORDER BY indexed_at DESC, file_id DESC) AS version FROM versions)
+  WHERE version = 1)"""
+
+
+def _versions(spark, sf):
+    files = X.code_files(spark, sf)
+    return files.unionByName(spark.sql(_LATER, files=files))
+
+
+@query(O.detections("creds", "enterprise", X.CORE_KEYWORDS, dictionary=False, commits=False).replace(O.FILES, _NEWEST, 1))
+def scan_creds_versions(spark, sf):
+    """Only the newest version of a file is scanned, also when it has lost its keyword."""
+    config = replace(CONFIG, keywords=X.CORE_KEYWORDS)
+    return rounded(scan.scan_creds(_versions(spark, sf), config))
+
+
 @query(
     O.detections("creds", "enterprise", R.SECONDARY_CREDS, dictionary=False, commits=False)
     + f""" CROSS JOIN (SELECT unnest(range(4)) AS copy)
@@ -1154,7 +1175,7 @@ def train(spark, sf):
 @query()
 def ml_filter(spark, sf):
     """Credential scan without the predicted false positives."""
-    model, _ = _model(spark, sf, trees=50)
+    model, _ = _model(spark, sf)
     config = replace(CONFIG, keywords=X.CORE_KEYWORDS)
     return scan.scan_creds(X.code_files(spark, sf), config, model=model)
 

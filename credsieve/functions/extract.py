@@ -43,7 +43,7 @@ def _aws_secret_lines(c: Column) -> Column:
     return F.when(named, found).otherwise(F.array().cast(_NO_STRINGS))
 
 
-def key_candidates(c: Column, patterns=R.KEY_PATTERNS) -> Column:
+def key_candidates(c: Column, patterns=R.KEY_BANK) -> Column:
     """Distinct matches of all key patterns in a text cleaned for keys.
 
     Long runs of key characters are cut out once; the patterns made of such
@@ -61,6 +61,9 @@ def key_candidates(c: Column, patterns=R.KEY_PATTERNS) -> Column:
 def _key_matches(text, runs, patterns):
     parts, guarded = [], {}
     for name, regex in patterns:
+        if (name, regex) == R.AWS_SECRET_LINE:
+            parts.append(_aws_secret_lines(text))
+            continue
         java = F.lit("(?d)" + R.PATTERN_RUN_STARTS.get(name, "") + regex)
         known = (name, regex) in R.KEY_PATTERNS
         needle = R.PATTERN_NEEDLES.get(name) if known else None
@@ -76,7 +79,8 @@ def _key_matches(text, runs, patterns):
                 F.array().cast(_NO_STRINGS)
             )
         )
-    parts.append(_aws_secret_lines(text))
+    if not parts:
+        return F.array().cast(_NO_STRINGS)
     return F.filter(F.array_distinct(F.flatten(F.array(*parts))), lambda k: k != "")
 
 

@@ -6,7 +6,14 @@ from pyspark.sql import functions as F
 from credsieve.operators.ledger import drop_seen, ledger_rows
 from credsieve.operators.queries import enterprise_query, public_query
 from credsieve.operators.report import run_report
-from credsieve.plans.scan import PUBLIC, ScanConfig, detections, scanned_pairs, stage_files
+from credsieve.plans.scan import (
+    PUBLIC,
+    ScanConfig,
+    detections,
+    scanned_pairs,
+    stage_files,
+    training_config,
+)
 from credsieve.scratch import run_folder, written
 
 
@@ -41,3 +48,19 @@ def run_scan(files: DataFrame, config: ScanConfig, ledger=None, model=None, **in
             "ledger": written(ledger_rows(pairs), "ledger", keep=True),
             "report": written(report, "report", keep=True),
         }
+
+
+def run_collection(files: DataFrame, config: ScanConfig, ledger=None, **inputs) -> dict:
+    """``training`` rows and new ``ledger`` rows of a collection run; a later run that is
+    given the ledger collects from new files only."""
+    config = training_config(config)
+    with run_folder(files.sparkSession):
+        staged = written(stage_files(files, config), "staged")
+        pairs = scanned_pairs(staged, config)
+        if ledger is not None:
+            pairs = drop_seen(pairs, ledger)
+        rows = detections(staged, config, ledger=ledger, **inputs).withColumn("Label", F.lit(1))
+        return {
+            "training": written(rows, "training", keep=True),
+            "ledger": written(ledger_rows(pairs), "ledger", keep=True),
+        }

@@ -7,28 +7,28 @@ from pyspark.sql import functions as F
 
 from credsieve import schemas
 from credsieve.operators.commits import attach_commits, stamp
-from credsieve.operators.ledger import drop_seen, fingerprint, latest_per_url
+from credsieve.operators.ledger import drop_seen, fingerprint, latest_per_url, ledger_rows
 from credsieve.operators.queries import enterprise_query, has_terms, match_files
 from credsieve.plans.scan import PUBLIC, ScanConfig, with_fetch_url
+from credsieve.scratch import written
 
 
-def search_keywords(
-    files: DataFrame, keywords, config: ScanConfig, ledger=None, commits=None
-) -> DataFrame:
-    """One row per new (file, keyword). The body only serves to find the word.
-
-    Public results report the keyword with its quotes, enterprise ones without.
-    """
+def keyword_files(files: DataFrame, keywords, config: ScanConfig, ledger=None) -> DataFrame:
+    """One row per (file, keyword) the ledger does not hold, with URL parts and fingerprint.
+    The body only serves to find the word."""
     matched = match_files(files, keywords, every=config.dedupe)
     matched = matched.select("file_id", "html_url", "indexed_at", "found", "found_primary")
     if config.dedupe:
         matched = latest_per_url(matched).where(has_terms())
-    matched = matched.drop("found_primary")
-    rows = matched.withColumn("kw", F.explode("found.kw")).drop("found")
+    rows = matched.drop("found_primary").withColumn("kw", F.explode("found.kw")).drop("found")
     rows = with_fetch_url(rows, config).withColumn("query", enterprise_query(F.col("kw")))
     rows = rows.withColumn("hashed_url", fingerprint(F.col("fetch_url"), F.col("query")))
-    if ledger is not None:
-        rows = drop_seen(rows, ledger)
+    return rows if ledger is None else drop_seen(rows, ledger)
+
+
+def keyword_detections(rows: DataFrame, config: ScanConfig, commits=None) -> DataFrame:
+    """Report rows of ``keyword_files``. Public results report the keyword with its
+    quotes, enterprise ones without."""
     if commits is not None:
         rows = attach_commits(rows, commits)
     else:
@@ -45,6 +45,23 @@ def search_keywords(
     return rows.select(*schemas.KEYWORD_DETECTIONS)
 
 
+def search_keywords(
+    files: DataFrame, keywords, config: ScanConfig, ledger=None, commits=None
+) -> DataFrame:
+    """One row per new (file, keyword)."""
+    return keyword_detections(keyword_files(files, keywords, config, ledger), config, commits)
+
+
+def run_search(files, keywords, config: ScanConfig, ledger=None, commits=None) -> dict:
+    """``detections`` and new ``ledger`` rows of a search; the files are read once. A later
+    search that is given the ledger reports new files only."""
+    rows = written(keyword_files(files, keywords, config, ledger), "found", keep=True)
+    return {
+        "detections": keyword_detections(rows, config, commits),
+        "ledger": ledger_rows(rows),
+    }
+
+
 def search_public(files, keywords, config=None, **inputs) -> DataFrame:
     return search_keywords(files, keywords, replace(config or ScanConfig(), source=PUBLIC), **inputs)
 

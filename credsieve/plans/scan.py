@@ -51,7 +51,7 @@ class ScanConfig:
     primary: tuple | None = None
     extensions: tuple = ()
     stop_words: tuple = R.STOP_WORDS
-    patterns: tuple = R.KEY_PATTERNS
+    patterns: tuple = R.KEY_BANK
     tlds: tuple = R.TLDS
     case_sensitive: bool = False
     unmask: bool = False
@@ -340,8 +340,11 @@ def scan_keys(files, config=None, **inputs) -> DataFrame:
 
 def collect_training(files, config: ScanConfig, **inputs) -> DataFrame:
     """Training rows: raw lines, case-sensitive keywords, default label 1."""
-    config = replace(
+    return scan(files, training_config(config), **inputs).withColumn("Label", F.lit(1))
+
+
+def training_config(config: ScanConfig) -> ScanConfig:
+    return replace(
         config, unmask=True, case_sensitive=True, keep_secret=True,
         columns=tuple(c for c in schemas.TRAINING_SOURCE if c != "Label"),
     )
-    return scan(files, config, **inputs).withColumn("Label", F.lit(1))

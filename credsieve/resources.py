@@ -404,6 +404,10 @@ PATTERN_RUN_STARTS = {
 # the characters of the 40 character secret.
 AWS_SECRET_NAMES = ("awsSecretKey", "aws_secret", "api-key", "aws_account_secret")
 AWS_SECRET_CHARS = "A-Za-z0-9/+="
+# The whole bank: the patterns above and the line pattern made of these names,
+# which is matched in two linear steps instead of by one expression.
+AWS_SECRET_LINE = ("AWS secret line", "")
+KEY_BANK = (*KEY_PATTERNS, AWS_SECRET_LINE)
 
 # Characters blanked before keys (and the pair 0x) or
 # credentials are looked for.

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from credsieve.operators.dictionary import dictionary_match
 from credsieve.operators.weights import key_weight
 from credsieve.plans import scan as S
-from credsieve.plans.job import run_scan
-from credsieve.plans.keyword_search import search_enterprise
+from credsieve.functions.extract import key_candidates
+from credsieve.plans.job import run_collection, run_scan
+from credsieve.plans.keyword_search import run_search, search_enterprise
 from credsieve.sources.lists import read_confidence
 
 CONFIG = S.ScanConfig(keywords=("token",), unmask=True)
@@ -96,3 +97,30 @@ def test_a_run_leaves_no_plain_secret(spark):
     with pytest.raises(Exception):
         run_scan(files, CONFIG, ngrams=Broken())
     assert scratch_files(spark) == before
+
+
+def test_second_runs_find_new_files_only(spark):
+    first = versions(spark, ("a.py", 1, SECRET), ("b.py", 1, "a\nnothing\nb\n"))
+    later = first.unionByName(versions(spark, ("c.py", 2, SECRET)))
+    search = run_search(first, ["token"], CONFIG)
+    assert search["detections"].count() == search["ledger"].count() == 1
+    again = run_search(later, ["token"], CONFIG, ledger=search["ledger"])
+    assert [r.URL[-4:] for r in again["detections"].collect()] == ["c.py"]
+    collected = run_collection(first, CONFIG)
+    assert collected["training"].count() == collected["ledger"].count() == 1
+    again = run_collection(later, CONFIG, ledger=collected["ledger"])
+    assert again["training"].count() == again["ledger"].count() == 1
+
+
+def test_patterns_are_obeyed(spark):
+    from credsieve import resources as R
+
+    line = f"awsSecretKey {'a' * 39}B x"
+    rows = spark.createDataFrame([(line,)], "t string")
+
+    def found(patterns):
+        return rows.select(key_candidates(F.col("t"), patterns).alias("k")).first().k
+
+    assert found(()) == []
+    assert found((R.AWS_SECRET_LINE,)) == [line[:-2]] == found(R.KEY_BANK)
+    assert found(R.KEY_PATTERNS) == []
