@@ -122,5 +122,5 @@ def test_patterns_are_obeyed(spark):
         return rows.select(key_candidates(F.col("t"), patterns).alias("k")).first().k
 
     assert found(()) == []
-    assert found((R.AWS_SECRET_LINE,)) == [line[:-2]] == found(R.KEY_BANK)
-    assert found(R.KEY_PATTERNS) == []
+    assert found((R.AWS_SECRET_LINE,)) == [line[:-2]]
+    assert line[:-2] in found(R.KEY_BANK) and line[:-2] not in found(R.KEY_PATTERNS)
