@@ -16,11 +16,15 @@ from credsieve.llm.common import discard, fresh, keyed, read, release, written
 MIN_WORDS = 5
 COUNTS = ("n_lines", "n_removed", "n_long_left")
 _LINE = ["h", "g"]
+_RARE_BLANKS = "\t\x0b\x0c\r"
 
 
 def line_words(line):
     """Words of a line column: runs of other characters than space, \\t, \\v, \\f, \\r."""
-    spaced = F.translate(line, "\t\x0b\x0c\r", "    ")
+    rare = F.lit(False)
+    for blank in _RARE_BLANKS:  # a plain search; most lines are spared the translation
+        rare = rare | F.contains(line, F.lit(blank))
+    spaced = F.when(rare, F.translate(line, _RARE_BLANKS, "    ")).otherwise(line)
     return F.array_remove(F.split(spaced, " "), "")
 
 
