@@ -232,11 +232,11 @@ _TREE_SQL = """tree AS (SELECT concat('n', CAST(c_nationkey AS STRING), '/',
 _TREE_EXTENSIONS = ("py", "json", "gitignore")
 
 
-def _tree(spark, sf):
-    """Write the tree into the scratch folder; gives its root."""
-    root = new_path(spark, "tree").removeprefix("file:")
+def _tree(spark, sf, root=None, part=""):
+    """Write the tree into the scratch folder, or a part of it again; gives its root."""
+    root = root or new_path(spark, "tree").removeprefix("file:")
     rows = spark.sql(
-        "WITH " + _TREE_SQL.replace("FROM customer", "FROM {customer}") + " SELECT * FROM tree",
+        "WITH " + _TREE_SQL.replace("FROM customer", f"FROM {{customer}} {part}") + " SELECT * FROM tree",
         customer=X.table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_name"),
     )
 
@@ -883,6 +883,19 @@ def scan_creds_versions(spark, sf):
     return rounded(scan.scan_creds(_versions(spark, sf), config))
 
 
+@query(
+    O.detections("creds", "enterprise", X.CORE_KEYWORDS, dictionary=False).replace(
+        O.FILES, _NEWEST.replace("WHERE version = 1)", "WHERE version = 1 AND file_id >= 1000000000)"), 1
+    )
+)
+def scan_creds_newer_versions(spark, sf):
+    """A second run reads only what landed after the versions that the first one scanned."""
+    config, commits = replace(CONFIG, keywords=X.CORE_KEYWORDS), X.commits_raw(spark, sf)
+    first = job.run_scan(X.code_files(spark, sf), config)
+    again = job.run_scan(_versions(spark, sf), config, scanned=first["scanned"], commits=commits)
+    return rounded(again["detections"])
+
+
 @query(
     O.detections("creds", "enterprise", R.SECONDARY_CREDS, dictionary=False, commits=False)
     + f""" CROSS JOIN (SELECT unnest(range(4)) AS copy)
@@ -933,20 +946,53 @@ def _file_side(kind, words, label):
 _TREE_FILES = f"""{_TREE_SQL}, {_TREE_LISTED}, files AS (SELECT path AS file_id, path AS html_url, content FROM listed)"""
 
 
-@query(
-    f"""SELECT Source, Second_Key, Extension, URL, Code, max(Score) AS Score FROM (
-SELECT * FROM (WITH {_TREE_FILES}, {O.hits_ctes('creds', R.SECONDARY_CREDS)}, {O.score_ctes(False)} {_file_side('creds', None, 'Credential')})
-UNION ALL
-SELECT * FROM (WITH {_TREE_FILES}, {O.hits_ctes('keys', R.SECONDARY_KEYS)}, {O.score_ctes(False)} {_file_side('keys', None, 'Key & Token')}))
-GROUP BY Source, Second_Key, Extension, URL, Code"""
-)
-def scan_files(spark, sf):
-    root = _tree(spark, sf)
-    found = file_scan.scan_files(spark, [root], _TREE_EXTENSIONS, replace(CONFIG, extensions=()))
+def _file_scan_sql(dictionary, part=""):
+    files = _TREE_FILES.replace("FROM customer", f"FROM customer {part}")
+    sides = [
+        f"SELECT * FROM (WITH {files}, {O.hits_ctes(kind, words)}, {O.score_ctes(dictionary)} {_file_side(kind, None, label)})"
+        for kind, words, label in (
+            ("creds", R.SECONDARY_CREDS, "Credential"),
+            ("keys", R.SECONDARY_KEYS, "Key & Token"),
+        )
+    ]
+    return f"""SELECT Source, Second_Key, Extension, URL, Code, max(Score) AS Score
+FROM ({' UNION ALL '.join(sides)}) GROUP BY Source, Second_Key, Extension, URL, Code"""
+
+
+def _file_rows(root, found):
     found = found.select("Source", "Second_Key", "Extension", "URL", "Code", "Score")
     return rounded(found.withColumn("URL", _below(root, F.col("URL"))))
 
 
+@query(_file_scan_sql(False))
+def scan_files(spark, sf):
+    root = _tree(spark, sf)
+    config = replace(CONFIG, extensions=())
+    return _file_rows(root, file_scan.scan_files(spark, [root], _TREE_EXTENSIONS, config))
+
+
+@query(_file_scan_sql(True))
+def scan_files_with_dictionary(spark, sf):
+    root = _tree(spark, sf)
+    config, ngrams = replace(CONFIG, extensions=()), X.ngram_table(spark, sf)
+    found = file_scan.scan_files(spark, [root], _TREE_EXTENSIONS, config, ngrams=ngrams)
+    return _file_rows(root, found)
+
+
+_CHANGED = "WHERE c_custkey % 3 = 0"
+
+
+@query(_file_scan_sql(False, _CHANGED))
+def scan_files_second_run(spark, sf):
+    """Only files written again since the first run, told by its file ledger."""
+    root = _tree(spark, sf)
+    config = replace(CONFIG, extensions=())
+    first = file_scan.run_file_scan(spark, [root], _TREE_EXTENSIONS, config)
+    _tree(spark, sf, root, _CHANGED)
+    again = file_scan.scan_files(spark, [root], _TREE_EXTENSIONS, config, first["ledger"])
+    return _file_rows(root, again)
+
+
 _CUSTOM = ("changeme", "DB_PASSWORD", "nothing of the kind")
 
 

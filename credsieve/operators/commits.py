@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from credsieve import schemas
 from credsieve.functions.common import let
+from credsieve.operators.partitioning import semi_join
 
 _KEYS = ["owner", "repo", "file_path"]
 
@@ -31,13 +32,19 @@ def format_commits(status, body):
     return F.when(status == 200, F.coalesce(parsed, F.lit("{}"))).otherwise(F.lit("{}"))
 
 
-def attach_commits(df: DataFrame, commits: DataFrame) -> DataFrame:
+def attach_commits(df: DataFrame, commits: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """Add ``Commit_Details`` by (owner, repo, file_path); ``{}`` where unknown.
 
     Replies landed twice count once, a good one first. The JSON is parsed after
     the join, so only replies of files with a detection are. Rows per file are
     few: the candidates of one version of a file, see ``latest_per_url``.
+
+    ``wanted``: a stored table with the keys of all rows of ``df``, repeated or
+    not. Replies of other files then go before anything is grouped or shuffled,
+    so the cost follows the detections and not the commit corpus.
     """
+    if wanted is not None:
+        commits = semi_join(commits, wanted.select(*_KEYS), _KEYS)
     one_reply = commits.groupBy(*_KEYS).agg(
         F.max(F.struct((F.col("status") == 200).alias("ok"), "status", "body")).alias("reply")
     )

@@ -5,12 +5,10 @@ from pyspark.sql import functions as F
 
 from credsieve.functions.common import let
 from credsieve.functions.score import char_ngrams
-from credsieve.operators.partitioning import SALTS, left_join_hot
+from credsieve.operators.partitioning import BROADCAST_ROWS, SALTS, fits_broadcast, left_join_hot
 from credsieve.scratch import written
 
 MIN_DOC_SHARE = 1e-5
-# Rows of the n-gram table up to which it is broadcast (about 100 bytes each).
-MAX_BROADCAST_NGRAMS = 2_000_000
 
 
 def dictionary_words(documents: DataFrame, text="text") -> DataFrame:
@@ -50,18 +48,14 @@ def build_ngram_table(words: DataFrame) -> DataFrame:
     )
 
 
-def is_broadcastable(ngrams: DataFrame, max_rows=MAX_BROADCAST_NGRAMS) -> bool:
-    return ngrams.limit(max_rows + 1).count() <= max_rows
-
-
-def dictionary_match(df: DataFrame, ngrams: DataFrame, secret="secret", max_rows=MAX_BROADCAST_NGRAMS):
+def dictionary_match(df: DataFrame, ngrams: DataFrame, secret="secret", max_rows=BROADCAST_ROWS):
     """Add ``match``: sum over the pieces of the secret of the piece's log total.
 
-    ``ngrams`` should be a stored table, as it is counted first. Equal rows of
+    ``ngrams`` should be a stored table, as it is measured first. Equal rows of
     ``df`` stay apart, each with its own match.
     """
     table = ngrams.select("ngram", "log_total")
-    if is_broadcastable(table, max_rows):
+    if fits_broadcast(table, max_rows):
         return _match_broadcast(df, table, secret)
     return _match_shuffled(df, table, secret, max_rows)
 

@@ -4,6 +4,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 32
+#: Rows, and bytes as ``row_bytes`` counts them, up to which a join side is broadcast.
+BROADCAST_ROWS = 2_000_000
+BROADCAST_BYTES = 128 << 20
+#: What a row costs in a hash table besides its values.
+_ROW_COST = 32
 
 
 def fill_cores(table: DataFrame, key: str) -> DataFrame:
@@ -19,14 +24,37 @@ def fill_cores(table: DataFrame, key: str) -> DataFrame:
     return table.repartition(cores, key)
 
 
-def left_join_hot(left: DataFrame, right: DataFrame, keys, max_rows=1_000_000, salts=SALTS):
-    """Left join to a side with one row per key, where ``left`` may have hot keys.
+def row_bytes(table: DataFrame):
+    """Column: bytes of a row, its values as text plus a fixed cost."""
+    own = [F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in table.columns]
+    return sum(own, F.lit(_ROW_COST)).cast("long")
 
-    The right side is counted: a small one is broadcast, so ``left`` is not
+
+def fits_broadcast(table: DataFrame, max_rows=BROADCAST_ROWS) -> bool:
+    """Whether a stored table is small enough, in rows and in bytes."""
+    size = table.agg(F.count("*").alias("rows"), F.sum(row_bytes(table)).alias("bytes")).first()
+    return size.rows <= max_rows and (size.bytes or 0) <= BROADCAST_BYTES
+
+
+def semi_join(big: DataFrame, keys: DataFrame, on, max_rows=BROADCAST_ROWS) -> DataFrame:
+    """Rows of ``big`` whose key is in the stored table ``keys``.
+
+    Small ``keys`` are broadcast, so ``big`` stays where it is; others are left to
+    the optimizer, which shuffles both sides. The rows are the same either way.
+    """
+    if fits_broadcast(keys, max_rows):
+        keys = F.broadcast(keys)
+    return big.join(keys, on, "left_semi")
+
+
+def left_join_hot(left: DataFrame, right: DataFrame, keys, max_rows=BROADCAST_ROWS, salts=SALTS):
+    """Left join to a stored table with one row per key, where ``left`` may have hot keys.
+
+    The right side is measured: a small one is broadcast, so ``left`` is not
     shuffled at all. Beyond that each key of ``left`` is spread over ``salts``
     tasks and the right side is repeated per salt.
     """
-    if right.limit(max_rows + 1).count() <= max_rows:
+    if fits_broadcast(right, max_rows):
         return left.join(F.broadcast(right), keys, "left")
     salt = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
     repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

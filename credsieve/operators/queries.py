@@ -124,7 +124,7 @@ def found_words(content, words):
     return let(F.lower(content), search)
 
 
-def _found_in_content(words):
+def found_in_content(words):
     return found_words(F.col("content"), words)
 
 
@@ -153,10 +153,10 @@ def match_files(files: DataFrame, secondary, primary=None, extensions=(), every=
     secondary = [w for w in secondary if w]
     content = F.col("content")
     ext = url_extension(F.col("html_url"))
-    exprs = {"ext": ext, "found": built_once(_found_in_content, tuple(secondary))}
+    exprs = {"ext": ext, "found": built_once(found_in_content, tuple(secondary))}
     if primary is not None:
         words = tuple(p for p in primary if p and p.strip())
-        exprs["found_primary"] = built_once(_found_in_content, words)
+        exprs["found_primary"] = built_once(found_in_content, words)
     matched = compute_once(
         files.where(content.isNotNull() & has_extension(ext, extensions)),
         files.columns,

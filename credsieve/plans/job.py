@@ -4,15 +4,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from credsieve.operators.ledger import drop_seen, ledger_rows
-from credsieve.operators.queries import enterprise_query, public_query
+from credsieve.operators.queries import enterprise_query, has_terms, public_query
 from credsieve.operators.report import run_report
 from credsieve.plans.scan import (
     PUBLIC,
     ScanConfig,
     detections,
     scanned_pairs,
+    scanned_versions,
     stage_files,
     training_config,
+    unscanned,
 )
 from credsieve.scratch import run_folder, written
 
@@ -26,27 +28,37 @@ def with_query(detected: DataFrame, config: ScanConfig) -> DataFrame:
     return detected.withColumn("query", query)
 
 
-def run_scan(files: DataFrame, config: ScanConfig, ledger=None, model=None, **inputs) -> dict:
-    """``detections``, new ``ledger`` rows and ``report`` of one run.
+def run_scan(
+    files: DataFrame, config: ScanConfig, ledger=None, scanned=None, model=None, **inputs
+) -> dict:
+    """``detections``, new ``ledger`` rows, ``report`` and ``scanned`` of one run.
 
-    The body pass is written once; the three results read its narrow rows. They are
+    The body pass is written once; the results read its narrow rows. They are
     written too, and what the run wrote besides, plain secrets among it, is removed
     when it ends, however it ends.
+
+    ``scanned`` lists the version of each URL that was scanned. Given the ``ledger``
+    and ``scanned`` rows of all earlier runs, a run finds what it would find with the
+    ledger alone, but reads only the bodies that landed since.
     """
     with run_folder(files.sparkSession):
-        staged = written(stage_files(files, config), "staged")
+        if scanned is not None:
+            files = unscanned(files, scanned, config)
+        every = written(stage_files(files, config, every=True), "staged")
+        staged = every.where(has_terms())
         pairs = scanned_pairs(staged, config)
         if ledger is not None:
             pairs = drop_seen(pairs, ledger)
-        found = detections(staged, config, ledger=ledger, model=model, **inputs)
+        found = detections(staged, config, ledger=ledger, model=model, stored=True, **inputs)
         kept = all_found = written(found, "detections", keep=True)
         if model is not None:
-            all_found = detections(staged, config, ledger=ledger, **inputs)
+            all_found = detections(staged, config, ledger=ledger, stored=True, **inputs)
         report = run_report(pairs, with_query(all_found, config), with_query(kept, config))
         return {
             "detections": kept,
             "ledger": written(ledger_rows(pairs), "ledger", keep=True),
             "report": written(report, "report", keep=True),
+            "scanned": written(scanned_versions(every, config), "scanned", keep=True),
         }
 
 
@@ -59,7 +71,7 @@ def run_collection(files: DataFrame, config: ScanConfig, ledger=None, **inputs)
         pairs = scanned_pairs(staged, config)
         if ledger is not None:
             pairs = drop_seen(pairs, ledger)
-        rows = detections(staged, config, ledger=ledger, **inputs).withColumn("Label", F.lit(1))
+        rows = detections(staged, config, ledger=ledger, stored=True, **inputs).withColumn("Label", F.lit(1))
         return {
             "training": written(rows, "training", keep=True),
             "ledger": written(ledger_rows(pairs), "ledger", keep=True),

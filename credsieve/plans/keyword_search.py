@@ -26,11 +26,11 @@ def keyword_files(files: DataFrame, keywords, config: ScanConfig, ledger=None) -
     return rows if ledger is None else drop_seen(rows, ledger)
 
 
-def keyword_detections(rows: DataFrame, config: ScanConfig, commits=None) -> DataFrame:
+def keyword_detections(rows: DataFrame, config: ScanConfig, commits=None, wanted=None) -> DataFrame:
     """Report rows of ``keyword_files``. Public results report the keyword with its
-    quotes, enterprise ones without."""
+    quotes, enterprise ones without. ``wanted``: see ``attach_commits``."""
     if commits is not None:
-        rows = attach_commits(rows, commits)
+        rows = attach_commits(rows, commits, wanted)
     else:
         rows = rows.withColumn("Commit_Details", F.lit("{}"))
     shown = F.col("query") if config.source == PUBLIC else F.col("kw")
@@ -57,7 +57,7 @@ def run_search(files, keywords, config: ScanConfig, ledger=None, commits=None) -
     search that is given the ledger reports new files only."""
     rows = written(keyword_files(files, keywords, config, ledger), "found", keep=True)
     return {
-        "detections": keyword_detections(rows, config, commits),
+        "detections": keyword_detections(rows, config, commits, wanted=rows),
         "ledger": ledger_rows(rows),
     }
 

@@ -6,6 +6,7 @@ only files with a search term leave it, as one narrow row each. All later
 steps (newest version, ledger, dictionary, weights, commits) work on those rows.
 """
 
+import hashlib
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
@@ -26,8 +27,16 @@ from credsieve.functions.score import (
 from credsieve.operators.commits import attach_commits, stamp
 from credsieve.operators.dictionary import dictionary_match
 from credsieve.operators.ledger import drop_seen, fingerprint, latest_per_url
-from credsieve.operators.queries import enterprise_query, has_terms, match_files, public_query
+from credsieve.operators.partitioning import semi_join
+from credsieve.operators.queries import (
+    enterprise_query,
+    found_in_content,
+    has_terms,
+    match_files,
+    public_query,
+)
 from credsieve.operators.weights import key_weight
+from credsieve.scratch import written
 from credsieve.sources.lists import read_confidence
 
 CREDS, KEYS = "creds", "keys"
@@ -125,13 +134,14 @@ def file_candidates(files: DataFrame, config: ScanConfig) -> DataFrame:
     return compute_once(matched, keep, candidates=found).where("candidates is not null")
 
 
-def stage_files(files: DataFrame, config: ScanConfig) -> DataFrame:
+def stage_files(files: DataFrame, config: ScanConfig, every=False) -> DataFrame:
     """The body pass: one narrow row per file with a search term.
 
     ``hits`` is ARRAY<STRUCT<secret, entropy, matches ARRAY<STRUCT<kw, n, line>>>>;
     it is null for a file a gate stopped, and empty without a hit line. The newest
     version of a URL counts even if it holds no term any more; so with ``dedupe``
     files without one stay, without their body, until the versions are ranked.
+    ``every`` leaves them in, for the record of what was scanned.
     """
     matched = match_files(
         files, config.words, config.primary, config.extensions, every=config.dedupe
@@ -141,18 +151,70 @@ def stage_files(files: DataFrame, config: ScanConfig) -> DataFrame:
     if not config.dedupe:
         return compute_once(matched, keep, hits=hits)
     staged = compute_once(matched, keep, hits=F.when(has_terms(), hits))
-    return latest_per_url(staged).where(has_terms())
+    newest = latest_per_url(staged)
+    return newest if every else newest.where(has_terms())
+
+
+def search_id(config: ScanConfig) -> str:
+    """Name of what a scan looks for; equal searches have equal names."""
+    what = (
+        config.kind, config.source, config.words, config.primary, config.extensions,
+        config.stop_words, config.patterns, config.tlds, config.case_sensitive,
+    )
+    return hashlib.md5(repr(what).encode()).hexdigest()
 
 
-def _hits(config):
-    """``hits`` of a file with ``content``, ``ext`` and ``found``."""
+def scanned_versions(staged: DataFrame, config: ScanConfig) -> DataFrame:
+    """The version of each URL that a run has scanned, from ``stage_files(every=True)``."""
+    return staged.select(*schemas.SCANNED_VERSIONS[:-1], F.lit(search_id(config)).alias("search"))
+
+
+def unscanned(files: DataFrame, scanned: DataFrame, config: ScanConfig) -> DataFrame:
+    """Files newer than the version of their URL that this search scanned before.
+
+    Decided on URL, time and id alone; bodies of other files are not read, and those
+    of the new ones are not shuffled while their ids are few enough to be broadcast.
+    """
+    if not config.dedupe:
+        raise ValueError("a scan of all versions has no newest one to go on from")
+    version = F.struct("indexed_at", "file_id")
+    last = (
+        scanned.where(F.col("search") == search_id(config))
+        .groupBy("html_url")
+        .agg(F.max(version).alias("_last"))
+    )
+    landed = files.select("file_id", "html_url", "indexed_at").join(last, "html_url", "left")
+    new = landed.where(F.col("_last").isNull() | (version > F.col("_last"))).select("file_id")
+    return semi_join(files, written(new, "new-files"), "file_id")
+
+
+def stage_kinds(files: DataFrame, configs, keep=()) -> DataFrame:
+    """The body pass of several searches without primary keywords over the same files,
+    each body read once: ``found_0``, ``hits_0`` and so on, one row per file, without a term too."""
+    ext = urls.url_extension(F.col("html_url"))
+    found = {
+        f"found_{k}": built_once(found_in_content, tuple(w for w in config.words if w))
+        for k, config in enumerate(configs)
+    }
+    matched = compute_once(files, files.columns, ext=ext, **found)
+    hits = {
+        f"hits_{k}": F.when(F.size(f"found_{k}") > 0, built_once(_hits, config, f"found_{k}"))
+        for k, config in enumerate(configs)
+    }
+    columns = ["file_id", "html_url", "indexed_at", "ext", *found, *keep]
+    staged = compute_once(matched, columns, **hits)
+    return staged.withColumn("no_primary", F.lit(None).cast("array<struct<kw:string,n:int>>"))
+
+
+def _hits(config, found="found"):
+    """``hits`` of a file with ``content``, ``ext`` and the column ``found``."""
 
     def of_candidates(secrets):
         return let(
             _strong(secrets),
             lambda strong: file_hits(
                 F.col("content"),
-                F.col("found"),
+                F.col(found),
                 strong,
                 config.kind == CREDS,
                 config.case_sensitive,
@@ -269,9 +331,13 @@ def candidate_hits(
 
 def detections(
     staged: DataFrame, config: ScanConfig, ledger=None, ngrams=None, confidence=None,
-    commits=None, model=None,
+    commits=None, model=None, stored=False,
 ) -> DataFrame:
-    """Scored, masked and enriched detections of staged files."""
+    """Scored, masked and enriched detections of staged files.
+
+    ``stored``: ``staged`` is a written table, so reading it once more for the files
+    whose commits are needed costs little.
+    """
     spark = staged.sparkSession
     rows = candidate_hits(staged, config, ledger, ngrams)
     if not config.dedupe:
@@ -303,7 +369,7 @@ def detections(
 
         rows = ml_filter(rows.withColumn("Code", F.col("line")), model).drop("Code")
     if commits is not None:
-        rows = attach_commits(rows, commits)
+        rows = attach_commits(rows, commits, _files_with_hits(staged, config) if stored else None)
     rows = stamp(rows, config.as_of).withColumn(
         "Code", code_column(F.col("line"), F.col("secret"), config.unmask, config.compat_mask)
     )
@@ -312,6 +378,12 @@ def detections(
     return rows.select(*_output_columns(config, commits is not None))
 
 
+def _files_with_hits(staged, config):
+    """Owner, repository and path of each staged file with a candidate."""
+    hit = staged.where(F.size("hits") > 0).select("html_url")
+    return written(with_fetch_url(hit, config).select("owner", "repo", "file_path"), "hit-files")
+
+
 def _output_columns(config, with_commits):
     if config.columns:
         return list(config.columns)
@@ -322,8 +394,13 @@ def _output_columns(config, with_commits):
     return [c for c in names if config.keep_secret or c != "Secret"]
 
 
-def scan(files: DataFrame, config: ScanConfig, **inputs) -> DataFrame:
-    """Detections of a code corpus; see ``detections`` for the optional inputs."""
+def scan(files: DataFrame, config: ScanConfig, scanned=None, **inputs) -> DataFrame:
+    """Detections of a code corpus; see ``detections`` for the optional inputs.
+
+    ``scanned``: what earlier runs have scanned; only newer versions are read.
+    """
+    if scanned is not None:
+        files = unscanned(files, scanned, config)
     markdown_free = files.where(clean.not_markdown(urls.url_extension(F.col("html_url"))))
     return detections(stage_files(markdown_free, config), config, **inputs)
 

@@ -37,6 +37,7 @@ TRAINING_SOURCE = ["Secret", "Second_Key", "Extension", "Code", *_SCORES, "Label
 
 URL_LEDGER = ["hashed_url", "url"]
 FILE_LEDGER = ["hashed_files", "file_modification_hash", "files"]
+SCANNED_VERSIONS = ["html_url", "indexed_at", "file_id", "search"]
 
 
 def struct(columns):

@@ -6,6 +6,8 @@ distributed step over the folders found by the level before.
 """
 
 import os
+import stat
+from itertools import chain, islice
 
 import pandas as pd
 import pyarrow as pa
@@ -14,39 +16,51 @@ from pyspark.sql import functions as F
 
 from credsieve.scratch import written
 
-_ENTRY = "path string, is_dir boolean, length bigint, modified_ms bigint, is_root boolean"
+_ENTRY = (
+    "path string, is_dir boolean, length bigint, modified_ms bigint, is_root boolean, error string"
+)
+_NAMES = [part.split()[0] for part in _ENTRY.split(", ")]
+#: Entries of a listing that leave a task together, however large a folder is.
+_BATCH_ENTRIES = 50_000
 _BATCH_BYTES = 16 << 20
 
 
 def _entry(path, is_root):
-    info = os.stat(path)
-    return path, os.path.isdir(path), info.st_size, int(info.st_mtime * 1000), is_root
+    try:
+        info = os.stat(path)
+    except OSError as error:
+        return path, False, None, None, is_root, str(error)
+    folder = stat.S_ISDIR(info.st_mode)
+    return path, folder, info.st_size, int(info.st_mtime * 1000), is_root, None
+
+
+def _entries(folder):
+    """Entries of a folder; the folder itself with an error if it cannot be read."""
+    try:
+        with os.scandir(folder) as found:
+            for entry in found:
+                # links to folders are not followed: they may form a cycle
+                if not (entry.is_symlink() and entry.is_dir()):
+                    yield _entry(entry.path, False)
+    except OSError as error:
+        yield folder, False, None, None, False, str(error)
 
 
 def _list_folders(batches):
     for batch in batches:
-        rows = []
-        for folder in batch["path"]:
-            try:
-                names = os.listdir(folder)
-            except OSError:
-                continue
-            for name in names:
-                path = os.path.join(folder, name)
-                # links to folders are not followed: they may form a cycle
-                if os.path.islink(path) and os.path.isdir(path):
-                    continue
-                try:
-                    rows.append(_entry(path, False))
-                except OSError:
-                    continue
-        yield pd.DataFrame(rows, columns=["path", "is_dir", "length", "modified_ms", "is_root"])
+        entries = chain.from_iterable(map(_entries, batch["path"]))
+        while rows := list(islice(entries, _BATCH_ENTRIES)):
+            yield _frame(rows)
 
 
 def _stat_roots(batches):
     for batch in batches:
-        rows = [_entry(p, True) for p in batch["path"] if os.path.exists(p)]
-        yield pd.DataFrame(rows, columns=["path", "is_dir", "length", "modified_ms", "is_root"])
+        yield _frame([_entry(p, True) for p in batch["path"]])
+
+
+def _frame(rows):
+    whole = dict.fromkeys(("length", "modified_ms"), "Int64")
+    return pd.DataFrame(rows, columns=_NAMES).astype(whole)
 
 
 def file_suffix(path):
@@ -55,8 +69,8 @@ def file_suffix(path):
     return F.regexp_extract(name, r"^.+\.([^.]+)$", 1)
 
 
-def list_files(spark: SparkSession, paths, extensions) -> DataFrame:
-    """Files below the roots with one of the suffixes; a root that is a file always."""
+def walk(spark: SparkSession, paths) -> DataFrame:
+    """All entries below the roots; ``error`` says why one could not be read."""
     roots = spark.createDataFrame(pa.table({"path": pa.array(list(paths), pa.string())}))
     level = written(roots.mapInPandas(_stat_roots, _ENTRY), "listing")
     found = level
@@ -65,33 +79,52 @@ def list_files(spark: SparkSession, paths, extensions) -> DataFrame:
         spread = folders.repartition("path")
         level = written(spread.mapInPandas(_list_folders, _ENTRY), "listing")
         found = found.unionByName(level)
+    return found
+
+
+def list_files(spark: SparkSession, paths, extensions) -> DataFrame:
+    """Files below the roots with one of the suffixes; a root that is a file always."""
+    return listed_files(walk(spark, paths), extensions)
+
+
+def listed_files(entries: DataFrame, extensions) -> DataFrame:
+    """Files of a ``walk`` with one of the suffixes."""
     wanted = F.col("is_root") | file_suffix(F.col("path")).isin(list(extensions))
-    return found.where(~F.col("is_dir") & wanted).select("path", "length", "modified_ms").distinct()
+    files = entries.where(F.col("error").isNull() & ~F.col("is_dir") & wanted)
+    return files.select("path", "length", "modified_ms").distinct()
 
 
 def _read_text(path):
+    """Text and error of a file; one of them is None."""
     try:
         with open(path) as handle:
-            return handle.read()
-    except (OSError, UnicodeDecodeError):
-        return ""
+            return handle.read(), None
+    except (OSError, UnicodeDecodeError) as error:
+        return None, str(error)
 
 
 def _read_bodies(batches):
     for batch in batches:
-        paths, texts, size = [], [], 0
-        for path in batch["path"]:
-            text = _read_text(path)
-            paths.append(path)
-            texts.append(text)
-            size += len(text)
+        rows, size = [], 0
+        for path, modified in zip(batch["path"], batch["modified_ms"]):
+            text, error = _read_text(path)
+            rows.append((path, modified, text, error))
+            size += len(text or "")
             if size > _BATCH_BYTES:
-                yield pd.DataFrame({"path": paths, "content": texts})
-                paths, texts, size = [], [], 0
-        yield pd.DataFrame({"path": paths, "content": texts})
+                yield pd.DataFrame(rows, columns=["path", "modified_ms", "content", "error"])
+                rows, size = [], 0
+        yield pd.DataFrame(rows, columns=["path", "modified_ms", "content", "error"])
+
+
+def read_bodies(df: DataFrame) -> DataFrame:
+    """``path`` and ``modified_ms`` of each listed file with its whole text, or the
+    ``error`` that kept it from being read."""
+    spread = df.select("path", "modified_ms").repartition("path")
+    kinds = "path string, modified_ms bigint, content string, error string"
+    return spread.mapInPandas(_read_bodies, kinds)
 
 
 def read_local_code(df: DataFrame) -> DataFrame:
     """Whole text of each listed file; a file that cannot be read is empty."""
-    spread = df.select("path").repartition("path")
-    return spread.mapInPandas(_read_bodies, "path string, content string")
+    bodies = read_bodies(df)
+    return bodies.select("path", F.coalesce("content", F.lit("")).alias("content"))

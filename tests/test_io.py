@@ -18,7 +18,7 @@ from credsieve.operators.queries import (
     search_pairs,
 )
 from credsieve.operators.weights import key_weight, unweighted_keywords
-from credsieve.plans.file_scan import scan_files
+from credsieve.plans.file_scan import run_file_scan, scan_files
 from credsieve.plans.scan import ScanConfig, scan_creds
 from credsieve.scratch import new_path, scratch_dir
 from credsieve.sinks import tables
@@ -142,6 +142,33 @@ def test_file_scan(spark, tmp_path):
     ]
 
 
+def test_second_file_scan_reads_changed_files_only(spark, tmp_path):
+    root, config = tree(tmp_path), ScanConfig(keywords=("token",))
+    first = run_file_scan(spark, [root, f"{root}/none"], ["py"], config)
+    unread = {os.path.relpath(r.path, root) for r in first["unreadable"].collect()}
+    assert unread == {"none", "bad.py"}
+    listed = {os.path.relpath(p, root) for p in values(first["ledger"].select("files"))}
+    assert listed == {"a.py", "x/a.tar.py", "x/.hidden/__init__.py", "x/_y/.b.py"}
+    assert first["detections"].count() == 1
+    again = run_file_scan(spark, [root], ["py"], config, first["ledger"])
+    assert again["detections"].isEmpty() and again["ledger"].isEmpty()
+    os.utime(tmp_path / "a.py", (1, 1))
+    again = run_file_scan(spark, [root], ["py"], config, first["ledger"])
+    assert again["detections"].count() == again["ledger"].count() == 1
+
+
+def test_file_scan_leaves_no_plain_secret(spark, tmp_path):
+    def scratch():
+        top = spark.conf.get("spark.checkpoint.dir")
+        return {os.path.join(d, f) for d, _, names in os.walk(top) for f in names}
+
+    root, before = tree(tmp_path), scratch()
+    assert run_file_scan(spark, [root], ["py"], ScanConfig(keywords=("token",)))["detections"].count()
+    secret = b"abcd12345"
+    assert secret in (tmp_path / "a.py").read_bytes()
+    assert all(secret not in open(p, "rb").read() for p in scratch() - before)
+
+
 def test_append_checked(spark, tmp_path):
     a = spark.createDataFrame([(1, "x")], ["n", "s"])
     for fmt in ("parquet", "csv"):

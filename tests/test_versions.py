@@ -112,6 +112,46 @@ def test_second_runs_find_new_files_only(spark):
     assert again["training"].count() == again["ledger"].count() == 1
 
 
+def test_a_scan_goes_on_from_the_scanned_versions(spark):
+    first = versions(spark, ("a.py", 1, SECRET), ("b.py", 1, "a\nnothing\nb\n"), ("c.py", 2, SECRET))
+    run = run_scan(first, CONFIG)
+    assert run["scanned"].count() == 3
+    more = [("b.py", 2, SECRET), ("c.py", 1, SECRET), ("d.py", 1, SECRET), ("a.py", 2, "a\nnothing\nb\n")]
+    later = versions(spark, *more).withColumn("file_id", F.col("file_id") + 100)
+    both = first.unionByName(later)
+    plain = run_scan(both, CONFIG, ledger=run["ledger"])
+    pruned = run_scan(both, CONFIG, ledger=run["ledger"], scanned=run["scanned"])
+    for out in (plain, pruned):
+        assert {r.URL[-4:] for r in out["detections"].collect()} == {"b.py", "d.py"}
+        assert out["ledger"].count() == 2
+    assert {r.html_url[-4:] for r in pruned["scanned"].collect()} == {"a.py", "b.py", "d.py"}
+    # another search has scanned nothing yet
+    assert S.unscanned(both, run["scanned"], replace(CONFIG, keywords=("x",))).count() == both.count()
+    with pytest.raises(ValueError):
+        S.unscanned(both, run["scanned"], replace(CONFIG, dedupe=False))
+
+
+def test_bodies_are_not_shuffled_to_leave_out_scanned_versions(spark):
+    files = versions(spark, ("a.py", 1, SECRET))
+    plan = S.unscanned(files, run_scan(files, CONFIG)["scanned"], CONFIG)._jdf.queryExecution()
+    text = plan.executedPlan().toString()
+    assert "BroadcastHashJoin" in text and "hashpartitioning" not in text
+
+
+def test_commits_of_other_files_are_left_out_first(spark):
+    from credsieve import schemas
+    from credsieve.operators.commits import attach_commits
+
+    keys = ["owner", "repo", "file_path"]
+    df = spark.createDataFrame([("o", "r", "p"), ("o", "r", "q")], keys)
+    replies = [("o", "r", "p", 404, "[]"), ("o", "r", "p", 200, "[]"), ("x", "r", "p", 200, "[]")]
+    commits = spark.createDataFrame(replies, schemas.COMMITS_RAW)
+    wanted = df.unionByName(df)
+    got = attach_commits(df, commits, wanted)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, attach_commits(df, commits).collect()))
+    assert "LeftSemi" in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_patterns_are_obeyed(spark):
     from credsieve import resources as R
 
