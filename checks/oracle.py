@@ -258,6 +258,6 @@ FROM found {join}"""
 
 
 def training(kind, words, primary=None, files=FILES):
-    return f"""WITH {files}, {hits_ctes(kind, words, primary, case_sensitive=True)}, {score_ctes(False)},
+    return f"""WITH {files}, {hits_ctes(kind, words, primary, case_sensitive=True)}, {score_ctes()},
 train AS (SELECT secret AS Secret, kw AS Second_Key, ext AS Extension, line AS Code, {SCORE_COLUMNS}, CAST(1 AS INTEGER) AS Label
 FROM found)"""

@@ -177,7 +177,7 @@ def read_file_ledger(spark, sf):
 
 
 @query(
-    f"""{O.training('creds', X.CORE_KEYWORDS)}
+    f"""{O.training('creds', R.SECONDARY_CREDS)}
 SELECT Key_Weight, SKey_Count, Entropy, length(Secret) AS Len_Key, length(Code) AS Len_Code FROM train"""
 )
 def read_training(spark, sf):
@@ -712,17 +712,26 @@ trios AS (SELECT g.file_id, kw, secret FROM gated g JOIN kws ON contains(lower(c
 
 def _trios(spark, sf):
     """File, keyword and candidate, with the body."""
+    rows = _file_secrets(spark, sf)
+    return rows.select("file_id", "secret", "content", F.explode("kws").alias("kw"))
+
+
+def _file_secrets(spark, sf):
+    """File and candidate, with the body and the keywords found in it."""
     config = replace(CONFIG, keywords=X.CORE_KEYWORDS, extensions=())
-    kept = scan.file_candidates(X.code_files(spark, sf), config)
-    rows = kept.select("file_id", F.explode("found.kw").alias("kw"), "candidates")
-    rows = rows.withColumn("secret", F.explode("candidates")).drop("candidates")
-    return rows.join(X.code_files(spark, sf).select("file_id", "content"), "file_id")
+    kept = scan.file_candidates(X.code_files(spark, sf), config, with_content=True)
+    secret = F.explode(F.array_distinct("candidates")).alias("secret")
+    return kept.select("file_id", "content", F.col("found.kw").alias("kws"), secret)
 
 
-def _trio_lines(spark, sf):
-    rows = _trios(spark, sf)
-    lines = context.content_lines(F.col("content"))
-    return rows.select("file_id", "kw", "secret", F.posexplode(lines).alias("line_no", "line"))
+def _secret_lines(spark, sf):
+    """The lines that hold each candidate; other lines never become rows."""
+    lines = F.transform(
+        context.content_lines(F.col("content")),
+        lambda line, at: F.struct(at.cast("bigint").alias("line_no"), line.alias("line")),
+    )
+    own = F.filter(lines, lambda l: F.contains(l["line"], F.col("secret")))
+    return _file_secrets(spark, sf).select("file_id", "kws", "secret", F.inline(own))
 
 
 @query(
@@ -730,12 +739,7 @@ def _trio_lines(spark, sf):
 FROM trios JOIN lines USING (file_id) WHERE contains(line, secret)"""
 )
 def candidate_lines(spark, sf):
-    rows = _trios(spark, sf).select("file_id", "secret", "content").distinct()
-    lines = context.content_lines(F.col("content"))
-    exploded = rows.select("file_id", "secret", F.posexplode(lines).alias("line_no", "line"))
-    return exploded.where(F.contains("line", "secret")).select(
-        "file_id", "secret", F.col("line_no").cast("bigint").alias("line_no"), "line"
-    )
+    return _secret_lines(spark, sf).select("file_id", "secret", "line_no", "line")
 
 
 def _line_hits_sql(kind, case_sensitive):
@@ -745,8 +749,8 @@ def _line_hits_sql(kind, case_sensitive):
 
 def _line_hits(spark, sf, test, case_sensitive):
     hit = test(F.col("line"), F.col("kw"), F.col("secret"), case_sensitive)
-    rows = _trio_lines(spark, sf).where(F.contains("line", "secret") & hit)
-    return rows.select("file_id", "kw", "secret", "line")
+    rows = _secret_lines(spark, sf).select("*", F.explode("kws").alias("kw"))
+    return rows.where(hit).select("file_id", "kw", "secret", "line")
 
 
 @query(_line_hits_sql("keys", False))
@@ -1019,12 +1023,13 @@ def search_keywords_enterprise(spark, sf):
 
 
 def _collected(spark, sf, kind, public):
-    config = replace(PUBLIC_CONFIG if public else CONFIG, kind=kind, keywords=X.CORE_KEYWORDS)
-    return scan.collect_training(X.code_files(spark, sf), config)
+    config = replace(PUBLIC_CONFIG if public else CONFIG, kind=kind)
+    return scan.collect_training(X.code_files(spark, sf), config, ngrams=X.ngram_table(spark, sf))
 
 
 def _training_sql(kind, primary=None):
-    return f"{O.training(kind, X.CORE_KEYWORDS, primary)} SELECT * FROM train"
+    words = R.SECONDARY_CREDS if kind == "creds" else R.SECONDARY_KEYS
+    return f"{O.training(kind, words, primary)} SELECT * FROM train"
 
 
 @query(_training_sql("creds"))
@@ -1109,7 +1114,7 @@ def engineer_features(spark, sf):
 
 
 @query(
-    f"""{O.training('creds', X.CORE_KEYWORDS)}
+    f"""{O.training('creds', R.SECONDARY_CREDS)}
 SELECT Key_Weight, Entropy, length(Secret) AS Len_Key, length(Code) AS Len_Code, CAST(regexp_matches(Secret, '[0-9]') AS INTEGER) AS Has_Digit,
 CAST(regexp_matches(Secret, '[A-Z]') AS INTEGER) AS Has_Cap, Second_Key, Extension, Label FROM train"""
 )
@@ -1180,7 +1185,7 @@ def evaluate(spark, sf):
     )
 
 
-_REVIEWED = f"""{O.training('creds', X.CORE_KEYWORDS)},
+_REVIEWED = f"""{O.training('creds', R.SECONDARY_CREDS)},
 review AS (SELECT secret, line, 0 AS label FROM hits WHERE ext = 'txt')"""
 
 
@@ -1222,8 +1227,8 @@ def train(spark, sf):
 def ml_filter(spark, sf):
     """Credential scan without the predicted false positives."""
     model, _ = _model(spark, sf)
-    config = replace(CONFIG, keywords=X.CORE_KEYWORDS)
-    return scan.scan_creds(X.code_files(spark, sf), config, model=model)
+    ngrams = X.ngram_table(spark, sf)
+    return scan.scan_creds(X.code_files(spark, sf), CONFIG, ngrams=ngrams, model=model)
 
 
 # --- sinks -------------------------------------------------------------------
@@ -1325,28 +1330,28 @@ def scan_stream(spark, sf):
     return rounded(spark.read.parquet(found).drop("batch_id"))
 
 
-@query(
-    f"""WITH {O.FILES} SELECT DISTINCT md5({O.OWNER}) AS hashed_url FROM files"""
-)
+@query(f"WITH {_LEDGER_CTES} SELECT hashed_url FROM ledger_rows")
 def drop_seen_stream(spark, sf):
-    """Fingerprints by owner: one row each as long as the delay covers all landed files."""
+    """Files and queries that land twice within a day, once each."""
     session = _stream_session(spark)
-    files = _orders_stream(session, sf)
-    rows = files.select("indexed_at", F.md5(urls.url_owner(F.col("html_url"))).alias("hashed_url"))
-    return _drain(stream.drop_seen_stream(rows, "10000 days"), spark, "unseen").select("hashed_url")
+    landed_twice = _orders_stream(session, sf).unionByName(_orders_stream(session, sf))
+    pairs = query_ops.match_files(landed_twice, X.CORE_KEYWORDS).withColumn("kw", F.explode("found.kw"))
+    rows = scan.with_fingerprint(pairs, CONFIG).select("indexed_at", "hashed_url")
+    return _drain(stream.drop_seen_stream(rows, "1 day"), spark, "unseen").select("hashed_url")
 
 
-_WINDOWS_SQL = f"""WITH {O.FILES}, tagged AS (SELECT CAST(date_trunc('hour', indexed_at) AS TIMESTAMP) AS h, {O.OWNER} AS owner
-  FROM files WHERE {O.EXT} <> 'md')
+_WINDOWS_SQL = f"""WITH {O.FILES}, {O.hits_ctes('creds', X.CORE_KEYWORDS)},
+tagged AS (SELECT CAST(date_trunc('hour', indexed_at) AS TIMESTAMP) AS h, owner FROM hits
+  JOIN (SELECT file_id, indexed_at, {O.OWNER} AS owner FROM files) USING (file_id))
 SELECT strftime(h, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(h + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS window_end,
   'creds' AS kind, owner, count(*) AS detections FROM tagged"""
 
 
 def _window_rows(files):
-    url = F.col("html_url")
-    return files.where(clean.not_markdown(urls.url_extension(url))).select(
-        "indexed_at", F.lit("creds").alias("kind"), urls.url_owner(url).alias("owner")
-    )
+    """Detections with their time; a stream has no newest version to wait for."""
+    config = replace(CONFIG, keywords=X.CORE_KEYWORDS, dedupe=False)
+    hits = scan.candidate_hits(scan.stage_files(files, config), config)
+    return hits.select("indexed_at", F.lit(config.kind).alias("kind"), "owner")
 
 
 def _window_text(df):
@@ -1362,7 +1367,7 @@ def detections_per_window(spark, sf):
 
 @query(
     f"""{_WINDOWS_SQL} GROUP BY h, owner
-HAVING h + INTERVAL 1 HOUR <= (SELECT max(indexed_at) FROM files WHERE {O.EXT} <> 'md') - INTERVAL 1 DAY"""
+HAVING h + INTERVAL 1 HOUR <= (SELECT max(indexed_at) FROM hits JOIN files USING (file_id)) - INTERVAL 1 DAY"""
 )
 def detections_per_window_stream(spark, sf):
     """Windows the watermark has closed."""

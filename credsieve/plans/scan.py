@@ -126,10 +126,10 @@ def _gated(content, extension, config, body):
     return F.when(cheap, let(clean.strip_links(content), with_links_stripped))
 
 
-def file_candidates(files: DataFrame, config: ScanConfig) -> DataFrame:
+def file_candidates(files: DataFrame, config: ScanConfig, with_content=False) -> DataFrame:
     """Files with a search term that pass all gates, and their candidates."""
     matched = match_files(files, config.words, config.primary, config.extensions)
-    keep = [c for c in matched.columns if c != "content"]
+    keep = [c for c in matched.columns if with_content or c != "content"]
     found = _gated(F.col("content"), F.col("ext"), config, lambda c: c)
     return compute_once(matched, keep, candidates=found).where("candidates is not null")
 
