@@ -140,6 +140,8 @@ def not_markdown(extension: Column) -> Column:
     return extension != "md"
 
 
-def long_enough(content: Column) -> Column:
-    """At least three lines; looks no further than the second line break."""
-    return F.substring_index(content, "\n", MIN_LINES - 1) != content
+def long_enough(content: Column, min_lines=MIN_LINES) -> Column:
+    """At least so many lines; looks no further than the line break before the last of them."""
+    if min_lines <= 1:
+        return content.isNotNull()
+    return F.substring_index(content, "\n", min_lines - 1) != content

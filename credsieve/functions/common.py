@@ -1,11 +1,15 @@
 """Small expression helpers shared by the other modules."""
 
+from collections import OrderedDict
+
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-_built: dict = {}
+_built: OrderedDict = OrderedDict()
+#: Expressions kept; the one longest unused goes first.
+_MOST_BUILT = 64
 
 
 def built_once(build, *key) -> Column:
@@ -15,9 +19,13 @@ def built_once(build, *key) -> Column:
     do so for each batch.
     """
     slot = (id(SparkContext._gateway), build, key)
-    if slot not in _built:
-        _built[slot] = build(*key)
-    return _built[slot]
+    built = _built.pop(slot, None)
+    if built is None:
+        built = build(*key)
+    _built[slot] = built
+    while len(_built) > _MOST_BUILT:
+        _built.popitem(last=False)
+    return built
 
 
 def let(value: Column, body) -> Column:

@@ -18,8 +18,8 @@ def candidate_lines(content: Column, secret: Column) -> Column:
     return F.filter(content_lines(content), lambda l: F.contains(l, secret))
 
 
-def line_short(line: Column) -> Column:
-    return F.length(line) < MAX_LINE
+def line_short(line: Column, limit=MAX_LINE) -> Column:
+    return F.length(line) < limit
 
 
 def line_quiet(line: Column) -> Column:
@@ -77,7 +77,9 @@ def first_hit(content, keyword, secret, need_separator, case_sensitive=False) ->
     return F.get(hits, F.lit(0))
 
 
-def file_hits(content, found, secrets, need_separator, case_sensitive=False) -> Column:
+def file_hits(
+    content, found, secrets, need_separator, case_sensitive=False, max_line=MAX_LINE
+) -> Column:
     """All hits of a file: per candidate its keywords and first hit lines.
 
     ``found`` is ARRAY<STRUCT<kw, n>>, ``secrets`` ARRAY<STRUCT<secret, entropy>>.
@@ -85,7 +87,7 @@ def file_hits(content, found, secrets, need_separator, case_sensitive=False) ->
     lines x candidates for the plain containment test only.
     """
     lines = F.transform(
-        F.filter(content_lines(content), lambda l: line_short(l) & line_quiet(l)),
+        F.filter(content_lines(content), lambda l: line_short(l, max_line) & line_quiet(l)),
         lambda l: F.struct(l.alias("raw"), F.lower(l).alias("low")),
     )
 

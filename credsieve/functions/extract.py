@@ -128,5 +128,5 @@ def cred_tokens(c: Column, stop_words=R.STOP_WORDS) -> Column:
     return F.array_distinct(F.filter(tokenize(c), lambda t: is_cred_token(t, stop_words)))
 
 
-def candidate_count_ok(candidates: Column) -> Column:
-    return F.size(candidates).between(1, MAX_CANDIDATES)
+def candidate_count_ok(candidates: Column, most=MAX_CANDIDATES) -> Column:
+    return F.size(candidates).between(1, most)

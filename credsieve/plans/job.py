@@ -28,10 +28,16 @@ def with_query(detected: DataFrame, config: ScanConfig) -> DataFrame:
     return detected.withColumn("query", query)
 
 
+def stopped_files(staged: DataFrame) -> DataFrame:
+    """(Extension, Files): files with a search term that a gate stopped."""
+    gated = staged.where("hits is null").groupBy(F.col("ext").alias("Extension"))
+    return gated.agg(F.count("*").alias("Files"))
+
+
 def run_scan(
     files: DataFrame, config: ScanConfig, ledger=None, scanned=None, model=None, **inputs
 ) -> dict:
-    """``detections``, new ``ledger`` rows, ``report`` and ``scanned`` of one run.
+    """``detections``, new ``ledger`` rows, ``report``, ``scanned`` and ``stopped`` of one run.
 
     The body pass is written once; the results read its narrow rows. They are
     written too, and what the run wrote besides, plain secrets among it, is removed
@@ -39,7 +45,8 @@ def run_scan(
 
     ``scanned`` lists the version of each URL that was scanned. Given the ``ledger``
     and ``scanned`` rows of all earlier runs, a run finds what it would find with the
-    ledger alone, but reads only the bodies that landed since.
+    ledger alone, but reads only the bodies that landed since. ``stopped`` counts the
+    files with a search term that a gate of the configuration kept out, per extension.
     """
     with run_folder(files.sparkSession):
         if scanned is not None:
@@ -59,6 +66,7 @@ def run_scan(
             "ledger": written(ledger_rows(pairs), "ledger", keep=True),
             "report": written(report, "report", keep=True),
             "scanned": written(scanned_versions(every, config), "scanned", keep=True),
+            "stopped": written(stopped_files(staged), "stopped", keep=True),
         }
 
 

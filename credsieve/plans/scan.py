@@ -16,7 +16,7 @@ from credsieve import resources as R
 from credsieve import schemas
 from credsieve.functions import clean, extract, urls
 from credsieve.functions.common import built_once, compute_once, let
-from credsieve.functions.context import file_hits, line_short
+from credsieve.functions.context import MAX_LINE, file_hits, line_short
 from credsieve.functions.mask import code_column
 from credsieve.functions.score import (
     MIN_ENTROPY,
@@ -52,6 +52,9 @@ class ScanConfig:
     ``dedupe``: a URL landed several times is scanned in its newest version
     only, and a keyword listed twice or an extension that overlaps ``others``
     does not repeat a detection.
+    ``max_urls`` to ``min_entropy`` are the gates: a file with more URLs or candidates,
+    or fewer lines, is not reported (``run_scan`` counts such files), nor is a candidate
+    in longer lines only or of lower entropy.
     """
 
     kind: str = CREDS
@@ -63,6 +66,11 @@ class ScanConfig:
     patterns: tuple = R.KEY_BANK
     tlds: tuple = R.TLDS
     case_sensitive: bool = False
+    max_urls: int = clean.MAX_URLS
+    min_lines: int = clean.MIN_LINES
+    max_candidates: int = extract.MAX_CANDIDATES
+    max_line: int = MAX_LINE
+    min_entropy: float = MIN_ENTROPY
     unmask: bool = False
     compat_mask: bool = False
     keep_secret: bool = False
@@ -98,24 +106,27 @@ def candidates(links_stripped, bare_urls, config: ScanConfig):
     return extract.cred_candidates(text, config.stop_words)
 
 
-def _strong(secrets):
+def _strong(secrets, config):
     """Candidates with their entropy; weak ones and those no short line can hold dropped."""
     scored = F.transform(
-        F.filter(secrets, line_short), lambda s: F.struct(s.alias("secret"), shannon_entropy(s).alias("entropy"))
+        F.filter(secrets, lambda s: line_short(s, config.max_line)),
+        lambda s: F.struct(s.alias("secret"), shannon_entropy(s).alias("entropy"))
     )
-    return F.filter(scored, lambda s: s["entropy"] > MIN_ENTROPY)
+    return F.filter(scored, lambda s: s["entropy"] > config.min_entropy)
 
 
 def _gated(content, extension, config, body):
     """``body(candidates)`` for files that pass the file gates, else null."""
-    cheap = clean.not_markdown(extension) & clean.long_enough(content)
+    cheap = clean.not_markdown(extension) & clean.long_enough(content, config.min_lines)
 
     def with_bare_urls(text, bare):
         return F.when(
-            clean.scheme_url_count(content) + bare <= clean.MAX_URLS,
+            clean.scheme_url_count(content) + bare <= config.max_urls,
             let(
                 candidates(text, bare, config),
-                lambda found: F.when(extract.candidate_count_ok(found), body(found)),
+                lambda found: F.when(
+                    extract.candidate_count_ok(found, config.max_candidates), body(found)
+                ),
             ),
         )
 
@@ -160,6 +171,8 @@ def search_id(config: ScanConfig) -> str:
     what = (
         config.kind, config.source, config.words, config.primary, config.extensions,
         config.stop_words, config.patterns, config.tlds, config.case_sensitive,
+        config.max_urls, config.min_lines, config.max_candidates, config.max_line,
+        config.min_entropy,
     )
     return hashlib.md5(repr(what).encode()).hexdigest()
 
@@ -211,13 +224,14 @@ def _hits(config, found="found"):
 
     def of_candidates(secrets):
         return let(
-            _strong(secrets),
+            _strong(secrets, config),
             lambda strong: file_hits(
                 F.col("content"),
                 F.col(found),
                 strong,
                 config.kind == CREDS,
                 config.case_sensitive,
+                config.max_line,
             ),
         )
 

@@ -116,6 +116,27 @@ def test_masked_code_never_holds_the_secret(spark):
         assert found.where(F.col("Entropy") <= MIN_ENTROPY).isEmpty()
 
 
+def test_gates_are_parameters_and_leave_a_count(spark):
+    url = "https://git.example.com/o/r/blob/main/"
+    many = "token = abcd1234\n" + "\n".join(f"v = wxyz{k}987" for k in range(30)) + "\n"
+    rows = [(1, url + "many.py", many), (2, url + "two.txt", "token = abcd1234\n"), (3, url + "none.js", "a\nb\nc\n")]
+    rows.append((4, url + "long.yml", "token = " + "x " * 200 + "abcd1234\n\n\n"))
+    files = spark.createDataFrame(rows, "file_id long, html_url string, content string")
+    files = files.withColumn("indexed_at", F.timestamp_seconds(F.lit(0)))
+    config = S.ScanConfig(keywords=("token",), keep_secret=True)
+
+    def found(config):
+        out = run_scan(files, config)
+        names = {r.URL.rsplit("/", 1)[1] for r in out["detections"].collect()}
+        return names, {r.Extension: r.Files for r in out["stopped"].collect()}
+
+    assert found(config) == (set(), {"py": 1, "txt": 1})
+    wide = replace(config, max_candidates=100, min_lines=2, max_line=1000)
+    assert found(wide) == ({"many.py", "two.txt", "long.yml"}, {})
+    assert found(replace(wide, min_entropy=9.0)) == (set(), {})
+    assert S.search_id(config) != S.search_id(wide) == S.search_id(replace(wide))
+
+
 def test_second_run_finds_nothing_new(spark):
     first = run_scan(corpus(spark), CONFIG)
     again = run_scan(corpus(spark), CONFIG, ledger=first["ledger"])
