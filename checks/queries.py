@@ -1216,19 +1216,26 @@ def _model(spark, sf, trees=ml.TREES):
     return ml.train(train, trees=trees), test
 
 
-@query()
+# Access key ids are the only candidates with capitals, so a sound forest makes no mistake.
+@query(
+    """SELECT CAST(1 AS DOUBLE) AS accuracy, CAST(1 AS DOUBLE) AS "precision", CAST(1 AS DOUBLE) AS recall,
+CAST(1 AS DOUBLE) AS f1"""
+)
 def train(spark, sf):
     """Forest on 70 % of the labelled rows, judged on the rest."""
     model, test = _model(spark, sf)
     return ml.evaluate(ml.predict(test, model))
 
 
-@query()
+@query(
+    O.detections("creds", "enterprise", R.SECONDARY_CREDS, commits=False)
+    + " WHERE NOT starts_with(secret, 'AKIA')"
+)
 def ml_filter(spark, sf):
     """Credential scan without the predicted false positives."""
     model, _ = _model(spark, sf)
     ngrams = X.ngram_table(spark, sf)
-    return scan.scan_creds(X.code_files(spark, sf), CONFIG, ngrams=ngrams, model=model)
+    return rounded(scan.scan_creds(X.code_files(spark, sf), CONFIG, ngrams=ngrams, model=model))
 
 
 # --- sinks -------------------------------------------------------------------
@@ -1330,6 +1337,16 @@ def scan_stream(spark, sf):
     return rounded(spark.read.parquet(found).drop("batch_id"))
 
 
+@query(_search_sql("Enterprise", "kw"))
+def search_stream(spark, sf):
+    session = _stream_session(spark)
+    found, seen, state = (new_path(spark, f"search-{n}") for n in ("found", "seen", "state"))
+    files, commits = _orders_stream(session, sf), X.commits_raw(spark, sf)
+    run = stream.search_stream(files, _CUSTOM, CONFIG, found, seen, state, commits=commits)
+    run.awaitTermination()
+    return spark.read.parquet(found).drop("batch_id")
+
+
 @query(f"WITH {_LEDGER_CTES} SELECT hashed_url FROM ledger_rows")
 def drop_seen_stream(spark, sf):
     """Files and queries that land twice within a day, once each."""

@@ -74,7 +74,12 @@ def predict(df: DataFrame, model: PipelineModel) -> DataFrame:
 
 def ml_filter(df: DataFrame, model: PipelineModel) -> DataFrame:
     """Detections predicted to be real, columns unchanged. A failure is raised."""
-    return predict(with_features(df), model).where("prediction <> 0").select(*df.columns)
+    return with_prediction(df, model).where("prediction <> 0").drop("prediction")
+
+
+def with_prediction(df: DataFrame, model: PipelineModel) -> DataFrame:
+    """Detections with ``prediction``, 0 for a false positive."""
+    return predict(with_features(df), model).select(*df.columns, "prediction")
 
 
 def evaluate(predictions: DataFrame, label="Label", prediction="prediction") -> DataFrame:

@@ -56,10 +56,13 @@ def run_scan(
         pairs = scanned_pairs(staged, config)
         if ledger is not None:
             pairs = drop_seen(pairs, ledger)
-        found = detections(staged, config, ledger=ledger, model=model, stored=True, **inputs)
-        kept = all_found = written(found, "detections", keep=True)
+        found = detections(
+            staged, config, ledger=ledger, model=model, stored=True, predicted=True, **inputs
+        )
+        kept = all_found = written(found, "detections", keep=model is None)
         if model is not None:
-            all_found = detections(staged, config, ledger=ledger, stored=True, **inputs)
+            real = all_found.where("prediction <> 0").drop("prediction")
+            kept = written(real, "detections", keep=True)
         report = run_report(pairs, with_query(all_found, config), with_query(kept, config))
         return {
             "detections": kept,

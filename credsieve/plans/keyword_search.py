@@ -10,7 +10,7 @@ from credsieve.operators.commits import attach_commits, stamp
 from credsieve.operators.ledger import drop_seen, fingerprint, latest_per_url, ledger_rows
 from credsieve.operators.queries import enterprise_query, has_terms, match_files
 from credsieve.plans.scan import PUBLIC, ScanConfig, with_fetch_url
-from credsieve.scratch import written
+from credsieve.scratch import run_folder, written
 
 
 def keyword_files(files: DataFrame, keywords, config: ScanConfig, ledger=None) -> DataFrame:
@@ -55,11 +55,13 @@ def search_keywords(
 def run_search(files, keywords, config: ScanConfig, ledger=None, commits=None) -> dict:
     """``detections`` and new ``ledger`` rows of a search; the files are read once. A later
     search that is given the ledger reports new files only."""
-    rows = written(keyword_files(files, keywords, config, ledger), "found", keep=True)
-    return {
-        "detections": keyword_detections(rows, config, commits, wanted=rows),
-        "ledger": ledger_rows(rows),
-    }
+    with run_folder(files.sparkSession):
+        rows = written(keyword_files(files, keywords, config, ledger), "found")
+        found = keyword_detections(rows, config, commits, wanted=rows)
+        return {
+            "detections": written(found, "detections", keep=True),
+            "ledger": written(ledger_rows(rows), "ledger", keep=True),
+        }
 
 
 def search_public(files, keywords, config=None, **inputs) -> DataFrame:

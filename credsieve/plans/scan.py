@@ -345,12 +345,13 @@ def candidate_hits(
 
 def detections(
     staged: DataFrame, config: ScanConfig, ledger=None, ngrams=None, confidence=None,
-    commits=None, model=None, stored=False,
+    commits=None, model=None, stored=False, predicted=False,
 ) -> DataFrame:
     """Scored, masked and enriched detections of staged files.
 
     ``stored``: ``staged`` is a written table, so reading it once more for the files
-    whose commits are needed costs little.
+    whose commits are needed costs little. ``predicted``: leave the detections that the
+    model takes for false in, with its ``prediction`` as the last column.
     """
     spark = staged.sparkSession
     rows = candidate_hits(staged, config, ledger, ngrams)
@@ -379,9 +380,11 @@ def detections(
         }
     )
     if model is not None:
-        from credsieve.operators.ml import ml_filter
+        from credsieve.operators.ml import with_prediction
 
-        rows = ml_filter(rows.withColumn("Code", F.col("line")), model).drop("Code")
+        rows = with_prediction(rows.withColumn("Code", F.col("line")), model).drop("Code")
+        if not predicted:
+            rows = rows.where("prediction <> 0").drop("prediction")
     if commits is not None:
         rows = attach_commits(rows, commits, _files_with_hits(staged, config) if stored else None)
     rows = stamp(rows, config.as_of).withColumn(
@@ -389,7 +392,8 @@ def detections(
     )
     if config.source != FILES:
         rows = rows.withColumns({"Owner": F.col("owner"), "Repo_Name": F.col("repo")})
-    return rows.select(*_output_columns(config, commits is not None))
+    shown = ["prediction"] if predicted and model is not None else []
+    return rows.select(*_output_columns(config, commits is not None), *shown)
 
 
 def _files_with_hits(staged, config):

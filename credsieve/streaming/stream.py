@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from credsieve.plans.job import run_scan
+from credsieve.plans.keyword_search import run_search
 from credsieve.plans.scan import ScanConfig
 from credsieve.scratch import remove
 
@@ -22,17 +23,38 @@ def _seen_before(spark, ledger_path, batch_id):
 
 
 def scan_stream(
-    files: DataFrame, config: ScanConfig, detections_path, ledger_path, checkpoint, **inputs
-) -> StreamingQuery:
+    files: DataFrame, config: ScanConfig, detections_path, ledger_path, checkpoint,
+    trigger=None, **inputs
+) -> StreamingQuery:
     """Run the batch scan on each landed batch against the ledger of earlier ones.
 
     Both outputs of a batch go to a folder named by the batch, which a replay
-    replaces, so a batch counts once however often it is run.
+    replaces, so a batch counts once however often it is run. ``trigger``: arguments
+    of the stream's trigger; all that has landed and no more, if not given.
     """
 
-    def scan_batch(batch, batch_id):
+    def run(batch, ledger):
+        return run_scan(batch, config, ledger=ledger, **inputs)
+
+    return _each_batch(files, run, detections_path, ledger_path, checkpoint, trigger)
+
+
+def search_stream(
+    files: DataFrame, keywords, config: ScanConfig, detections_path, ledger_path, checkpoint,
+    trigger=None, **inputs
+) -> StreamingQuery:
+    """The keyword search in the same way."""
+
+    def run(batch, ledger):
+        return run_search(batch, keywords, config, ledger=ledger, **inputs)
+
+    return _each_batch(files, run, detections_path, ledger_path, checkpoint, trigger)
+
+
+def _each_batch(files, run, detections_path, ledger_path, checkpoint, trigger):
+    def handle(batch, batch_id):
         spark = batch.sparkSession
-        out = run_scan(batch, config, ledger=_seen_before(spark, ledger_path, batch_id), **inputs)
+        out = run(batch, _seen_before(spark, ledger_path, batch_id))
         part = f"batch_id={batch_id}"
         out["detections"].write.mode("overwrite").parquet(f"{detections_path}/{part}")
         out["ledger"].write.mode("overwrite").parquet(f"{ledger_path}/{part}")
@@ -40,9 +62,9 @@ def scan_stream(
             remove(spark, table.scratch_path)
 
     return (
-        files.writeStream.foreachBatch(scan_batch)
+        files.writeStream.foreachBatch(handle)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 

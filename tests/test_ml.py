@@ -108,3 +108,23 @@ def test_measures(spark):
     assert tuple(got) == pytest.approx((0.7, 0.6, 0.75, 2 / 3))
     none = ml.evaluate(spark.createDataFrame([(0, 0.0)], ["Label", "prediction"])).collect()[0]
     assert tuple(none) == (1.0, 0.0, 0.0, 0.0)
+
+
+def test_a_run_with_a_model_reports_what_the_model_leaves_out(spark):
+    from credsieve.plans.job import run_scan
+    from credsieve.plans.scan import ScanConfig
+
+    url = "https://git.example.com/o/r/blob/main/"
+    secrets = [f"abcd{k}wxyz" if k % 2 else f"ABCD{k}WXYZ" for k in range(40)]
+    rows = [(k, f"{url}f{k}.py", f"a\ntoken = {s}\nb\n") for k, s in enumerate(secrets)]
+    files = spark.createDataFrame(rows, "file_id long, html_url string, content string")
+    files = files.withColumn("indexed_at", F.timestamp_seconds(F.lit(0)))
+    config = ScanConfig(keywords=("token",), keep_secret=True)
+    plain = run_scan(files, config)["detections"]
+    labelled = plain.withColumn("Label", (F.col("Secret") != F.upper("Secret")).cast("int"))
+    model = ml.train(features.with_features(labelled), trees=20)
+    out = run_scan(files, config, model=model)
+    assert out["detections"].columns == plain.columns
+    assert {r.Secret for r in out["detections"].collect()} == {s for s in secrets if s.islower()}
+    total = out["report"].where("Extension is null and Query is null").first()
+    assert (total.Detections, total.Writes) == (40, 20)
