@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words."""
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words."""
 
 import math
 
@@ -10,13 +10,10 @@ from pyspark.sql import functions as F
 from credsieve.llm.common import NOT_ALNUM, Words, batches, read
 
 #: Words of a seed. An alignment that reaches ``THRESHOLD`` with substituted words
-#: alone always holds three unchanged words in a row.
+#: alone always holds three unchanged words in a row. Common seeds count like rare ones, as
+#: an edited or partial copy may hold no other; a bound on shared words, which no alignment
+#: can pass, spares most of their places the alignment.
 SEED_WORDS = 3
-#: A seed of a test item is rare if at most this share of the documents holds it, or
-#: at most ``RARE_FACTOR`` times as many as hold the item's lower-quartile seed. The
-#: second rule keeps seeds of items that leaked into very many documents.
-RARE_SHARE = 0.001
-RARE_FACTOR = 4
 MATCH, MISMATCH, GAP = 1, -1, -1
 #: Alignment score over the item's score against itself.
 THRESHOLD = 0.5
@@ -42,9 +39,12 @@ class Items:
         self.ids = list(ids)
         self.words = [words.hash[a:b] for a, b in zip(words.first, words.first[1:])][: len(ids)]
         seeds, at = words.grams(SEED_WORDS)
-        self.keys, self.key_of = np.unique(seeds, return_inverse=True)
-        self.item = words.doc[at]
-        self.at = at - words.first[self.item]
+        self.keys, key_of = np.unique(seeds, return_inverse=True)
+        # Sorted by key, so that the uses of a key are one slice.
+        order = np.argsort(key_of, kind="stable")
+        self.item = words.doc[at][order]
+        self.at = at[order] - words.first[self.item]
+        self.first = np.searchsorted(key_of[order], np.arange(len(self.keys) + 1))
 
     def hits(self, words: Words):
         """(position in ``keys``, first word) of all n-grams of ``words`` that are seeds."""
@@ -55,21 +55,6 @@ class Items:
         found = self.keys[place] == grams
         return place[found], at[found]
 
-    def keep_rare(self, holders: np.ndarray, documents: int):
-        """Leave only rare seeds; ``holders`` counts the documents that hold each key."""
-        df = holders[self.key_of]
-        ordered = np.lexsort((df, self.item))
-        first = np.searchsorted(self.item[ordered], np.arange(len(self.words) + 1))
-        quartile = np.minimum(first[:-1] + (np.diff(first) - 1) // 4, max(len(df) - 1, 0))
-        low = df[ordered[quartile]] if len(df) else np.zeros(len(self.words))
-        rare = (df <= RARE_SHARE * documents) | (df <= RARE_FACTOR * low[self.item])
-        order = np.flatnonzero(rare)
-        self.key_of, self.item, self.at = self.key_of[order], self.item[order], self.at[order]
-        # Sorted by key, so that the uses of a key are one slice.
-        order = np.argsort(self.key_of, kind="stable")
-        self.key_of, self.item, self.at = self.key_of[order], self.item[order], self.at[order]
-        self.first = np.searchsorted(self.key_of, np.arange(len(self.keys) + 1))
-
     def matches(self, words: Words):
         """(text, item, score, first word, last word) of every alignment in ``words``
         that reaches the threshold; the best one per text and item."""
@@ -138,31 +123,8 @@ def _blocks(benchmark: DataFrame):
 
 
 def _prepared(docs: DataFrame, benchmark: DataFrame):
-    """Broadcast ``Items`` of each block with their rare seeds."""
+    """Broadcast ``Items`` of each block."""
     for items in _blocks(benchmark):
-        sent = docs.sparkSession.sparkContext.broadcast(items)
-
-        def run(frames, sent=sent):
-            holders, documents = np.zeros(len(sent.value.keys), np.int64), 0
-            for frame in frames:
-                documents += len(frame)
-                for _, texts in batches([normal(t) for t in frame["text"]]):
-                    words = text_words(texts)
-                    key, at = sent.value.hits(words)
-                    pair = np.unique(words.doc[at] * np.int64(len(holders) or 1) + key)
-                    np.add.at(holders, pair % (len(holders) or 1), 1)
-            at = np.flatnonzero(holders)
-            yield pd.DataFrame(
-                {"key": np.append(at, -1), "holders": np.append(holders[at], documents)}
-            )
-
-        counts = docs.select("text").mapInPandas(run, "key long, holders long")
-        rows = counts.groupBy("key").agg(F.sum("holders").alias("holders")).toPandas()
-        total = int(rows.loc[rows["key"] == -1, "holders"].sum())
-        rows = rows[rows["key"] >= 0]
-        holders = np.zeros(len(items.keys), np.int64)
-        holders[rows["key"]] = rows["holders"]
-        items.keep_rare(holders, total)
         yield docs.sparkSession.sparkContext.broadcast(items)
 
 

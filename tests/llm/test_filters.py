@@ -208,3 +208,19 @@ def test_seeds_of_an_item_in_every_document_stay(spark, documents):
     rows = [(k, prose(rng, 20) + " " + passage + " " + prose(rng, 20)) for k in range(50)]
     bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
     assert decontaminate.contaminated_pairs(documents(rows), bench).count() == 50
+
+
+@pytest.mark.parametrize("total,copies", [(100, 1), (300, 100)])
+@pytest.mark.parametrize("leak", ["edited", "partial"])
+def test_edited_or_partial_copies_alone_are_found(spark, documents, total, copies, leak):
+    rng = random.Random(8)
+    passage = prose(rng, 30).split(" ")
+    if leak == "edited":  # every twelfth word replaced; no document holds the item whole
+        shown = [w if k % 12 != 5 else "replaced" for k, w in enumerate(passage)]
+    else:
+        shown = passage[:18]
+    rows = [(k, " ".join([prose(rng, 20), *(shown if k < copies else []), prose(rng, 20)])) for k in range(total)]
+    bench = spark.createDataFrame([(1, " ".join(passage))], "item_id long, text string")
+    found = decontaminate.contaminated_pairs(documents(rows), bench).collect()
+    assert sorted(r.doc_id for r in found) == list(range(copies))
+    assert decontaminate.keep_clean(documents(rows), bench).count() == total - copies
