@@ -129,9 +129,10 @@ def _pieces(text: bytes):
 
 def shard_transforms(docs: DataFrame, key, length: int) -> DataFrame:
     """Rows of all shards' transforms, each shard in suffix order: key columns, low, count,
-    sym, bwt, c, u. ``bwt`` and ``u`` only refine the blocks of ``sym`` and ``c``, so half a
-    hash each will do: blocks have names of 96 bits."""
-    kinds = {"low": np.int32, "count": np.int32, "bwt": np.int32, "u": np.int32}
+    sym, bwt, c, u. ``bwt`` is half a hash, as rows that it leaves in a block in error go
+    on to the next one only. ``c`` and ``u`` decide and are whole: all rows around one
+    passage share ``c``, so ``u`` alone tells them apart."""
+    kinds = {"low": np.int32, "count": np.int32, "bwt": np.int32}
 
     def run(frames):
         for frame in frames:
@@ -153,7 +154,7 @@ def shard_transforms(docs: DataFrame, key, length: int) -> DataFrame:
                     out[name] = column.astype(kinds.get(name, np.int64))
                 yield out
 
-    schema = f"{key[0]} long, {key[1]} int, low int, count int, sym long, bwt int, c long, u int"
+    schema = f"{key[0]} long, {key[1]} int, low int, count int, sym long, bwt int, c long, u long"
     return docs.select(*key, "text").mapInPandas(run, schema)
 
 

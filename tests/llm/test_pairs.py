@@ -219,3 +219,16 @@ def test_bytes_of_an_empty_table(documents):
     assert suffixes.removed_bytes(documents([])).count() == 0
     with pytest.raises(ValueError):
         suffixes.removed_bytes(documents([]), 100).count()
+
+
+def test_bytes_around_a_hot_passage_stay(documents):
+    """Of 160 000 such texts, these pairs agree in the low 32 bits of the outer hash."""
+    passage = "".join(random.Random(12).choices("abcdefghij ", k=600))
+    numbers = [29704, 41552, 100064, 142686, 85681, 101985]
+    rows = [(k, f"{k:09d} this line differs {passage}") for k in numbers]
+    got = suffixes.removed_bytes(documents(rows))
+    digests = [
+        (r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest())
+        for r in got.collect()
+    ]
+    assert sorted(map(repr, digests)) == removed(rows, suffixes.LENGTH)
