@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from credsieve.llm.common import discard, fresh, keyed, read, release, written
 
-#: Lines with fewer words are never touched.
+#: Lines with fewer words have no near copies.
 MIN_WORDS = 5
 COUNTS = ("n_lines", "n_removed", "n_long_left")
 _LINE = ["h", "g"]
@@ -42,18 +42,20 @@ def _half_keys(words, n):
     return F.array(*keys)
 
 
-def _lines(with_key: DataFrame, key) -> DataFrame:
-    """Judged lines: place (document order, key, line number), hashes, half keys."""
+def _lines(with_key: DataFrame, key, least: int) -> DataFrame:
+    """Judged lines: place (document order, key, line number), hashes, half keys (null
+    for lines under ``MIN_WORDS``)."""
     lines = with_key.select("doc_id", *key, F.posexplode(F.split("text", "\n")).alias("line", "body"))
     worded = lines.select(
         F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", *key, "line").alias("place"),
         line_words(F.col("body")).alias("words"),
-    ).where(F.size("words") >= MIN_WORDS)
+    ).where(F.size("words") >= least)
+    halves = _half_keys(F.col("words"), F.size("words"))
     return worded.select(
         "place",
         F.xxhash64("words").alias("h"),
         F.hash("words").alias("g"),
-        _half_keys(F.col("words"), F.size("words")).alias("halves"),
+        F.when(F.size("words") >= MIN_WORDS, halves).alias("halves"),
     )
 
 
@@ -145,21 +147,21 @@ def _near_copies(bodies: DataFrame) -> DataFrame:
     return written(verified.select(*_LINE).distinct(), "line-near")
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """Columns of ``docs`` with ``text`` reduced to its kept lines, plus n_lines, n_removed
     (of all lines of the text) and n_long_left (judged lines that stay).
 
-    Lines are parts between ``\\n``. A line of ``MIN_WORDS`` words or more goes if an earlier
-    line of the corpus has the same words, or words that one changed, inserted or dropped
-    word turns into them; earlier means smaller doc_id (nulls last, equal ones by a hash
-    of the text), then smaller line number. The earlier line need not stay itself.
-    Shorter lines always stay. A null text stays null with no lines. Rows equal in doc_id
+    Lines are parts between ``\\n``. A line of ``least`` words or more goes if an earlier line
+    of the corpus has the same words, or, if both have ``MIN_WORDS`` or more, words that one
+    changed, inserted or dropped word turns into them; earlier means smaller doc_id (nulls
+    last, equal ones by a hash of the text), then smaller line number. The earlier line
+    need not stay itself. Lines of fewer than ``least`` words (at least 1) always stay. A null text stays null with no lines. Rows equal in doc_id
     and text are one document and come out once; their other columns are those of one of
     the rows. Extra columns pass through, but for any named like the counts; an empty
     table stays empty.
     """
     with_key, key = keyed(docs)
-    lines = _lines(with_key, key)
+    lines = _lines(with_key, key, least)
     distinct = written(
         lines.groupBy(*_LINE).agg(F.min("place").alias("place"), F.any_value("halves").alias("halves")),
         "line-distinct",
@@ -180,7 +182,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     own = F.coalesce(F.col(mark), F.array().cast("array<int>"))
 
     def stays_here(body, at):
-        return F.array_contains(own, at) | (F.size(line_words(body)) < MIN_WORDS)
+        return F.array_contains(own, at) | (F.size(line_words(body)) < least)
 
     cut = joined.withColumn(parts, F.split("text", "\n")).withColumn(
         chosen, F.filter(parts, stays_here)
@@ -196,10 +198,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 def without_copied_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with copied lines removed, in the same columns; a column n_chars counts
-    the new text. Documents that lose their last line of ``MIN_WORDS`` words go."""
+    the new text. Copies of lines of any length go, and so do documents that lose their
+    last line that is not blank."""
     # Columns named like the counts step aside meanwhile.
     aside = {name: fresh(docs, f"_{name}") for name in COUNTS if name in docs.columns}
-    cut = dedup_lines(docs.withColumnsRenamed(aside)).where("n_removed = 0 or n_long_left > 0")
+    cut = dedup_lines(docs.withColumnsRenamed(aside), 1).where("n_removed = 0 or n_long_left > 0")
     if "n_chars" in docs.columns:
         length = F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars"))
         cut = cut.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType))
@@ -208,4 +211,4 @@ def without_copied_lines(docs: DataFrame) -> DataFrame:
 
 def op6_line_dedup(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
+    return dedup_lines(docs, 1).select("doc_id", "n_lines", "n_removed", "text")

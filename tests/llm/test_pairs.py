@@ -150,6 +150,19 @@ def test_lines_equal_brute_force(documents):
     assert got == want
 
 
+def test_copies_of_short_lines_go(documents):
+    long = "\u4e00\u4e8c\u4e09" * 200
+    rows = [
+        (1, f"yes\n\n{long}\n a  b\nc d e f"),
+        (2, f"{long}\nno\n \na b \nc d e g\nyes\nyes"),
+        (3, f"yes\n{long}\n"),
+    ]
+    got = {r.doc_id: (r.n_removed, r.text) for r in linededup.dedup_lines(documents(rows), 1).collect()}
+    assert got == {1: (0, rows[0][1]), 2: (4, "no\n \nc d e g"), 3: (2, "")}
+    kept = {r.doc_id: r.text for r in linededup.without_copied_lines(documents(rows)).collect()}
+    assert kept == {1: rows[0][1], 2: "no\n \nc d e g"}
+
+
 def test_documents_without_copied_lines(documents):
     docs = documents(line_corpus(), "n_lines")
     kept = linededup.without_copied_lines(docs)
