@@ -52,6 +52,8 @@ SYLLABLES = {
 #: Last letters of a surrogate's first name, by script, for (male, female).
 ENDINGS = {"latin": ("n", "a"), "cyrillic": ("н", "а")}
 MAX_ROUNDS = 40
+#: After so many rounds, surrogates grow by one letter, digit or syllable a round.
+WIDEN_AFTER = 10
 DEFAULT_KEY = "credsieve"
 
 
@@ -173,6 +175,31 @@ def _person(canonical, digest):
     return F.concat(F.substring(canonical, 1, 2), new)
 
 
+def _more_syllables(digest, extra, cyrillic):
+    def drawn(script):
+        parts = F.array(*[F.lit(p) for p in SYLLABLES[script].split()])
+        size = len(SYLLABLES[script].split())
+        places = [F.pmod(_number(digest, F.lit(150 + k)), F.lit(size)) + 1 for k in range(extra)]
+        return F.concat(F.lit(""), *[F.element_at(parts, place) for place in places])
+
+    return F.when(cyrillic, drawn("cyrillic")).otherwise(drawn("latin"))
+
+
+def _widened(kind, surrogate, digest, extra):
+    """``surrogate`` with ``extra`` more syllables before a name, letters after the local
+    part of an email, digits after a phone number; other kinds have a fixed form."""
+    letters = _by_class(F.lit("a" * extra), digest, 150)
+    local = F.substring_index(surrogate, "@", 1)
+    more = _more_syllables(digest, extra, surrogate.rlike(r"\p{IsCyrillic}"))
+    name = F.substring(surrogate, F.lit(3), F.length(surrogate))
+    return (
+        F.when(kind == "email", F.concat(local, letters, F.lit("@"), F.substring_index(surrogate, "@", -1)))
+        .when(kind == "person", F.concat(F.substring(surrogate, 1, 2), more, name))
+        .when(kind == "phone", F.concat(surrogate, _by_class(F.lit("0" * extra), digest, 150)))
+        .otherwise(surrogate)
+    )
+
+
 def surrogate_of(kind, canonical, attempt, key):
     """Canonical form of the surrogate; same type, length and layout (a name or an
     address keeps its number of parts)."""
@@ -209,13 +236,18 @@ def surrogate_of(kind, canonical, attempt, key):
 def assign_surrogates(entities: DataFrame, key: str) -> DataFrame:
     """(kind, canonical, surrogate) of distinct entities; no two entities of a kind share a
     surrogate, and none is a real entity. Entities whose draw collides, all but the first of
-    equal draws, draw again; ``MAX_ROUNDS`` rounds without an end mean that a kind has
-    more entities than surrogates, and raise an error."""
+    equal draws, draw again; after ``WIDEN_AFTER`` rounds names, emails and phone numbers
+    draw from ever longer surrogates, so that any number of them gets one. Kinds of a fixed
+    form have 10 ** 9 surrogates or more; what they leave after ``MAX_ROUNDS`` rounds raises
+    an error."""
     real = entities.select("kind", F.col("canonical").alias("surrogate")).hint("merge")
     left = entities.select("kind", "canonical")
     done = None
     for attempt in range(MAX_ROUNDS):
         draw = surrogate_of(F.col("kind"), F.col("canonical"), F.lit(attempt), key)
+        if attempt >= WIDEN_AFTER:
+            digest = _digest(key, F.col("kind"), F.col("canonical"), F.lit(f"wider {attempt}"))
+            draw = _widened(F.col("kind"), draw, digest, attempt - WIDEN_AFTER + 1)
         drawn = written(spread(left, "canonical").withColumn("surrogate", draw), "pii-drawn")
         free = drawn.join(real, ["kind", "surrogate"], "left_anti")
         if done is not None:
@@ -229,7 +261,7 @@ def assign_surrogates(entities: DataFrame, key: str) -> DataFrame:
         )
         if left.isEmpty():
             return done
-    raise ValueError("a kind of entity has more members than surrogates")
+    raise ValueError(f"entities of a fixed form without a free surrogate after {MAX_ROUNDS} draws")
 
 
 def render(kind, mention, surrogate):
@@ -241,23 +273,33 @@ def render(kind, mention, surrogate):
     name = F.when(all_upper, F.upper(shown)).otherwise(
         F.regexp_replace(F.initcap(F.regexp_replace(shown, "-", "- ")), "- ", "-")
     )
-    letters = F.regexp_replace(surrogate, r"[^\p{L}\p{N}]", "")
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("used"))
 
-    def fill(state, c):
-        new = F.substring(letters, state["used"] + 1, F.lit(1))
-        new = F.when(c.rlike(r"\p{Lu}"), F.upper(new)).otherwise(new)
-        taken = c.rlike(r"[\p{L}\p{N}]")
-        return F.struct(
-            F.concat(state["out"], F.when(taken, new).otherwise(c)).alias("out"),
-            (state["used"] + F.when(taken, 1).otherwise(0)).alias("used"),
-        )
+    def filled(shape, new):
+        """``shape`` with the letters and digits of ``new``, and those that are left over."""
+        letters = F.regexp_replace(new, r"[^\p{L}\p{N}]", "")
+
+        def fill(state, c):
+            letter = F.substring(letters, state["used"] + 1, F.lit(1))
+            letter = F.when(c.rlike(r"\p{Lu}"), F.upper(letter)).otherwise(letter)
+            taken = c.rlike(r"[\p{L}\p{N}]")
+            return F.struct(
+                F.concat(state["out"], F.when(taken, letter).otherwise(c)).alias("out"),
+                (state["used"] + F.when(taken, 1).otherwise(0)).alias("used"),
+            )
+
+        def whole(state):
+            return F.concat(state["out"], F.substring(letters, state["used"] + 1, F.length(letters)))
+
+        return F.aggregate(F.split(shape, ""), start, fill, whole)
 
-    filled = F.aggregate(F.split(mention, ""), start, fill, lambda state: state["out"])
+    local, host = ([F.substring_index(x, "@", k) for x in (mention, surrogate)] for k in (1, -1))
+    email = F.concat(filled(*local), F.lit("@"), filled(*host))
     return (
         F.when(kind == "person", F.concat(title, name))
         .when(kind == "ip", surrogate)
-        .otherwise(filled)
+        .when((kind == "email") & F.contains(mention, F.lit("@")), email)
+        .otherwise(filled(mention, surrogate))
     )
 
 

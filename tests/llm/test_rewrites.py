@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from credsieve.llm import linededup, mixing, surrogates, toolcalls
@@ -238,3 +239,23 @@ def test_pipeline_on_awkward_rows(spark, documents, tmp_path):
         given.write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
         found = corpus_pipeline.run(spark, str(tmp_path))
         assert found.count() <= len(rows)
+
+
+def test_crowded_kinds_get_longer_surrogates(documents):
+    """All hundred local parts of two digits at one host, each of which is taken."""
+    rows = [(k, f"to {k:02d}@Host.com now") for k in range(100)]
+    found = surrogates.replace_entities(documents(rows), "k").collect()
+    mails = [re.fullmatch(r"to (\d\d[a-z]*)@([A-Z][a-z]{3}\.com) now", r.text).groups() for r in found]
+    assert len({local for local, _ in mails}) == 100 and len({host for _, host in mails}) == 1
+    assert all(r.n_replaced == 1 for r in found)
+
+
+def test_wider_surrogates_keep_their_kind(spark):
+    rows = [("email", "A.b@x.org", "q.r@y.org"), ("person", "Mrs Ann", "f doka"), ("phone", "+1 23-45", "16789"),
+            ("ssn", "123-45-6789", "987654321")]
+    table = spark.createDataFrame(rows, "kind string, mention string, surrogate string")
+    kind, digest = F.col("kind"), surrogates._digest("k", F.col("mention"))
+    wide = table.withColumn("wide", surrogates._widened(kind, F.col("surrogate"), digest, 2))
+    shown = wide.select(kind, surrogates.render(kind, F.col("mention"), F.col("wide")).alias("s")).collect()
+    want = {"email": r"Q\.r[a-z]{2}@y\.org", "person": "Mrs [A-Z][a-z]{3}doka", "phone": r"\+1 67-89\d\d", "ssn": "987-65-4321"}
+    assert all(re.fullmatch(want[r.kind], r.s) for r in shown), shown
