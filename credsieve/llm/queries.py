@@ -5,6 +5,7 @@ from credsieve.llm import (
     decontaminate,
     linededup,
     mixing,
+    negatives,
     quality_rules,
     simhash,
     suffixes,
@@ -24,6 +25,10 @@ QUERIES = {
     "op8_quality_classifier": compression.op8_quality_classifier,
     "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
     "op10_suffix_array_dedup": suffixes.op10_suffix_array_dedup,
+    "op11_hard_negatives": negatives.op11_hard_negatives,
 }
 
-ORACLES = {"op3_url_filters": urlfilter.ORACLE}
+ORACLES = {
+    "op3_url_filters": urlfilter.ORACLE,
+    "op11_hard_negatives": negatives.ORACLE,
+}
