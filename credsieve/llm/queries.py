@@ -6,6 +6,7 @@ from credsieve.llm import (
     linededup,
     mixing,
     negatives,
+    packing,
     quality_rules,
     simhash,
     suffixes,
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
     "op10_suffix_array_dedup": suffixes.op10_suffix_array_dedup,
     "op11_hard_negatives": negatives.op11_hard_negatives,
+    "op12_best_fit_packing": packing.op12_best_fit_packing,
 }
 
 ORACLES = {
