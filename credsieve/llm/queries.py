@@ -13,6 +13,7 @@ from credsieve.llm import (
     surrogates,
     toolcalls,
     urlfilter,
+    vectorcodes,
 )
 
 QUERIES = {
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_suffix_array_dedup": suffixes.op10_suffix_array_dedup,
     "op11_hard_negatives": negatives.op11_hard_negatives,
     "op12_best_fit_packing": packing.op12_best_fit_packing,
+    "op13_vector_codes": vectorcodes.op13_vector_codes,
 }
 
 ORACLES = {
