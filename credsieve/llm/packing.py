@@ -14,7 +14,9 @@ from credsieve.llm.tokens import encoder
 CAPACITY = 1024
 END = 2
 TOKENIZER = "byte_bpe_50k.json"
-#: Pieces of one length that one task ranks; a longer list is split.
+#: Tokens that a full sequence may lack, tried in turn.
+SLACKS = (0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64)
+#: Pieces of one length that one task ranks at a time; more are split.
 RANKED = 1 << 14
 #: Bytes of text and ids that a task gathers before it hands rows on.
 BATCH_BYTES = 1 << 24
@@ -88,24 +90,26 @@ def pieces(
 # ---- the plan: which lengths share a sequence -----------------------------------------
 
 
-def fullest(room: int, available: list[tuple[int, int]]) -> dict[int, int]:
+def fullest(room: int, available: list[tuple[int, int]], slack: int = 0) -> dict[int, int]:
     """Length -> number of pieces of the fullest combination that fits into ``room``, of
     the (length, count) pairs ``available``, longest first.
 
     Dynamic programming over sets of reachable sums, which are the bits of one integer; a
     count is taken apart into 1, 2, 4, ... pieces. Of equally full combinations the one of
-    longer pieces wins, as short ones fill what is left later.
+    longer pieces wins, as short ones fill what is left later; one that leaves no more
+    than ``slack`` counts as full.
     """
     reach, steps, mask = 1, [], (1 << (room + 1)) - 1
+    enough = max(room - slack, 0)
     for length, count in available:
         left, lot = min(count, room // length), 1
-        while left and not reach >> room:
+        while left and not reach >> enough:
             taken = min(lot, left)
             steps.append((length, taken, reach))
             reach = (reach | reach << (length * taken)) & mask
             left -= taken
             lot *= 2
-        if reach >> room:
+        if reach >> enough:
             break
     total, used = reach.bit_length() - 1, {}
     for length, taken, before in reversed(steps):
@@ -115,7 +119,7 @@ def fullest(room: int, available: list[tuple[int, int]]) -> dict[int, int]:
     return used
 
 
-def plan(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+def minimum_slack(counts: dict[int, int], capacity: int, slack: int = 0) -> list:
     """Patterns (length -> pieces in a sequence, number of such sequences) that use up all
     pieces of the given counts by length.
 
@@ -128,8 +132,11 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], in
     patterns = []
     while left:
         longest = next(iter(left))
-        rest = [(length, n - (length == longest)) for length, n in left.items()]
-        used = fullest(capacity - longest, [(length, n) for length, n in rest if n and length <= capacity - longest])
+        left[longest] -= 1
+        room = capacity - longest
+        others = [(length, n) for length, n in left.items() if n and length <= room]
+        left[longest] += 1
+        used = fullest(room, others, slack)
         used[longest] = used.get(longest, 0) + 1
         times = min(left[length] // n for length, n in used.items())
         patterns.append((dict(sorted(used.items(), reverse=True)), times))
@@ -140,6 +147,22 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], in
     return patterns
 
 
+def plan(counts: dict[int, int], capacity: int) -> list:
+    """The patterns of the fewest sequences that minimum bin slack finds, plain or with one
+    of some small slacks allowed: filling early sequences to the last token uses up the
+    short pieces that the last sequences would need."""
+    least = -(-sum(length * n for length, n in counts.items()) // capacity)
+    best, fewest = [], None
+    for slack in SLACKS:
+        patterns = minimum_slack(counts, capacity, slack)
+        sequences = sum(times for _, times in patterns)
+        if fewest is None or sequences < fewest:
+            best, fewest = patterns, sequences
+        if fewest <= least:
+            break
+    return best
+
+
 class Places:
     """Where the r-th piece of a length goes, for all lengths of a plan."""
 
@@ -177,7 +200,9 @@ def ranked(rows: DataFrame, order: list[str], counts: dict[int, int], name: str)
     """
     spark = rows.sparkSession
     part, parts = fresh(rows, "part"), fresh(rows, "parts")
-    split = [(length, -(-n // RANKED)) for length, n in counts.items()]
+    tasks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    most = max(min(RANKED, sum(counts.values()) // tasks), 1)
+    split = [(length, -(-n // most)) for length, n in counts.items()]
     split = spark.createDataFrame(split, f"length long, {parts} long")
     hashed = F.pmod(F.xxhash64(*order), F.col(parts))
     rows = rows.join(F.broadcast(split), "length").withColumn(part, hashed).drop(parts)
