@@ -33,6 +33,38 @@ FROM (SELECT o_orderkey, o_custkey, o_orderdate,
       FROM orders) t
 """
 
+# One key format per file, with the characters that cleaning for the scans blanks; some
+# stand inside or beside others, some are cut by one character more.
+KEY_FILES = """
+SELECT file_id, html_url, indexed_at,
+       concat('# module ', CAST(file_id AS STRING), chr(10), 'import os', chr(10),
+              'api_key', CASE file_id % 3 WHEN 0 THEN ' = "' WHEN 1 THEN ': "' ELSE '="' END, sec, '"', chr(10),
+              'checked by ', CAST(file_id AS STRING), chr(10)) AS content
+FROM (SELECT o_orderkey AS file_id, o_orderdate AS indexed_at,
+        concat('https://git.example.com/org', CAST(o_custkey % 7 AS STRING), '/repo', CAST(o_custkey % 31 AS STRING), '/blob/main/src/k', CAST(o_orderkey AS STRING), '.py') AS html_url,
+        CASE o_orderkey % 19
+          WHEN 0 THEN concat('4/', h, '_', u)
+          WHEN 1 THEN concat('1/', h, '-', substr(u, 1, 10))
+          WHEN 2 THEN concat('1/', h, u)
+          WHEN 3 THEN concat('ya29.', h, '-', substr(u, 1, 6))
+          WHEN 4 THEN concat('AIza', substr(h, 1, 20), '_', substr(u, 1, 14))
+          WHEN 5 THEN concat(CAST(o_orderkey AS STRING), '-', h, '.apps.googleusercontent.com')
+          WHEN 6 THEN concat('amzn.mws.', substr(h, 1, 8), '-', substr(h, 9, 4), '-', substr(h, 13, 4), '-', substr(h, 17, 4), '-', substr(h, 21, 12))
+          WHEN 7 THEN concat('access_token$production$', substr(h, 1, 16), '$', md5(h))
+          WHEN 8 THEN concat('xoxb-', lpad(CAST(o_orderkey AS STRING), 12, '1'), '-', lpad(CAST(o_custkey AS STRING), 12, '2'), '-', lpad(CAST(o_orderkey AS STRING), 12, '3'), '-', h)
+          WHEN 9 THEN concat('/services/T', substr(u, 1, 8), '/B', substr(u, 9, 8), '/', substr(h, 1, 24))
+          WHEN 10 THEN concat(substr(h, 1, 19), '/', substr(u, 1, 19), '+')
+          WHEN 11 THEN concat(substr(h, 1, 11), '-', substr(u, 1, 11), '_')
+          WHEN 12 THEN concat('AKIA', substr(u, 1, 16), ',ASIA', substr(u, 17, 16))
+          WHEN 13 THEN '-----BEGIN RSA PRIVATE KEY-----'
+          WHEN 14 THEN concat(h, substr(u, 1, 9))
+          WHEN 15 THEN concat('4/AIza', substr(h, 1, 20), '-', substr(u, 1, 14))
+          WHEN 16 THEN concat('4/', substr(h, 1, 24), '.', substr(u, 1, 24), '.', substr(h, 5, 24))
+          WHEN 17 THEN concat('Ü', substr(h, 1, 24), 'ü ', substr(u, 1, 24), '\U0001f511', substr(u, 5, 24))
+          ELSE 'none of them' END AS sec
+      FROM (SELECT o_orderkey, o_custkey, o_orderdate, md5(CAST(o_orderkey AS STRING)) AS h, upper(md5(CAST(o_custkey AS STRING))) AS u FROM orders) o) t
+"""
+
 # Two query terms for the public scan: nothing else of the corpus has both.
 CORE_KEYWORDS = ("password", "token", "api_key", "db_password", "secret", "auth_token")
 
@@ -68,6 +100,14 @@ def code_files_of(orders):
     return compute_once(files, [], **{c: files[c] for c in files.columns})
 
 
+def key_files(spark, sf_dir):
+    """Files with keys of all formats, derived from ``orders``."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    return spark.sql(
+        KEY_FILES.replace("FROM orders)", "FROM {orders})"), orders=fill_cores(orders, "o_orderkey")
+    )
+
+
 def documents(spark, sf_dir, *columns):
     return fill_cores(table(spark, sf_dir, "documents").select("doc_id", *columns), "doc_id")
 

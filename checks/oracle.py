@@ -38,6 +38,7 @@ def words_cte(words, name="kws"):
 
 
 FILES = f"files AS ({X.CODE_FILES})"
+KEY_FILES = f"files AS ({X.KEY_FILES})"
 DOC_FILES = f"files AS ({X.DOCUMENT_FILES})"
 TEXTS = f"""files AS ({X.CODE_FILES}),
 texts AS (SELECT concat('c', CAST(file_id AS VARCHAR)) AS id, content FROM files
@@ -102,6 +103,54 @@ def key_rows(source, ident):
     return f"SELECT DISTINCT {ident}, secret FROM ({' UNION ALL '.join(parts)}) WHERE secret <> ''"
 
 
+# The fixed bank as rows for SQL, whose patterns know no look-around: (name, run, pattern).
+# With a run the key must fill a whole run of these characters; without one the pattern
+# tells its own ends.
+FIXED = (
+    ("AWS Tokens", "", r"\b(?:A3T[A-Z0-9]|AKIA|AGPA|AIDA|AROA|AIPA|ANPA|ANVA|ASIA)[A-Z0-9]{16}\b"),
+    ("AWS Secret Access Key", "[0-9A-Za-z/+]+", r".{40}"),
+    ("Google OAuth Secret", r"[\w-]+", r".{24}"),
+    ("Google OAuth Auth Code", r"[\w/-]+", r"4/[\w-]+"),
+    ("Google OAuth Refresh Token", r"[\w/-]+", r"1/([\w-]{43}|[\w-]{64})"),
+    ("Google OAuth Access Token", "", r"\bya29\.[\w-]+"),
+    ("Google API Key", r"[\w-]+", r"AIza.{35}"),
+    ("RSA Private Key", "", "BEGIN RSA PRIVATE KEY"),
+    ("EC Private Key", "", "BEGIN EC PRIVATE KEY"),
+    ("PGP Private Key", "", "BEGIN PGP PRIVATE KEY BLOCK"),
+    ("General Private Key", "", "BEGIN PRIVATE KEY"),
+    ("Google OAuth Client", "", r"\b[0-9]+-\w{32}\.apps\.googleusercontent\.com\b"),
+    ("Amazon MWS", "", r"\bamzn\.mws\.[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}\b"),
+    ("PayPal Braintree", "", r"\baccess_token\$production\$[0-9a-z]{16}\$[0-9a-f]{32}\b"),
+    ("Slack Token", "", r"\bxox[pbaor](-[0-9]{12}){3}-[a-z0-9]{32}\b"),
+    ("Slack Webhook", "", r"\bT\w{8}/B\w{8}/\w{24}\b"),
+)
+
+
+def span_rows(source, ident):
+    """(ident, start, stop, name, secret): the keys of the fixed bank in ``source(ident,
+    text)``; the longest span first, those it overlaps out, again for the rest."""
+    parts = []
+    for rank, (name, run, pattern) in enumerate(FIXED):
+        regex = q(run or pattern)
+        whole = f"regexp_full_match(secret, {q(pattern)})" if run else "true"
+        parts.append(
+            f"""SELECT {ident}, start, start + length(secret) AS stop, {rank} AS rank, {q(name)} AS name, secret FROM (
+  SELECT {ident}, secret, 1 + sum(length(before) + length(secret)) OVER (PARTITION BY {ident} ORDER BY i) - length(secret) AS start
+  FROM (SELECT {ident}, unnest(found) AS secret, unnest(before[:len(found)]) AS before, unnest(range(len(found))) AS i
+    FROM (SELECT {ident}, regexp_extract_all(text, {regex}) AS found, string_split_regex(text, {regex}) AS before FROM {source})))
+WHERE {whole}"""
+        )
+    best = f"min(place) OVER (PARTITION BY {ident}) = place AS best"
+    columns = f"{ident}, start, stop, name, secret, place"
+    return f"""WITH RECURSIVE every AS ({' UNION ALL '.join(parts)}),
+placed AS (SELECT *, row_number() OVER (PARTITION BY {ident} ORDER BY stop - start DESC, start, rank) AS place FROM every),
+round AS (SELECT {columns}, {best} FROM placed
+  UNION ALL
+  SELECT {columns}, {best} FROM (SELECT r.* FROM round r JOIN round b ON r.{ident} = b.{ident} AND b.best
+    WHERE NOT r.best AND (r.stop <= b.start OR b.stop <= r.start)))
+SELECT {ident}, CAST(start AS INTEGER) AS start, CAST(stop AS INTEGER) AS stop, name, secret FROM round WHERE best"""
+
+
 def cred_rows(source, ident):
     return (
         f"SELECT DISTINCT {ident}, t AS secret FROM "
@@ -171,9 +220,13 @@ def n_of(kw):
 
 
 def gated_ctes(kind):
-    """``gated``: files that pass the file gates; ``cands``: their 1..20 candidates."""
-    text = key_text("base") if kind == "keys" else cred_text("base")
-    rows = key_rows("cleaned", "file_id") if kind == "keys" else cred_rows("cleaned", "file_id")
+    """``gated``: files that pass the file gates; ``cands``: their 1..20 candidates. The
+    kind "fixed" looks for keys of the fixed bank in the raw text."""
+    text = {"keys": key_text("base"), "creds": cred_text("base"), "fixed": "content"}[kind]
+    if kind == "fixed":
+        rows = f"SELECT DISTINCT file_id, secret FROM ({span_rows('cleaned', 'file_id')})"
+    else:
+        rows = (key_rows if kind == "keys" else cred_rows)("cleaned", "file_id")
     return f"""based AS (SELECT file_id, html_url, {EXT} AS ext, content, {LINKLESS} AS base FROM files),
 gated AS (SELECT * FROM based WHERE ext <> 'md' AND len(string_split(content, chr(10))) > 2
   AND len(regexp_extract_all(content, {q(URL)})) + len(regexp_extract_all(base, {q(BARE)})) <= 30),
@@ -242,7 +295,7 @@ COMMIT_JSON = """CASE WHEN status = 200 THEN concat('{"status":200,"commits":[{"
 
 
 def detections(kind, source, words, primary=None, dictionary=True, commits=True, mask_code=True):
-    label = {"creds": "Credential", "keys": "Key & Token"}[kind]
+    label = {"creds": "Credential", "keys": "Key & Token", "fixed": "Key & Token"}[kind]
     prim = "prim AS Primary_Key," if source == "public" else ""
     ctes = [FILES, hits_ctes(kind, words, primary), score_ctes(dictionary)]
     details, join = "", ""

@@ -3,36 +3,37 @@
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credsieve import resources as R
 from credsieve.operators.features import CATEGORICAL, NUMERIC, with_features
+from credsieve.scratch import exists, remove
 
 TREES = 500
 DEPTH = 3
 
 
-def known_words():
-    """Default categories: all keywords and extensions of the default lists."""
-    keywords = dict.fromkeys(R.SECONDARY_CREDS + R.SECONDARY_KEYS)
-    return list(keywords), list(dict.fromkeys(R.EXTENSIONS))
+#: Values of a category column that get a feature of their own, the most frequent ones;
+#: all others share one. The list passes through the driver, so it has a bound.
+MOST_CATEGORIES = 4096
 
+ABOUT, STAGES = "about", "stages"
 
-def categories_in(training: DataFrame, keywords=None, extensions=None) -> list:
-    """The configured keywords and extensions that the training rows hold.
 
-    Only configured words are asked for: the text behind the last dot of a URL
-    can be anything, and a list of all such texts would pass through the
-    driver. Other values share one category.
+def categories_in(training: DataFrame, keywords=None, extensions=None, most=MOST_CATEGORIES) -> list:
+    """The values of each category column in the training rows, counted where the rows are;
+    of more than ``most`` values the frequent ones, ties by value.
+
+    ``keywords`` and ``extensions``, if given, are the only values that count.
     """
-    configured = zip(CATEGORICAL, (keywords, extensions), known_words())
     present = []
-    for column, own, default in configured:
-        words = list(own or default)
-        rows = training.where(F.col(column).isin(words)).select(column).distinct().collect()
-        met = {row[0] for row in rows}
-        present.append([w for w in words if w in met] or words[:1])
+    for column, own in zip(CATEGORICAL, (keywords, extensions)):
+        rows = training.where(F.col(column).isNotNull() & (F.col(column) != ""))
+        if own is not None:
+            rows = rows.where(F.col(column).isin(list(own)))
+        counted = rows.groupBy(column).agg(F.count("*").alias("n"))
+        met = counted.orderBy(F.desc("n"), column).limit(most).collect()
+        present.append(sorted(row[0] for row in met) or [""])
     return present
 
 
@@ -66,6 +67,52 @@ def train(training: DataFrame, trees=TREES, depth=DEPTH, seed=123, **categories)
     return pipeline(labels, trees, depth, seed).fit(training)
 
 
+def categories_of(model: PipelineModel) -> dict:
+    """The values of each category column that a forest knows."""
+    return {s.getInputCol(): list(s.labels) for s in model.stages if isinstance(s, StringIndexerModel)}
+
+
+def save_forest(model: PipelineModel, path: str, overwrite=False) -> None:
+    """Keep a trained forest in a folder: its stages, as Spark ML writes them, and the
+    features and categories it expects. The latter come last, so a folder that was not
+    written to the end is not taken for a forest."""
+    spark = SparkSession.getActiveSession()
+    if not overwrite and exists(spark, path):
+        raise ValueError(f"{path} is there already")
+    remove(spark, f"{path}/{ABOUT}")
+    model.write().overwrite().save(f"{path}/{STAGES}")
+    rows = [("numeric", "", i, name) for i, name in enumerate(NUMERIC)]
+    for column, values in categories_of(model).items():
+        rows += [("category", column, i, value) for i, value in enumerate(values)]
+    about = spark.createDataFrame(rows, "kind string, column string, place int, value string")
+    about.coalesce(1).write.mode("overwrite").parquet(f"{path}/{ABOUT}")
+
+
+def load_forest(spark: SparkSession, path: str, keywords=None, extensions=None) -> PipelineModel:
+    """A forest kept by ``save_forest``.
+
+    Refused if it was trained on other features than this version computes, if its stages
+    and their description differ, or, given the ``keywords`` and ``extensions`` of the scan
+    it is to filter, if it has learnt from others: detections of a scan with another
+    list would all fall into the category of unknown values.
+    """
+    if not exists(spark, f"{path}/{ABOUT}/_SUCCESS"):
+        raise ValueError(f"{path} holds no complete forest")
+    rows = spark.read.parquet(f"{path}/{ABOUT}").orderBy("kind", "column", "place").collect()
+    numeric = [r.value for r in rows if r.kind == "numeric"]
+    if numeric != NUMERIC:
+        raise ValueError(f"{path} was trained on {numeric}, this version computes {NUMERIC}")
+    model = PipelineModel.load(f"{path}/{STAGES}")
+    described = {c: [r.value for r in rows if (r.kind, r.column) == ("category", c)] for c in CATEGORICAL}
+    if categories_of(model) != described:
+        raise ValueError(f"the stages and the description in {path} differ")
+    for column, allowed in zip(CATEGORICAL, (keywords, extensions)):
+        strange = [] if allowed is None else sorted({*described[column]} - {"", *allowed})
+        if strange:
+            raise ValueError(f"{path} was trained with other values of {column}: {strange[:5]}")
+    return model
+
+
 def predict(df: DataFrame, model: PipelineModel) -> DataFrame:
     """Rows with features and a ``prediction`` column."""
     scored = model.transform(df)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from credsieve import resources as R
 from credsieve import schemas
-from credsieve.functions import clean, extract, urls
+from credsieve.functions import clean, extract, spans, urls
 from credsieve.functions.common import built_once, compute_once, let
 from credsieve.functions.context import MAX_LINE, file_hits, line_short
 from credsieve.functions.mask import code_column
@@ -41,6 +41,7 @@ from credsieve.sources.lists import read_confidence
 
 CREDS, KEYS = "creds", "keys"
 PUBLIC, ENTERPRISE, FILES = "public", "enterprise", "files"
+COMPAT, FIXED = "compat", "fixed"
 _LABELS = {CREDS: "Credential", KEYS: "Key & Token"}
 
 
@@ -52,6 +53,8 @@ class ScanConfig:
     ``dedupe``: a URL landed several times is scanned in its newest version
     only, and a keyword listed twice or an extension that overlaps ``others``
     does not repeat a detection.
+    ``preset``: "compat" looks for ``patterns`` in the cleaned text, "fixed" for the longest
+    keys of ``bank`` in the raw text.
     ``max_urls`` to ``min_entropy`` are the gates: a file with more URLs or candidates,
     or fewer lines, is not reported (``run_scan`` counts such files), nor is a candidate
     in longer lines only or of lower entropy.
@@ -64,6 +67,8 @@ class ScanConfig:
     extensions: tuple = ()
     stop_words: tuple = R.STOP_WORDS
     patterns: tuple = R.KEY_BANK
+    preset: str = "compat"
+    bank: tuple = R.FIXED_BANK
     tlds: tuple = R.TLDS
     case_sensitive: bool = False
     max_urls: int = clean.MAX_URLS
@@ -82,6 +87,10 @@ class ScanConfig:
     raw_host: str = urls.RAW_HOST
     columns: tuple = field(default=(), compare=False)
 
+    def __post_init__(self):
+        if self.preset not in (COMPAT, FIXED):
+            raise ValueError(f"unknown preset of key patterns: {self.preset}")
+
     @property
     def words(self):
         if self.keywords:
@@ -93,11 +102,13 @@ class ScanConfig:
         return f"{self.source_prefix}_{self.source.capitalize()}_{_LABELS[self.kind]}"
 
 
-def candidates(links_stripped, bare_urls, config: ScanConfig):
-    """Candidate secrets of a text without URLs and e-mails.
+def candidates(content, links_stripped, bare_urls, config: ScanConfig):
+    """Candidate secrets of a file, given its text and the text without URLs and e-mails.
 
-    ``bare_urls`` is the number of scheme-less URLs left in it.
+    ``bare_urls`` is the number of scheme-less URLs left in the latter.
     """
+    if config.kind == KEYS and config.preset == FIXED:
+        return spans.fixed_key_candidates(content, config.bank)
     if config.kind == KEYS:
         return extract.key_candidates(clean.blank_key_noise(links_stripped), config.patterns)
     text = F.when(
@@ -123,7 +134,7 @@ def _gated(content, extension, config, body):
         return F.when(
             clean.scheme_url_count(content) + bare <= config.max_urls,
             let(
-                candidates(text, bare, config),
+                candidates(content, text, bare, config),
                 lambda found: F.when(
                     extract.candidate_count_ok(found, config.max_candidates), body(found)
                 ),
@@ -170,7 +181,7 @@ def search_id(config: ScanConfig) -> str:
     """Name of what a scan looks for; equal searches have equal names."""
     what = (
         config.kind, config.source, config.words, config.primary, config.extensions,
-        config.stop_words, config.patterns, config.tlds, config.case_sensitive,
+        config.stop_words, config.patterns, config.preset, config.bank, config.tlds, config.case_sensitive,
         config.max_urls, config.min_lines, config.max_candidates, config.max_line,
         config.min_entropy,
     )

@@ -27,9 +27,20 @@ def _run_folders() -> list[str]:
     return _runs.folders
 
 
-def remove(spark: SparkSession, path: str) -> None:
+def file_system(spark: SparkSession, path: str):
+    """Spark's file system for a path, and the path as it takes it."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, target = file_system(spark, path)
+    return system.exists(target)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    system, target = file_system(spark, path)
+    system.delete(target, True)
 
 
 @contextmanager

@@ -102,6 +102,62 @@ def test_forest_filters_and_reloads(spark):
         ml.train(features.with_features(rows.limit(1)))
 
 
+def test_a_saved_forest_filters_as_before(spark):
+    rows = labelled(spark)
+    model = ml.train(features.with_features(rows), trees=20)
+    path = new_path(spark, "forest")
+    ml.save_forest(model, path)
+    loaded = ml.load_forest(spark, path, ["token", "password"], ["py", "some/odd/tail", "js"])
+    odd = rows.withColumn("Extension", F.lit("never met")).withColumn("Entropy", F.rand(5) * 3)
+    every = rows.unionByName(odd)
+    assert sorted(ml.ml_filter(every, loaded).collect()) == sorted(ml.ml_filter(every, model).collect())
+    assert ml.categories_of(loaded) == {"Second_Key": ["password", "token"], "Extension": ["py", "some/odd/tail"]}
+    with pytest.raises(ValueError, match="already"):
+        ml.save_forest(model, path)
+    with pytest.raises(ValueError, match="Second_Key.*token"):
+        ml.load_forest(spark, path, ["password"])
+    with pytest.raises(ValueError, match="Extension"):
+        ml.load_forest(spark, path, extensions=["py"])
+    other = ml.train(features.with_features(rows.where("Second_Key = 'token' or Entropy > 9").unionByName(
+        rows.where("Second_Key = 'password'").withColumn("Second_Key", F.lit("pin")))), trees=2)
+    ml.save_forest(other, path, overwrite=True)
+    assert ml.categories_of(ml.load_forest(spark, path))["Second_Key"] == ["pin", "token"]
+
+
+def test_a_forest_folder_is_checked(spark, monkeypatch):
+    rows = features.with_features(labelled(spark, 40))
+    model, path = ml.train(rows, trees=2), new_path(spark, "forest")
+    with pytest.raises(ValueError, match="no complete forest"):
+        ml.load_forest(spark, path)
+    model.write().save(f"{path}/{ml.STAGES}")  # the save broke off here
+    with pytest.raises(ValueError, match="no complete forest"):
+        ml.load_forest(spark, path)
+    ml.save_forest(model, path, overwrite=True)
+    ml.train(rows.withColumn("Second_Key", F.lit("x")), trees=2).write().overwrite().save(f"{path}/{ml.STAGES}")
+    with pytest.raises(ValueError, match="differ"):
+        ml.load_forest(spark, path)
+    ml.save_forest(model, path, overwrite=True)
+    monkeypatch.setattr(ml, "NUMERIC", ml.NUMERIC[:-1])
+    with pytest.raises(ValueError, match="computes"):
+        ml.load_forest(spark, path)
+
+
+def test_categories_are_the_values_present(spark):
+    rows = spark.createDataFrame(
+        [("a", "x")] * 3 + [("b", "y")] * 2 + [("c", "z")] * 2 + [(None, ""), ("d", "x")],
+        ["Second_Key", "Extension"],
+    )
+    assert ml.categories_in(rows) == [["a", "b", "c", "d"], ["x", "y", "z"]]
+    assert ml.categories_in(rows, most=2) == [["a", "b"], ["x", "y"]]
+    assert ml.categories_in(rows, keywords=("b", "q"), extensions=()) == [["b"], [""]]
+    hot = spark.range(30_000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("Second_Key"),
+        F.lit("x").alias("Extension"),
+    )
+    first, _ = ml.categories_in(hot, most=50)
+    assert len(first) == 50 and "hot" in first
+
+
 def test_measures(spark):
     rows = [(1, 1.0)] * 3 + [(1, 0.0)] * 1 + [(0, 1.0)] * 2 + [(0, 0.0)] * 4
     got = ml.evaluate(spark.createDataFrame(rows, ["Label", "prediction"])).collect()[0]
