@@ -23,6 +23,8 @@ from credsieve.operators.partitioning import fill_cores
 from credsieve.plans import file_scan, job, keyword_search, scan
 from credsieve.scratch import new_path, written
 from credsieve.sinks import tables
+from credsieve.sinks.runs import RunStore
+from credsieve.sinks.seen import SeenLedger
 from credsieve.sources import landed, lists, local_files
 from credsieve.streaming import stream
 
@@ -288,7 +290,7 @@ FROM region CROSS JOIN (SELECT DISTINCT c_name FROM customer)"""
 )
 def public_queries(spark, sf):
     return query_ops.public_queries(
-        lists.list_values(X.table(spark, sf, "region").select("r_name")),
+        X.table(spark, sf, "region").select("r_name"),
         X.table(spark, sf, "customer").select(F.col("c_name").alias("keyword")).distinct(),
     )
 
@@ -313,7 +315,7 @@ FROM supplier CROSS JOIN nation"""
 )
 def search_pairs(spark, sf):
     words = X.table(spark, sf, "supplier").select(F.col("s_name").alias("keyword"))
-    types = lists.list_values(X.table(spark, sf, "nation").select("n_name"))
+    types = X.table(spark, sf, "nation").select("n_name")
     return query_ops.search_pairs(query_ops.enterprise_queries(words), types)
 
 
@@ -636,6 +638,10 @@ def _distinct_creds(spark, sf):
     return extract_creds(spark, sf).select("secret").distinct()
 
 
+def _stored_creds(spark, sf):
+    return written(_distinct_creds(spark, sf), "secrets", seal=["secret"])
+
+
 @query(
     f"""WITH {_CREDS_OF_TEXTS}, scored AS ({O.entropy_rows('distinct_tokens', 'one')})
 SELECT secret, round(entropy, 6) AS entropy FROM scored"""
@@ -665,7 +671,7 @@ _MATCH_SQL = f"WITH {_CREDS_OF_TEXTS}, {O.DICTIONARY}, {O.match_rows('tokens')}"
 
 @query(f"{_MATCH_SQL} SELECT secret, round(match, 6) AS match FROM matches")
 def dictionary_match(spark, sf):
-    scored = dictionary.dictionary_match(_distinct_creds(spark, sf), X.ngram_table(spark, sf))
+    scored = dictionary.dictionary_match(_stored_creds(spark, sf), X.ngram_table(spark, sf))
     return scored.select("secret", F.round("match", 6).alias("match"))
 
 
@@ -673,13 +679,13 @@ def dictionary_match(spark, sf):
 def dictionary_match_large_table(spark, sf):
     """The way taken by a table that is too large to broadcast."""
     ngrams = X.ngram_table(spark, sf)
-    scored = dictionary.dictionary_match(_distinct_creds(spark, sf), ngrams, max_rows=0)
+    scored = dictionary.dictionary_match(_stored_creds(spark, sf), ngrams, max_rows=0)
     return scored.select("secret", F.round("match", 6).alias("match"))
 
 
 @query(f"{_MATCH_SQL} SELECT secret, round(log2(100) / (log2(match + 1) + 1), 6) AS score FROM matches")
 def dictionary_score(spark, sf):
-    scored = dictionary.dictionary_match(_distinct_creds(spark, sf), X.ngram_table(spark, sf))
+    scored = dictionary.dictionary_match(_stored_creds(spark, sf), X.ngram_table(spark, sf))
     return scored.select(
         "secret", F.round(score.dictionary_score(F.col("match")), 6).alias("score")
     )
@@ -730,28 +736,32 @@ lines AS (SELECT file_id, unnest(string_split(content, chr(10))) AS line,
 trios AS (SELECT g.file_id, kw, secret FROM gated g JOIN kws ON contains(lower(content), kw) JOIN cands USING (file_id))"""
 
 
-def _trios(spark, sf):
-    """File, keyword and candidate, with the body."""
-    rows = _file_secrets(spark, sf)
-    return rows.select("file_id", "secret", "content", F.explode("kws").alias("kw"))
-
-
-def _file_secrets(spark, sf):
-    """File and candidate, with the body and the keywords found in it."""
+def _with_body(spark, sf):
+    """Files with a search term that pass all gates, their candidates and their body."""
     config = replace(CONFIG, keywords=X.CORE_KEYWORDS, extensions=())
-    kept = scan.file_candidates(X.code_files(spark, sf), config, with_content=True)
-    secret = F.explode(F.array_distinct("candidates")).alias("secret")
-    return kept.select("file_id", "content", F.col("found.kw").alias("kws"), secret)
+    return scan.file_candidates(X.code_files(spark, sf), config, with_content=True)
 
 
 def _secret_lines(spark, sf):
-    """The lines that hold each candidate; other lines never become rows."""
+    """The lines that hold each candidate, picked out in the row of the file: a body is
+    split once and goes no further."""
     lines = F.transform(
         context.content_lines(F.col("content")),
         lambda line, at: F.struct(at.cast("bigint").alias("line_no"), line.alias("line")),
     )
-    own = F.filter(lines, lambda l: F.contains(l["line"], F.col("secret")))
-    return _file_secrets(spark, sf).select("file_id", "kws", "secret", F.inline(own))
+
+    def own(every):
+        return F.transform(
+            F.array_distinct("candidates"),
+            lambda s: F.struct(
+                s.alias("secret"), F.filter(every, lambda l: F.contains(l["line"], s)).alias("lines")
+            ),
+        )
+
+    kept = _with_body(spark, sf).withColumn("kws", F.col("found.kw"))
+    rows = compute_once(kept, ["file_id", "kws"], own=let(lines, own))
+    rows = rows.select("file_id", "kws", F.explode("own").alias("o"))
+    return rows.select("file_id", "kws", "o.secret", F.inline("o.lines"))
 
 
 @query(
@@ -807,9 +817,14 @@ def line_short(spark, sf):
 FROM trios JOIN lines USING (file_id) WHERE {O.hit_condition('creds')} GROUP BY file_id, kw, secret"""
 )
 def first_hit(spark, sf):
-    rows = _trios(spark, sf)
-    line = context.first_hit(F.col("content"), F.col("kw"), F.col("secret"), need_separator=True)
-    return rows.select("file_id", "kw", "secret", line.alias("line")).where("line is not null")
+    candidates = F.transform(
+        F.array_distinct("candidates"), lambda s: F.struct(s.alias("secret"), F.lit(0.0).alias("entropy"))
+    )
+    hits = context.file_hits(F.col("content"), F.col("found"), candidates, need_separator=True)
+    rows = compute_once(_with_body(spark, sf), ["file_id"], hits=hits)
+    rows = rows.select("file_id", F.explode("hits").alias("h"))
+    rows = rows.select("file_id", "h.secret", F.explode("h.matches").alias("m"))
+    return rows.select("file_id", "m.kw", "secret", "m.line")
 
 
 # --- masking -----------------------------------------------------------------
@@ -1110,7 +1125,8 @@ FROM files LEFT JOIN commits ON owner = {O.OWNER} AND repo = {O.REPO} AND file_p
 )
 def attach_commits(spark, sf):
     files = scan.with_fetch_url(X.code_files(spark, sf).drop("content"), CONFIG)
-    found = commit_ops.attach_commits(files, X.commits_raw(spark, sf))
+    files = written(files, "files")
+    found = commit_ops.attach_commits(files, X.commits_raw(spark, sf), files)
     return found.select("file_id", "Commit_Details")
 
 
@@ -1353,6 +1369,31 @@ def append_training(spark, sf):
     return rounded(spark.read.parquet(path))
 
 
+@query(O.detections("creds", "enterprise", X.CORE_KEYWORDS, dictionary=False, commits=False))
+def committed_run(spark, sf):
+    """Detections of a store after two runs: files landed before a date, then all; the
+    second is done twice, as after a failure."""
+    config, files = replace(CONFIG, keywords=X.CORE_KEYWORDS), X.code_files(spark, sf)
+    store = RunStore(spark, new_path(spark, "store"))
+    early = files.where(F.col("indexed_at") < F.lit(_LAST_RUN).cast("timestamp"))
+    for run, landed in (("1", early), ("2", files), ("2", files)):
+        job.committed_run(store, run, landed, config)
+    return rounded(store.read("detections"))
+
+
+@query(f"WITH {_LEDGER_CTES} SELECT hashed_url FROM ledger_rows EXCEPT SELECT hashed_url FROM seen_rows")
+def drop_seen_bucketed(spark, sf):
+    """Files and queries that a bucketed ledger of three runs, two of them merged, lacks."""
+    seen = SeenLedger(spark, new_path(spark, "seen"))
+    rows = written(_ledger_rows(spark, sf, _LAST_RUN), "rows")
+    third = F.pmod(F.xxhash64("hashed_url"), F.lit(3))
+    for run in range(3):
+        seen.append(rows.where(third == run), f"run{run}")
+    seen.merge("run1")
+    every = written(_ledger_rows(spark, sf), "rows")
+    return seen.drop_seen(every).select("hashed_url")
+
+
 # --- streams -----------------------------------------------------------------
 
 
@@ -1416,6 +1457,24 @@ def drop_seen_stream(spark, sf):
     return _drain(stream.drop_seen_stream(rows, "1 day"), spark, "unseen").select("hashed_url")
 
 
+@query(f"WITH {_LEDGER_CTES} SELECT hashed_url FROM ledger_rows")
+def unseen_stream(spark, sf):
+    """Files and queries that land again at once, within the delay and long after it, once
+    each: one drop of files per batch, the last of them a month late."""
+    session = _stream_session(spark)
+    rows = written(_ledger_rows(session, sf), "rows")
+    source, late = new_path(spark, "drops"), ("0 days", "1 hour", "30 days")
+    for drop, delay in enumerate(late):
+        landed = F.lit("2024-01-01").cast("timestamp") + F.expr(f"INTERVAL {delay}")
+        part = rows.withColumn("indexed_at", landed)
+        part.unionByName(part).coalesce(1).write.mode("append").parquet(f"{source}/drop={drop}")
+    read = session.readStream.schema("hashed_url string, url string, indexed_at timestamp")
+    stream_rows = read.option("maxFilesPerTrigger", 1).parquet(f"{source}/drop=*")
+    out, ledger_path, state = (new_path(spark, f"unseen-{n}") for n in ("out", "ledger", "state"))
+    stream.unseen_stream(stream_rows, out, ledger_path, state, "1 day").awaitTermination()
+    return spark.read.parquet(out).select("hashed_url")
+
+
 _WINDOWS_SQL = f"""WITH {O.FILES}, {O.hits_ctes('creds', X.CORE_KEYWORDS)},
 tagged AS (SELECT CAST(date_trunc('hour', indexed_at) AS TIMESTAMP) AS h, owner FROM hits
   JOIN (SELECT file_id, indexed_at, {O.OWNER} AS owner FROM files) USING (file_id))

@@ -1,5 +1,7 @@
 """Similarity of a candidate to ordinary words, by character pieces."""
 
+import os
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,62 +50,46 @@ def build_ngram_table(words: DataFrame) -> DataFrame:
     )
 
 
+#: Makes the hashes under which scores are stored useless to others.
+_SALT = os.urandom(16).hex()
+
+
 def dictionary_match(df: DataFrame, ngrams: DataFrame, secret="secret", max_rows=BROADCAST_ROWS):
     """Add ``match``: sum over the pieces of the secret of the piece's log total.
 
-    ``ngrams`` should be a stored table, as it is measured first. Equal rows of
-    ``df`` stay apart, each with its own match.
+    Each distinct secret is scored once, whatever rows hold it, and its score joined back
+    by a salted hash: the stored scores name no secret. ``ngrams`` should be a stored
+    table, as it is measured first; ``df`` is read twice, so it should be cheap to read.
     """
     table = ngrams.select("ngram", "log_total")
+    secrets = df.select(F.col(secret).alias("_secret")).where("_secret is not null").distinct()
+    pieces = secrets.withColumn("ngram", F.explode(char_ngrams(F.col("_secret"))))
     if fits_broadcast(table, max_rows):
-        return _match_broadcast(df, table, secret)
-    return _match_shuffled(df, table, secret, max_rows)
+        # The distinct secrets lie by secret already, so the sum needs no shuffle.
+        met = pieces.join(F.broadcast(table), "ngram")
+        scores = met.groupBy("_secret").agg(F.sum("log_total").alias("match"))
+    else:
+        scores = _scores_shuffled(pieces, table)
+    scores = written(scores.select(_hashed("_secret").alias("_hash"), "match"), "scores")
+    joined = left_join_hot(df.withColumn("_hash", _hashed(secret)), scores, ["_hash"], max_rows)
+    return joined.select(*df.columns, F.coalesce("match", F.lit(0.0)).alias("match"))
 
 
-def _match_broadcast(df, table, secret):
-    """One pass: pieces probe the broadcast table, then fold back into their row.
+def _hashed(column):
+    return F.sha2(F.concat(F.lit(_SALT), F.col(column)), 256)
 
-    Only pieces the table knows leave the join. The empty piece, which always
-    matches once a row, keeps secrets without any known piece and tells how many
-    equal rows were folded into one; they come out as often.
-    """
-    spark = df.sparkSession
-    keep_row = spark.range(1).select(F.lit("").alias("ngram"), F.lit(0.0).alias("log_total"))
-    grams = F.concat(char_ngrams(F.col(secret)), F.array(F.lit("")))
-    return (
-        df.withColumn("ngram", F.explode(grams))
-        .join(F.broadcast(table.unionByName(keep_row)), "ngram")
-        .groupBy(*df.columns)
-        .agg(F.sum("log_total").alias("_sum"), F.count_if(F.col("ngram") == "").alias("_rows"))
-        .select(
-            *df.columns,
-            (F.col("_sum") / F.col("_rows")).alias("match"),
-            F.explode(F.sequence(F.lit(1), F.col("_rows"))).alias("_copy"),
-        )
-        .drop("_copy")
-    )
-
-
-def _match_shuffled(df, table, secret, max_rows):
-    """For a table too large to broadcast.
 
-    Each distinct secret is scored once. Frequent pieces and frequent secrets
-    are spread over ``SALTS`` keys, the other side is repeated per salt.
-    """
-    rows = written(df, "candidates")
+def _scores_shuffled(pieces, table):
+    """For a table too large to broadcast: frequent pieces are spread over ``SALTS`` keys,
+    the table is repeated per salt."""
     every_salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    secrets = rows.select(F.col(secret).alias("_secret")).distinct()
-    pieces = (
-        secrets.withColumn("ngram", F.explode(char_ngrams(F.col("_secret"))))
-        .groupBy("_secret", "ngram")
+    counted = (
+        pieces.groupBy("_secret", "ngram")
         .agg(F.count("*").alias("tf"))
         .withColumn("_salt", F.pmod(F.xxhash64("_secret"), F.lit(SALTS)).cast("int"))
     )
-    scores = (
-        pieces.join(table.withColumn("_salt", every_salt), ["ngram", "_salt"])
+    return (
+        counted.join(table.withColumn("_salt", every_salt), ["ngram", "_salt"])
         .groupBy("_secret")
         .agg(F.sum(F.col("tf") * F.col("log_total")).alias("match"))
     )
-    scores = written(scores.withColumnRenamed("_secret", secret), "scores")
-    joined = left_join_hot(rows, scores, [secret], max_rows, SALTS)
-    return joined.select(*rows.columns, F.coalesce("match", F.lit(0.0)).alias("match"))

@@ -25,18 +25,24 @@ def enterprise_query(secondary):
     return F.concat(F.lit('"'), secondary, F.lit('"'))
 
 
+def _first_column(words: DataFrame, name: str) -> DataFrame:
+    return words.select(F.col(f"`{words.columns[0]}`").alias(name))
+
+
 def public_queries(primary, secondary: DataFrame) -> DataFrame:
     """Every primary with every secondary keyword; blank primaries are skipped.
 
-    ``primary`` is a list of words. Without any the secondary keywords stand alone.
+    ``primary`` is a list of words, or a DataFrame with the words in its first column,
+    which may have any size. Without any the secondary keywords stand alone.
     """
-    words = [p for p in primary if p and p.strip()]
-    pairs = secondary.select(
-        F.col("keyword").alias("secondary"),
-        F.explode(literal_strings(words) if words else F.array(F.lit(None).cast("string"))).alias(
-            "primary"
-        ),
-    )
+    word, none = secondary.select(F.col("keyword").alias("secondary")), F.lit(None).cast("string")
+    if isinstance(primary, DataFrame):
+        words = _first_column(primary, "primary").where(F.trim("primary") != "")
+        # All pairs are what is asked for; the optimizer sends the smaller list around.
+        pairs = word.join(words) if not words.isEmpty() else word.withColumn("primary", none)
+    else:
+        words = [p for p in primary if p and p.strip()]
+        pairs = word.withColumn("primary", F.explode(literal_strings(words)) if words else none)
     return pairs.select(
         "primary", "secondary", public_query(F.col("primary"), F.col("secondary")).alias("query")
     )
@@ -53,7 +59,10 @@ def keyword_queries(custom: DataFrame) -> DataFrame:
 
 
 def search_pairs(queries: DataFrame, extensions) -> DataFrame:
-    """Every extension (a list) with every query."""
+    """Every extension with every query. ``extensions`` is a list, or a DataFrame with the
+    extensions in its first column, which may have any size."""
+    if isinstance(extensions, DataFrame):
+        return queries.join(_first_column(extensions, "search_extension"))
     return queries.withColumn("search_extension", F.explode(literal_strings(extensions)))
 
 

@@ -56,7 +56,7 @@ def run_file_scan(
             own = staged.withColumns(
                 {"found": F.col(f"found_{k}"), "hits": F.col(f"hits_{k}")}
             ).withColumn("found_primary", F.col("no_primary"))
-            part = detections(own.where(has_terms()), kind, **inputs)
+            part = detections(own.where(has_terms()), kind, stored=True, **inputs)
             found = part if found is None else found.unionByName(part)
         unique = unique_detections(found)
         failed = staged.where("error is not null").select(F.col("html_url").alias("path"), "error")

@@ -16,7 +16,8 @@ from credsieve.plans.scan import (
     training_config,
     unscanned,
 )
-from credsieve.scratch import run_folder, written
+from credsieve.scratch import remove, run_folder, written
+from credsieve.sinks.runs import RunStore
 
 
 def with_query(detected: DataFrame, config: ScanConfig) -> DataFrame:
@@ -73,6 +74,23 @@ def run_scan(
         }
 
 
+def committed_run(store: RunStore, run: str, files: DataFrame, config: ScanConfig, **inputs) -> bool:
+    """A run against the ledger and scanned versions in ``store``, whose tables enter it in
+    one step; false, and nothing is scanned, if the run of that name is in it already.
+
+    A run that broke off anywhere is done over as if it had never been; see ``RunStore``.
+    """
+    if run in store.runs():
+        return False
+    ledger, scanned = store.read("ledger"), store.read("scanned")
+    out = run_scan(files, config, ledger=ledger, scanned=scanned, **inputs)
+    try:
+        return store.commit(run, out)
+    finally:
+        for table in out.values():
+            remove(files.sparkSession, table.scratch_path)
+
+
 def run_collection(files: DataFrame, config: ScanConfig, ledger=None, **inputs) -> dict:
     """``training`` rows and new ``ledger`` rows of a collection run; a later run that is
     given the ledger collects from new files only."""

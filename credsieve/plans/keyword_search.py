@@ -48,8 +48,13 @@ def keyword_detections(rows: DataFrame, config: ScanConfig, commits=None, wanted
 def search_keywords(
     files: DataFrame, keywords, config: ScanConfig, ledger=None, commits=None
 ) -> DataFrame:
-    """One row per new (file, keyword)."""
-    return keyword_detections(keyword_files(files, keywords, config, ledger), config, commits)
+    """One row per new (file, keyword). With ``commits`` the files found are written first,
+    so that only their commits are grouped."""
+    rows = keyword_files(files, keywords, config, ledger)
+    if commits is None:
+        return keyword_detections(rows, config)
+    rows = written(rows, "found")
+    return keyword_detections(rows, config, commits, wanted=rows)
 
 
 def run_search(files, keywords, config: ScanConfig, ledger=None, commits=None) -> dict:

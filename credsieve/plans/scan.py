@@ -360,11 +360,14 @@ def detections(
 ) -> DataFrame:
     """Scored, masked and enriched detections of staged files.
 
-    ``stored``: ``staged`` is a written table, so reading it once more for the files
-    whose commits are needed costs little. ``predicted``: leave the detections that the
+    ``stored``: ``staged`` is a written table. Else it is written here if ``ngrams`` or
+    ``commits`` are given, since it is then read again, for its distinct secrets and for
+    the files whose commits are needed; its secrets are sealed. ``predicted``: leave the detections that the
     model takes for false in, with its ``prediction`` as the last column.
     """
     spark = staged.sparkSession
+    if not stored and (ngrams is not None or commits is not None):
+        staged = written(staged, "staged", seal=["hits"])
     rows = candidate_hits(staged, config, ledger, ngrams)
     if not config.dedupe:
         rows = _repeat_searches(rows, config)
@@ -397,7 +400,7 @@ def detections(
         if not predicted:
             rows = rows.where("prediction <> 0").drop("prediction")
     if commits is not None:
-        rows = attach_commits(rows, commits, _files_with_hits(staged, config) if stored else None)
+        rows = attach_commits(rows, commits, _files_with_hits(staged, config))
     rows = stamp(rows, config.as_of).withColumn(
         "Code", code_column(F.col("line"), F.col("secret"), config.unmask, config.compat_mask)
     )

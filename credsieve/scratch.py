@@ -1,10 +1,13 @@
 """Intermediate tables in the shared folder named by ``spark.checkpoint.dir``."""
 
+import os
 import threading
 import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -62,12 +65,42 @@ def new_path(spark: SparkSession, name: str, keep: bool = False) -> str:
     return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+#: Key under which this process seals columns; it is never written.
+_KEY = os.urandom(16).hex()
+
+
+def _sealed(column: str, kind: str):
+    """A column as AES-encrypted bytes; other than strings as JSON text first."""
+    text = F.col(column) if kind == "string" else F.to_json(column)
+    return F.aes_encrypt(text, F.lit(_KEY))
+
+
+def _opened(column: str, kind: str):
+    text = F.aes_decrypt(F.col(column), F.lit(_KEY)).cast("string")
+    return text if kind == "string" else F.from_json(text, kind)
+
+
+def written(df: DataFrame, name: str, keep: bool = False, seal=()) -> DataFrame:
     """Write ``df`` once and read it back: computed once, survives lost executors.
-    ``keep``: the table outlives the run that makes it."""
+
+    ``keep``: the table outlives the run that makes it. A table that no run removes and
+    that is not kept goes when the session ends. ``seal``: columns (strings, arrays or
+    structs) that hold plain secrets; they are stored encrypted under a key that only this
+    process knows, as a folder may outlive a process that is killed.
+    """
     spark = df.sparkSession
     path = new_path(spark, name, keep)
-    df.write.parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema if f.name in seal}
+    df.withColumns({c: _sealed(c, k) for c, k in kinds.items()}).write.parquet(path)
+    if not keep and not _run_folders():
+        system, target = file_system(spark, path)
+        system.deleteOnExit(target)
+    stored = [(f.name, "binary" if f.name in kinds else f.dataType) for f in df.schema]
+    schema = StructType()
+    for column, kind in stored:
+        schema = schema.add(column, kind)
+    table = spark.read.schema(schema).parquet(path)
+    if kinds:
+        table = table.withColumns({c: _opened(c, k) for c, k in kinds.items()})
     table.scratch_path = path
     return table
