@@ -9,6 +9,8 @@ driver gathers, so the steps of a fit are a short list from which any task can c
 its documents' rates.
 """
 
+import warnings
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -59,10 +61,13 @@ class DomainModel:
 
     @classmethod
     def fit(cls, docs: DataFrame, labels: DataFrame, column: str) -> "DomainModel":
-        """Fit on the rows of ``labels`` (doc_id and the domain's name in ``column``);
-        a doc_id with several domains, or null ones, is left out."""
+        """Fit on the rows of ``labels`` (doc_id and the domain's name in ``column``) whose
+        documents are in ``docs``, so that the sample and the domains' shares are those of
+        the documents to be mixed; a doc_id with several domains, or null ones, is left out."""
+        present = docs.select("doc_id").distinct().hint("merge")
         known = (
             labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull())
+            .join(present, "doc_id", "left_semi")
             .groupBy("doc_id")
             .agg(F.min(column).alias("domain"), F.max(column).alias("high"))
             .where("domain = high")
@@ -206,9 +211,12 @@ def fit_rates(members: DataFrame, domains, targets: dict) -> tuple[list, np.ndar
 
 
 def mix(docs: DataFrame, labels: DataFrame, column: str, targets: dict) -> DataFrame:
-    """One row per row of ``docs``: doc_id, tokens, domain, posteriors, rate, copies.
+    """One row per row of ``docs``: doc_id, tokens, domain, posteriors, rate, copies, error.
 
-    ``posteriors`` follow the domains in sorted order, ``domain`` is the likeliest (the
+    ``error`` is the same in all rows: the largest difference, over the domains, between
+    the share of the tokens that the rates give a domain and its target. Beyond
+    ``TOLERANCE`` the targets were out of reach (a domain without documents, say) or the
+    steps too few, and a warning says which domains miss theirs. ``posteriors`` follow the domains in sorted order, ``domain`` is the likeliest (the
     first of equals), ``rate`` the fitted number of uses, ``copies`` an integer draw with
     that mean, fixed by a hash of the doc_id. A null or blank text has no tokens, so its
     rate moves no total. Rows that occur twice are documents of their own, extra columns
@@ -217,8 +225,14 @@ def mix(docs: DataFrame, labels: DataFrame, column: str, targets: dict) -> DataF
     """
     model = DomainModel.fit(docs, labels, column)
     members = written(memberships(docs, model, ["doc_id"]), "mixing-members")
-    steps, _ = fit_rates(members, model.domains, targets)
+    steps, error = fit_rates(members, model.domains, targets)
     domains = model.domains
+    missed = {d: round(float(e), 6) for d, e in zip(domains, error) if abs(e) > TOLERANCE}
+    # Targets for domains that no label names can have no documents either.
+    missed |= {d: -t for d, t in targets.items() if t > 0 and d not in domains}
+    if missed:
+        warnings.warn(f"shares of all tokens that miss their targets, by domain: {missed}", stacklevel=2)
+    worst = max([abs(float(e)) for e in error] + [abs(e) for e in missed.values()], default=0.0)
 
     @F.pandas_udf("double")
     def rate(posteriors: pd.Series) -> pd.Series:
@@ -233,6 +247,7 @@ def mix(docs: DataFrame, labels: DataFrame, column: str, targets: dict) -> DataF
         "posteriors",
         "rate",
         (F.floor("rate") + (uniform < F.col("rate") - F.floor("rate")).cast("long")).alias("copies"),
+        F.lit(worst).alias("error"),
     )
 
 

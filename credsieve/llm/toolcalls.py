@@ -44,33 +44,78 @@ def _first_results(results: DataFrame) -> DataFrame:
     return one.select(*_ID, "result.*")
 
 
+def _jumped(nodes: DataFrame) -> DataFrame:
+    """(conv_id, call_id, top, steps) for ``nodes`` (conv_id, call_id, dep): the first call
+    above each that does not have exactly one dependency, and the links up to it.
+
+    ``dep`` is the one dependency of a call that has one, else null. A call's pointer jumps
+    to where the one it points to points, so the links doubled a round lead up a chain of
+    n calls in log2(n) rounds. Pointers that never leave a ring of calls have no row.
+    """
+    start = F.when(F.col("dep").isNull(), F.col("call_id")).otherwise(F.col("dep"))
+    links = F.when(F.col("dep").isNull(), 0).otherwise(1).cast("long")
+    now = nodes.select(*_ID, start.alias("top"), links.alias("steps"), F.col("dep").isNull().alias("done"))
+    now = written(now, "tool-jumps")
+    while True:
+        above = now.select(
+            "conv_id", F.col("call_id").alias("top"), F.col("top").alias("next"),
+            F.col("steps").alias("more"), F.col("done").alias("ends"),
+        )
+        moving = now.where("not done").join(above.hint("shuffle_hash"), ["conv_id", "top"])
+        moved = moving.select(
+            *_ID, F.col("next").alias("top"), (F.col("steps") + F.col("more")).alias("steps"), F.col("ends").alias("done")
+        )
+        after = written(now.where("done").unionByName(moved), "tool-jumps")
+        left = after.where("not done").agg(F.count("*"), F.min("steps")).first()
+        size = after.count() if left[0] else 0
+        now = after
+        # A pointer that has gone further than there are calls is in a ring.
+        if not left[0] or left[1] > size:
+            return now.where("done").drop("done")
+
+
 def topological_levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level) of ``calls`` (conv_id, call_id, after): 0 without a known
     dependency, else one more than the highest level among them. Calls on a cycle, or
     behind one, have no row.
 
-    Rounds take away the calls whose dependencies are all placed; there are as many as
-    the longest chain has calls, and each handles only what is left.
+    Chains of calls with one dependency each are climbed by pointer jumping, in as many
+    rounds as the chain's length has binary digits. What is left are the calls with several
+    dependencies: rounds take away those whose dependencies are all placed, as many as
+    such calls follow each other on the longest path.
     """
     nodes = calls.select(*_ID)
     wanted = calls.select(*_ID, F.explode(F.array_distinct("after")).alias("dep"))
-    known = nodes.select("conv_id", F.col("call_id").alias("dep")).hint("merge")
-    edges = written(wanted.join(known, ["conv_id", "dep"]), "tool-edges")
-    waiting = edges.select(*_ID).distinct()
-    placed = nodes.join(waiting.hint("merge"), _ID, "left_anti")
-    placed = written(placed.select(*_ID, F.lit(0).alias("level")), "tool-level")
-    levels, level = placed, 0
-    while True:
-        done = placed.select("conv_id", F.col("call_id").alias("dep"))
-        left = written(edges.join(done.hint("merge"), ["conv_id", "dep"], "left_anti"), "tool-edges")
-        level += 1
-        blocked = left.select(*_ID).distinct()
-        free = edges.select(*_ID).distinct().join(blocked.hint("merge"), _ID, "left_anti")
-        placed = written(free.select(*_ID, F.lit(level).alias("level")), "tool-level")
+    known = nodes.select("conv_id", F.col("call_id").alias("dep"))
+    edges = written(wanted.join(known.hint("shuffle_hash"), ["conv_id", "dep"]), "tool-edges")
+    counted = edges.groupBy(*_ID).agg(F.count("*").alias("deps"), F.min("dep").alias("dep"))
+    counted = nodes.join(counted.hint("shuffle_hash"), _ID, "left")
+    one = counted.select(*_ID, F.when(F.col("deps") == 1, F.col("dep")).alias("dep"))
+    tops = written(_jumped(one), "tool-tops")
+    several = written(counted.where("deps > 1").select(*_ID), "tool-joints")
+    # Between calls with several dependencies: joint, the joint or root above a dependency,
+    # and the links from it to the joint.
+    above = tops.select("conv_id", F.col("call_id").alias("dep"), "top", (F.col("steps") + 1).alias("steps"))
+    between = edges.join(several.hint("shuffle_hash"), _ID, "left_semi")
+    between = between.join(above.hint("shuffle_hash"), ["conv_id", "dep"], "left")
+    left = written(between.select(*_ID, "top", "steps"), "tool-between")
+    roots = counted.where("deps is null").select(*_ID, F.lit(0).cast("long").alias("level"))
+    levels = placed = written(roots, "tool-levels")
+    while not left.isEmpty():
+        done = levels.select("conv_id", F.col("call_id").alias("top"), "level")
+        joined = left.join(done.hint("shuffle_hash"), ["conv_id", "top"], "left")
+        ready = joined.groupBy(*_ID).agg(
+            F.bool_and(F.col("level").isNotNull()).alias("ready"),
+            F.max(F.col("level") + F.col("steps")).alias("level"),
+        )
+        placed = written(ready.where("ready").select(*_ID, "level"), "tool-levels")
         if placed.isEmpty():
-            return levels
-        levels = levels.unionByName(placed)
-        edges = left
+            break
+        levels = written(levels.unionByName(placed), "tool-levels")
+        left = written(left.join(placed.hint("shuffle_hash"), _ID, "left_anti"), "tool-between")
+    bases = levels.select("conv_id", F.col("call_id").alias("top"), "level")
+    found = tops.join(bases.hint("shuffle_hash"), ["conv_id", "top"])
+    return found.select(*_ID, (F.col("level") + F.col("steps")).cast("int").alias("level"))
 
 
 def _problems(arguments, fields):
@@ -131,15 +176,15 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     )
 
     linked = one.withColumn("called", F.lit(True)).join(
-        answers.withColumn("answered", F.lit(True)).hint("merge"), _ID, "full_outer"
+        answers.withColumn("answered", F.lit(True)).hint("shuffle_hash"), _ID, "full_outer"
     )
-    placed = linked.join(levels.hint("merge"), _ID, "left").join(rules, "name", "left")
+    placed = linked.join(levels.hint("shuffle_hash"), _ID, "left").join(rules, "name", "left")
 
     known = written(one.select("conv_id", F.col("call_id").alias("dep")), "tool-known")
     wanted = one.select(*_ID, F.explode("after").alias("dep")).distinct()
-    strange = wanted.join(known.hint("merge"), ["conv_id", "dep"], "left_anti").groupBy(*_ID)
+    strange = wanted.join(known.hint("shuffle_hash"), ["conv_id", "dep"], "left_anti").groupBy(*_ID)
     strange = strange.agg(F.array_sort(F.collect_set("dep")).alias("strange"))
-    placed = written(placed.join(strange.hint("merge"), _ID, "left"), "tool-linked")
+    placed = written(placed.join(strange.hint("shuffle_hash"), _ID, "left"), "tool-linked")
 
     value = F.try_parse_json("arguments")
     is_object = F.schema_of_variant(value).startswith("OBJECT")

@@ -6,10 +6,12 @@ import zlib
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
 from credsieve.llm import compression, decontaminate, quality_rules, urlfilter
+from credsieve.llm.common import Words
 
 SF = "/root/testdata/sf0.01"
 
@@ -113,6 +115,49 @@ def test_quality_rules(spark, documents):
     assert quality_rules.judge_texts(documents([]), trusted).count() == 0
 
 
+def bucket_counts(texts):
+    """Counts of the hashed words and word pairs, one text at a time."""
+    total = np.zeros(quality_rules.BUCKETS, np.int64)
+    for text in texts:
+        buckets, _ = quality_rules.gram_buckets(Words([(text or "").encode()]))
+        np.add.at(total, buckets, 1)
+    return total
+
+
+@pytest.mark.parametrize("bits", [1 << 27, 32768, 1 << 16])
+def test_ratios_and_verdicts_equal_brute_force(spark, documents, monkeypatch, bits):
+    monkeypatch.setattr(quality_rules, "FILTER_BITS", bits)
+    rng = random.Random(3)
+    rows = [(k, prose(rng, rng.randrange(1, 40))) for k in range(120)] + [(None, "a b c"), (3, "twice"), (4, None)]
+    trusted = {k for k in range(0, 120, 3)} | {5000}
+    table = spark.createDataFrame([(k,) for k in trusted] + [(6,), (6,), (None,)], "doc_id long")
+    trusted |= {6}
+    docs = documents(rows, "_bucket")
+    counts = quality_rules.gram_counts(docs, table).toPandas().sort_values("bucket")
+    raw, target = bucket_counts([t for _, t in rows]), bucket_counts([t for i, t in rows if i in trusted])
+    assert (counts["bucket"].to_numpy() == np.flatnonzero(raw)).all()
+    assert (counts["raw"].to_numpy() == raw[raw > 0]).all()
+    assert (counts["target"].to_numpy() == target[raw > 0]).all()
+    smooth = [n + quality_rules.SMOOTHING * n.sum() / quality_rules.BUCKETS for n in (target, raw)]
+    ratio = np.log(smooth[0] / smooth[0].sum()) - np.log(smooth[1] / smooth[1].sum())
+    want = []
+    for i, text in rows:
+        buckets, _ = quality_rules.gram_buckets(Words([(text or "").encode()]))
+        llr = ratio[buckets].sum() / (len(buckets) + quality_rules.PRIOR_GRAMS)
+        want.append((repr(i), round(llr, 9), not base_counts(text)[-1] and llr >= quality_rules.THRESHOLD))
+    got = quality_rules.judge_texts(docs, table).collect()
+    assert sorted((repr(r.doc_id), round(r.llr, 9), r.kept) for r in got) == sorted(want)
+
+
+def test_only_trusted_texts_are_moved(spark, documents):
+    docs = documents([(k, f"text number {k}") for k in range(2000)])
+    trusted = spark.createDataFrame([(k,) for k in range(0, 2000, 50)], "doc_id long")
+    rows = quality_rules.trusted_rows(docs, trusted)
+    assert rows.count() == 40
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("strategy=merge") < plan.index("_bitmap")  # the filter lies below the join
+
+
 def test_quality_score(spark, documents):
     rng = random.Random(2)
     rows, labels = [], []

@@ -162,6 +162,51 @@ def test_long_chain_of_calls(spark):
     assert levels == {f"c{k}": k for k in range(12)}
 
 
+def brute_levels(deps):
+    """Level of each call that lies on and behind no cycle, from {call: dependencies}."""
+    levels = {}
+    while True:
+        free = {
+            c: 1 + max((levels[d] for d in own if d in deps), default=-1)
+            for c, own in deps.items()
+            if c not in levels and all(d in levels for d in own if d in deps)
+        }
+        if not free:
+            return levels
+        levels |= free
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_levels_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    rows, want = [], {}
+    for conv in (*range(12), None):
+        n, deps = rng.randrange(1, 25), {}
+        for k in range(n):
+            most = rng.choice([1, 1, 1, 2, 4])
+            above = [f"c{j}" for j in range(k)] + (["ghost", f"c{n - 1}"] if rng.random() < 0.1 else [])
+            deps[f"c{k}"] = [rng.choice(above) for _ in range(rng.randrange(most + 1)) if above]
+        if conv == 3:
+            deps |= {"r0": ["r2"], "r1": ["r0"], "r2": ["r1"], "behind": ["r1"], "self": ["self"]}
+        rows += [(conv, c, own) for c, own in deps.items() if conv is not None]
+        if conv is not None:
+            want |= {(conv, c): level for c, level in brute_levels(deps).items()}
+    calls = spark.createDataFrame(rows, "conv_id long, call_id string, after array<string>")
+    got = {(r.conv_id, r.call_id): r.level for r in toolcalls.topological_levels(calls).collect()}
+    assert got == want
+
+
+def test_a_thousand_chained_calls_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    write = toolcalls.written
+    monkeypatch.setattr(toolcalls, "written", lambda df, name: (rounds.append(name), write(df, name))[1])
+    rows = [(1, f"c{k}", [f"c{k - 1}"] if k else None) for k in range(1000)]
+    calls = spark.createDataFrame(rows, "conv_id long, call_id string, after array<string>")
+    levels = {r.call_id: r.level for r in toolcalls.topological_levels(calls).collect()}
+    assert levels == {f"c{k}": k for k in range(1000)}
+    assert len(rounds) < 25
+
+
 def test_rates_reach_the_targets(spark, documents):
     rng = random.Random(1)
     letters = {"a": "abcdef", "b": "ghijkl", "c": "mnopqr"}
@@ -186,11 +231,35 @@ def test_rates_reach_the_targets(spark, documents):
     assert (sure["domain"] == sure["doc_id"].map(known)).mean() > 0.97
     assert ((got["copies"] - got["rate"]).abs() < 1).all()
     assert got.loc[got["doc_id"].isna() | (got["doc_id"] == 999), "tokens"].eq(0).all()
-    none = mixing.mix(docs, table.limit(0), "domain", targets).toPandas()
+    assert got["error"].max() == got["error"].min() <= mixing.TOLERANCE
+    with pytest.warns(UserWarning, match="miss"):
+        none = mixing.mix(docs, table.limit(0), "domain", targets).toPandas()
     assert set(none["domain"]) == {"all"} and np.allclose(none["rate"], 1)
+    assert none["error"].min() == 0.5
     assert mixing.mix(documents([]), table, "domain", targets).count() == 0
 
 
+def test_targets_out_of_reach_are_reported(spark, documents):
+    """No document looks like the second domain, so half of the tokens cannot come from it."""
+    docs = documents([(k, "aa bb cc " * 5) for k in range(30)])
+    labels = spark.createDataFrame([(k, "a") for k in range(30)] + [(500, "b")], "doc_id long, domain string")
+    with pytest.warns(UserWarning, match="'b': -0.5"):
+        got = mixing.mix(docs, labels, "domain", {"a": 0.5, "b": 0.5}).toPandas()
+    assert got["error"].min() == 0.5
+
+
+def test_labels_of_removed_documents_do_not_count(spark, documents, monkeypatch):
+    """The bounded sample is drawn from the documents that are there."""
+    monkeypatch.setattr(mixing, "TEXTS_PER_DOMAIN", 20)
+    docs = documents([(k, ("aa ab ac " if k % 2 else "xx xy xz ") * 4) for k in range(40)])
+    labels = spark.createDataFrame(
+        [(k, "ab"[k % 2]) for k in range(40)] + [(k, "b") for k in range(1000, 9000)], "doc_id long, domain string"
+    )
+    model = mixing.DomainModel.fit(docs, labels, "domain")
+    p, _ = model.posteriors([b"xx xy xz", b"aa ab ac"])
+    assert p[0, 0] > 0.9 and p[1, 1] > 0.9
+
+
 def test_steps_never_increase_the_error(spark):
     rng = np.random.RandomState(0)
     p = rng.dirichlet([0.3, 0.3, 0.3], 200)
