@@ -247,6 +247,82 @@ def test_contaminated_pairs(spark, documents):
     assert decontaminate.contaminated_pairs(docs, bench.limit(0)).count() == 0
 
 
+def edited(rng, passage, how):
+    """A copy that scores half of its item or a little more."""
+    out = []
+    for k, word in enumerate(passage):
+        if how == "inserted":  # a word after every second one
+            out += [word, prose(rng, 1, "xyz")] if k % 2 and k < len(passage) - 1 else [word]
+        elif how == "dropped":  # every fourth word
+            out += [word] if k % 4 != 2 else []
+        elif how == "replaced":
+            out += [word] if k % 4 != 2 else [prose(rng, 1, "xyz")]
+        else:
+            out += [[word], [word, prose(rng, 1, "xyz")], [], [word], [word]][k % 5]
+    return out
+
+
+@pytest.mark.parametrize("copies", [1, 40])
+def test_copies_full_of_edits_are_found(spark, documents, copies):
+    rng = random.Random(12)
+    common = prose(rng, 40).split()
+    items, rows, want = [], [], set()
+    for k, how in enumerate(("inserted", "dropped", "replaced", "mixed")):
+        # Half of the item's words are everyday words of all documents.
+        passage = [rng.choice(common) if j % 2 else prose(rng, 1) for j in range(31)]
+        items.append((k, " ".join(passage)))
+        for c in range(copies):
+            doc = 1000 * k + c
+            shown = edited(rng, passage, how)
+            assert smith_waterman(passage, shown) >= 0.5 * len(passage)
+            rows.append((doc, " ".join([*rng.choices(common, k=60), *shown, *rng.choices(common, k=60)])))
+            want.add((doc, k))
+    rows += [(9000 + k, " ".join(rng.choices(common, k=150))) for k in range(120)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated_pairs(documents(rows), bench).collect()}
+    tokens = {i: t.split() for i, t in rows}
+    brute = {
+        (i, item) for i, words in tokens.items() for item, text in items
+        if smith_waterman(text.split(), words) >= 0.5 * 31
+    }
+    assert found == brute and want <= found
+
+
+@pytest.mark.parametrize("meetings", [1 << 21, 50])
+def test_random_alignments_equal_brute_force(spark, documents, monkeypatch, meetings):
+    """Texts over few words, where seeds are in every document and items overlap."""
+    monkeypatch.setattr(decontaminate, "MEETINGS", meetings)
+    rng = random.Random(13)
+    items = [(k, " ".join(rng.choices("abcde", k=rng.randrange(1, 16)))) for k in range(25)]
+    rows = [(k, " ".join(rng.choices("abcdefg", k=rng.randrange(0, 40)))) for k in range(50)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.contaminated_pairs(documents(rows), bench)
+    got = {(r.doc_id, r.item_id): round(r.score * len(dict(items)[r.item_id].split())) for r in found.collect()}
+    want = {}
+    for i, text in rows:
+        for item, passage in items:
+            score = smith_waterman(passage.split(), text.split())
+            if len(passage.split()) >= 3 and score >= 0.5 * len(passage.split()):
+                want[i, item] = score
+    assert set(got) == set(want) and len(want) > 60
+    assert all(got[k] <= want[k] for k in got)
+
+
+def test_rare_seeds_leave_no_copy_without_one():
+    """Of every set of seeds that a copy may keep, enough are looked for."""
+    rng = random.Random(14)
+    for n in range(3, 40):
+        items = decontaminate.Items([0], [" ".join(f"w{k}" for k in range(n))])
+        frequency = np.array([rng.randrange(100) for _ in items.keys])
+        items.choose_rare(frequency)
+        left = len(items.at)
+        seeds = n - 1
+        # The worst copy keeps kept_seeds of them, the ones that are not looked for first.
+        assert decontaminate.kept_seeds(n) - (seeds - left) == items.required[0] >= 1
+        chosen = {int(frequency[np.searchsorted(items.first, k, "right") - 1]) for k in range(left)}
+        assert max(chosen) <= sorted(frequency)[left - 1]
+
+
 def test_seeds_of_an_item_in_every_document_stay(spark, documents):
     rng = random.Random(6)
     passage = prose(rng, 30)
