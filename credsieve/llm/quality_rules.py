@@ -5,13 +5,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credsieve.llm.common import SPACES, Words, batches, mix, read
+from credsieve.llm.common import SPACES, Words, batches, key_bitmaps, mix, read, with_likely
 
 #: Hash buckets of words and word pairs; the two models are vectors of this length.
 BUCKETS = 1 << 16
-#: Bits of the filter that spares rows without a trusted id the way to the trusted ones
-#: (16 MB; with 6 million trusted ids one row in 20 goes that way in vain).
-FILTER_BITS = 1 << 27
 #: Counts added to every bucket of either model, as a share of the mean bucket count.
 SMOOTHING = 3.0
 #: N-grams of ratio zero added to every text, so that a few words decide nothing.
@@ -38,30 +35,18 @@ def _texts(frame):
     return [t.encode() if t is not None else b"" for t in frame["text"]]
 
 
-def _bit(bitmap, position):
-    """Whether a bitmap made by ``bitmap_construct_agg`` holds a position."""
-    byte = F.conv(F.hex(F.substring(bitmap, (position / 8).cast("int") + 1, F.lit(1))), 16, 10)
-    return F.call_function("shiftright", byte.cast("int"), position.cast("int") % 8) % 2 == 1
-
-
 def trusted_rows(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """Text of the rows of ``docs`` whose doc_id is in ``trusted``, which may have as many
     rows as ``docs``.
 
-    A bitmap of ``FILTER_BITS`` bits, the hashes of the trusted ids, is broadcast; it is of
-    the same size for any number of ids. Rows whose bit is not set stay where they are;
-    the few others that are not trusted go in the join that decides.
+    A filter of the trusted ids, of fixed size, is broadcast. Rows that it does not hold
+    stay where they are; the few others that are not trusted go in the join that decides.
     """
     ids = trusted.select("doc_id").where("doc_id is not null").distinct()
-    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(FILTER_BITS))
-    number, position = (F.call_function(f"bitmap_{n}", place) for n in ("bucket_number", "bit_position"))
-    bitmaps = ids.groupBy(number.alias("_bucket")).agg(
-        F.call_function("bitmap_construct_agg", position).alias("_bitmap")
-    )
-    likely = docs.select("doc_id", "text").withColumns({"_bucket": number, "_position": position})
-    likely = likely.join(F.broadcast(bitmaps), "_bucket").where(_bit(F.col("_bitmap"), F.col("_position")))
+    hashed = F.xxhash64(F.col("doc_id").cast("string"))
+    rows = with_likely(docs.select("doc_id", "text"), hashed, key_bitmaps(ids.select(hashed)), "_likely")
     # Not a semi join, which the optimizer would put before the filter.
-    return likely.select("doc_id", "text").join(ids.hint("merge"), "doc_id").select("text")
+    return rows.where("_likely").join(ids.hint("merge"), "doc_id").select("text")
 
 
 def _counted(texts: DataFrame, name: str) -> DataFrame:

@@ -9,12 +9,13 @@ layout and case. Surrogates that equal a real entity or another surrogate are dr
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credsieve.llm.common import fresh, keyed, read, spread, written
+from credsieve.llm.common import fresh, key_bitmaps, keyed, read, spread, with_likely, written
 
 #: Titles that precede a person's name, by the gender they tell.
 MALE_TITLES = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин")
 FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа")
-_SPELT = {x for title in MALE_TITLES + FEMALE_TITLES for x in (title, title.upper())}
+NEUTRAL_TITLES = ("Dr", "Prof", "Доктор")
+_SPELT = {x for title in MALE_TITLES + FEMALE_TITLES + NEUTRAL_TITLES for x in (title, title.upper())}
 _TITLES = "|".join(sorted(_SPELT, key=lambda title: (-len(title), title)))
 
 #: (type, pattern), the first that fits a mention names its type. Every pattern is entered
@@ -26,17 +27,25 @@ PATTERNS = (
         rf"(?<!\p{{L}})(?:{_TITLES})\.? \p{{Lu}}\p{{L}}++(?:[ -]\p{{Lu}}\p{{L}}++){{0,2}}",
     ),
     ("mac", r"(?<![\p{L}\p{N}:])[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){5}(?![\p{L}\p{N}:])"),
+    (
+        "ipv6",
+        r"(?<![\p{L}\p{N}:.])(?=[A-Fa-f:]*+[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}"
+        r"|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}"
+        r"|::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})(?![\p{L}\p{N}:])",
+    ),
     (
         "ip",
         r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|\d{1,2})\.){3}"
         r"(?:25[0-5]|2[0-4]\d|1\d\d|\d{1,2})(?!\d|\.\d)",
     ),
+    ("key", r"(?<![\p{L}\p{N}])(?:AKIA|ASIA|AGPA|AIDA|AROA)[A-Z0-9]{16}(?![\p{L}\p{N}])"),
     ("token", r"(?<![\p{L}\p{N}])(?=[0-9]*+[A-Fa-f])[0-9A-Fa-f]{32,64}(?![\p{L}\p{N}])"),
     ("iban", r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"),
     ("ssn", r"(?<![\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{N}-])"),
     ("card", r"(?<!\d)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?!\d)"),
     ("phone", r"(?<![\p{L}\p{N}+])\+\d{1,3}[ .-]?(?:\(\d{1,5}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)"),
     ("phone", r"(?<![\p{L}\p{N}])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)"),
+    ("phone", r"(?<![\p{L}\p{N}.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\p{N}-]|\.\d)"),
 )
 ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
 #: Texts without any of these hold no entity; a cheap test before the patterns.
@@ -77,10 +86,14 @@ def canonical_of(kind, mention):
     """What all mentions of an entity share: digits, letters in lower case, the name."""
     name = F.regexp_replace(mention, rf"^(?:{_TITLES})\.? ", "")
     title = F.regexp_extract(mention, rf"^({_TITLES})", 1)
-    gender = F.when(F.upper(title).isin(*[t.upper() for t in FEMALE_TITLES]), "f").otherwise("m")
+    gender = (
+        F.when(F.upper(title).isin(*[t.upper() for t in FEMALE_TITLES]), "f")
+        .when(F.upper(title).isin(*[t.upper() for t in NEUTRAL_TITLES]), "n")
+        .otherwise("m")
+    )
     return (
         F.when(kind == "person", F.concat(gender, F.lit(" "), F.lower(name)))
-        .when(kind.isin("email", "ip", "mac"), F.lower(mention))
+        .when(kind.isin("email", "ip", "ipv6", "mac"), F.lower(mention))
         .otherwise(F.lower(F.regexp_replace(mention, r"[^\p{L}\p{N}]", "")))
     )
 
@@ -156,9 +169,11 @@ def _name_word(script, digest, at, ending):
 
 
 def _person(canonical, digest):
-    """As many words as the name, in its script; the first one's ending tells the gender."""
+    """As many words as the name, in its script; the first one's ending tells the gender,
+    and either may be drawn for a title that tells none."""
     name = F.substring(canonical, F.lit(3), F.length(canonical))
-    female = F.substring(canonical, 1, 1) == "f"
+    gender = F.substring(canonical, 1, 1)
+    female = (gender == "f") | ((gender == "n") & (_number(digest, F.lit(250)) % 2 == 1))
 
     def words(script):
         male_end, female_end = ENDINGS[script]
@@ -215,7 +230,8 @@ def surrogate_of(kind, canonical, attempt, key):
     return (
         F.when(kind == "email", F.concat(_by_class(local, digest), F.lit("@"), host, top))
         .when(kind == "ip", F.concat_ws(".", *[o.cast("string") for o in octets]))
-        .when(kind.isin("token", "mac"), _by_class(canonical, digest, letters="abcdef"))
+        .when(kind.isin("token", "mac", "ipv6"), _by_class(canonical, digest, letters="abcdef"))
+        .when(kind == "key", F.concat(F.substring(canonical, 1, 4), _by_class(F.expr("substring(canonical, 5)"), digest)))
         .when(kind == "card", _card(canonical, digest))
         .when(kind == "person", _person(canonical, digest))
         .when(
@@ -303,15 +319,76 @@ def render(kind, mention, surrogate):
     )
 
 
+def _bare_names(shown):
+    """Names of two words or more behind the titles in a map of mentions to what is shown,
+    each with the name shown for it, in their case and in capitals; the longest first."""
+    title = rf"^(?:{_TITLES})\.? "
+
+    def bare(text):
+        return F.regexp_replace(text, title, "")
+
+    named = F.filter(F.map_entries(shown), lambda e: e["key"].rlike(title) & F.contains(bare(e["key"]), F.lit(" ")))
+    plain = F.transform(
+        named, lambda e: F.struct(bare(e["key"]).alias("name"), bare(e["value"]).alias("shown"))
+    )
+    capitals = F.transform(
+        plain, lambda p: F.struct(F.upper(p["name"]).alias("name"), F.upper(p["shown"]).alias("shown"))
+    )
+    keyed_ = F.transform(
+        F.array_union(plain, capitals), lambda p: F.struct((-F.length(p["name"])).alias("n"), p.alias("p"))
+    )
+    return F.transform(F.array_sort(keyed_), lambda k: k["p"])
+
+
+def _without_names(part, names):
+    """(text, n): a text with the bare names replaced, and how many were. Names hold letters,
+    blanks and hyphens only, so they are patterns as they stand."""
+
+    def step(state, p):
+        pattern = F.concat(F.lit(r"(?<!\p{L}|\p{L}-)"), p["name"], F.lit(r"(?!\p{L}|-\p{L})"))
+        return F.struct(
+            F.regexp_replace(state["text"], pattern, p["shown"]).alias("text"),
+            (state["n"] + F.regexp_count(state["text"], pattern)).alias("n"),
+        )
+
+    return F.aggregate(names, F.struct(part.alias("text"), F.lit(0).alias("n")), step)
+
+
+def _woven(text, shown):
+    """(text, n): a text with its mentions replaced by ``shown``, a map, and the names of its
+    titled persons where they stand without title."""
+    here = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
+
+    def of_names(names):
+        between = F.transform(F.split(text, ANY, -1), lambda part: _without_names(part, names))
+        return let(between, of_parts)
+
+    def of_parts(parts):
+        new = F.array_append(F.transform(here, lambda m: F.element_at(shown, m)), F.lit(""))
+        woven = F.zip_with(parts, new, lambda a, b: F.concat(a["text"], b))
+        bare = F.aggregate(parts, F.lit(0), lambda n, part: n + part["n"])
+        return F.struct(F.array_join(woven, "").alias("text"), (F.size(here) + bare).cast("long").alias("n"))
+
+    return let(_bare_names(shown), of_names)
+
+
+def let(value, body):
+    """``body(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def replace_entities(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     """``docs`` with every entity in ``text`` replaced, plus n_replaced (mentions).
 
     The same entity has the same surrogate all over the corpus, different entities have
-    different ones, and the same key gives the same result again. Null texts stay null,
+    different ones, and the same key gives the same result again. A person is told by a
+    title; the same name of two words or more is then replaced all over the document, with
+    or without one. Null texts stay null,
     texts without entities stay as they are; repeated rows are all treated, extra columns
     pass through but for one named n_replaced; an empty table stays empty. An entity in
     very many documents is counted once before it meets them; a join spreads its
-    documents over tasks.
+    documents over tasks. Texts without an entity are not moved, but for the few that a
+    filter of fixed size takes for others.
     """
     with_key, keys = keyed(docs)
     found = written(
@@ -332,24 +409,25 @@ def replace_entities(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
         "pii-replacements",
     )
     pair = F.struct("mention", "shown")
-    mark = fresh(with_key, "_shown")
+    mark, likely, woven = (fresh(with_key, c) for c in ("_shown", "_likely", "_woven"))
     # A set, as rows with the same id and text list the same mentions.
     per_text = found.join(replaced.hint("merge"), "mention").groupBy(*keys)
     per_text = written(
         per_text.agg(F.map_from_entries(F.collect_set(pair)).alias(mark)), "pii-texts"
     )
-    joined = with_key.join(per_text.hint("merge"), keys, "left")
-    text = F.col("text")
-    here = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
-    between = F.split(text, ANY, -1)
-    new = F.transform(here, lambda m: F.element_at(F.col(mark), m))
-    woven = F.zip_with(between, F.array_append(new, F.lit("")), lambda a, b: F.concat(a, b))
-    changed = F.when(F.col(mark).isNull(), text).otherwise(F.array_join(woven, ""))
-    count = F.when(F.col(mark).isNull(), 0).otherwise(F.size(here))
-    return joined.select(
-        *[changed.alias(c) if c == "text" else F.col(c) for c in docs.columns if c != "n_replaced"],
-        count.cast("long").alias("n_replaced"),
+    holding = written(key_bitmaps(per_text.select(keys[0])), "pii-filter")
+    split = with_likely(with_key, F.col(keys[0]), holding, likely)
+    others = [c for c in docs.columns if c != "n_replaced"]
+    apart = split.where(~F.col(likely)).select(*others, F.lit(0).cast("long").alias("n_replaced"))
+    joined = split.where(likely).join(per_text.hint("merge"), keys, "left")
+    changed = F.when(F.col(mark).isNotNull(), _woven(F.col("text"), F.col(mark)))
+    joined = joined.withColumn(woven, changed)
+    text = F.when(F.col(mark).isNull(), F.col("text")).otherwise(F.col(f"{woven}.text"))
+    count = F.coalesce(F.col(f"{woven}.n"), F.lit(0).cast("long"))
+    together = joined.select(
+        *[text.alias(c) if c == "text" else F.col(c) for c in others], count.alias("n_replaced")
     )
+    return apart.unionByName(together)
 
 
 def op1_pii_surrogates(spark, sf_dir):
