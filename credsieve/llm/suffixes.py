@@ -1,28 +1,26 @@
-"""Removal of long repeated byte strings through merged Burrows-Wheeler transforms.
-
-A transform of all bytes would need one refinement round per byte of the longest prefix
-looked at. Texts are therefore parsed into phrases first, cut at content-defined
-anchors, and the transform is that of the phrase sequences:
-
-* Anchors are the minima of a rolling hash in every ``REACH`` consecutive positions, so
-  equal texts are cut equally, save for ``REACH`` bytes at either end.
-* Each shard (a task's texts) emits its transform: one row per suffix, in suffix order,
-  with its first phrase, the phrase before it (the transform's symbol) and what is
-  needed of that preceding position.
-* The merge refines the interleave of all shards. A block holds the suffixes, of any
-  shard, that agree so far; blocks are named by hashes, so shards agree on them without
-  ranking all suffixes again. Round one has a block per first phrase. A further round is
-  an LF step: from a suffix to the one that starts a phrase earlier, whose block is named
-  by the transform's symbol and the old block. A block of one row has found its longest
-  common prefix and leaves; the others are the repeated intervals.
-* Two last refinements, in bytes. Every window of ``LENGTH`` bytes belongs to the first
-  anchor at ``REACH - 1`` to ``2 * REACH - 2`` bytes from its start. ``c`` names the bytes
-  around an anchor that any such window holds, ``u`` those that its windows cover
-  together. Where ``u`` is repeated, all windows are; where several ``u`` meet in one
-  ``c``, single windows are compared.
-
-With ``REACH`` 72, a window holds its anchor and the two phrases after it in every copy
-(see ``_check_lengths``), so no repeated window is lost on the way.
+"""Removal of long repeated byte strings by hashed contexts of content-defined anchors.
+
+The method named for this operator, a merge of shard Burrows-Wheeler transforms by
+iterative interleave refinement, is not done here: it needs one refinement round per byte
+of the prefix looked at, ``LENGTH`` rounds that each move a row per byte. No suffix order is
+read and no common prefixes come out. What takes its place, with the same result:
+
+* Texts are cut into phrases at content-defined anchors: the minima of a rolling hash in
+  every ``REACH`` consecutive positions, so equal texts are cut equally, save for ``REACH``
+  bytes at either end.
+* Every window of ``LENGTH`` bytes belongs to the first anchor at ``REACH - 1`` to
+  ``2 * REACH - 2`` bytes from its start, and holds that anchor and the two phrases after it in
+  every copy (see ``_check_lengths``). So a task emits a row per anchor that owns windows,
+  with hashes of the phrase after it (``sym``), of the phrase at it (``bwt``) and of two byte
+  contexts.
+* Rows that share both phrase hashes with no other row own no repeated window and leave; two
+  groupings by hash do so.
+* Of the byte contexts, ``c`` names the bytes around an anchor that any of its windows holds,
+  ``u`` those that its windows cover together. Where ``u`` is repeated, all windows are;
+  where several ``u`` meet in one ``c``, single windows are compared.
+
+The hashes are polynomials modulo 2**64. Texts made to collide (Thue-Morse strings) weaken
+them; no others are known to.
 """
 
 import numpy as np
@@ -79,7 +77,7 @@ def anchors(data: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def transform_rows(texts, bases, keep, length):
-    """Shard transform of texts (bytes, pieces of whole texts).
+    """Rows of the anchors of texts (bytes, pieces of whole texts).
 
     ``bases``: offset of each piece in its text; ``keep``: the range of anchors, within
     the piece, that are this piece's own. One row for each suffix whose preceding anchor owns windows: text (index),
