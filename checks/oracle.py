@@ -57,6 +57,31 @@ CONTENTS_URL = f"concat({q(PRE_URL)}, {OWNER}, '/', {REPO}, '/contents/', {BLOB_
 LINKLESS = f"regexp_replace(regexp_replace(content, {q(URL)}, ' ', 'g'), {q(EMAIL)}, ' ', 'g')"
 
 
+HOST_CHARS = r"\pL\pM\pN_.\-"
+MARKED_URL = f"[{HOST_CHARS}]*\ufdd0(?:[/:?#][!$-_a-z\ufdd0]*)?"
+
+
+def domain_ctes(labels):
+    """``marks``: texts without links, a mark behind each host that ends like a page's host."""
+    return f"""{TEXTS}, urls AS (SELECT concat('u', CAST(page_id AS VARCHAR)) AS id,
+  regexp_replace(url, '^[a-z]+://', '') AS content,
+  lower(regexp_extract(url, '^[a-z]+://([^/:?#]*)', 1)) AS host FROM pages),
+suffixes AS (SELECT DISTINCT array_to_string(string_split(host, '.')[-{labels}:], '.') AS suffix
+  FROM urls WHERE host <> ''),
+bodies AS (SELECT id, {LINKLESS} AS base FROM
+  (SELECT * FROM texts UNION ALL SELECT id, content FROM urls)),
+tokens AS (SELECT id, generate_subscripts(parts, 1) AS k, unnest(parts) AS token FROM
+  (SELECT id, regexp_extract_all(base, {q(f"[{HOST_CHARS}]+|[^{HOST_CHARS}]+")}) AS parts FROM bodies)),
+split AS (SELECT id, k, token, string_split(rtrim(lower(token), '.-'), '.') AS labels FROM tokens),
+judged AS (SELECT id, k, token, suffix IS NOT NULL AND len(labels) > {labels}
+    AND labels[len(labels) - {labels}] <> '' AS known
+  FROM split LEFT JOIN suffixes ON array_to_string(labels[-{labels}:], '.') = suffix),
+joined AS (SELECT id, string_agg(token || CASE WHEN known THEN '\ufdd0' ELSE '' END, '' ORDER BY k) AS marked
+  FROM judged GROUP BY id),
+marks AS (SELECT id, CASE WHEN base IS NULL THEN NULL ELSE coalesce(marked, '') END AS marked
+  FROM bodies LEFT JOIN joined USING (id))"""
+
+
 def blank(expr, chars):
     return f"translate({expr}, {q(chars)}, {q(' ' * len(chars))})"
 

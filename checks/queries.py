@@ -546,6 +546,38 @@ def strip_bare_urls(spark, sf):
     return _digest(spark, sf, lambda c: clean.strip_bare_urls(clean.strip_links(c)))
 
 
+def _page_domains(spark, sf, labels):
+    """The last labels of all hosts of the pages, and their texts and URLs without scheme."""
+    pages = X.table(spark, sf, "pages").select("page_id", "url")
+    host = F.lower(F.regexp_extract("url", r"^[a-z]+://([^/:?#]*)", 1))
+    suffixes = pages.select(F.substring_index(host, ".", -labels).alias("domain")).where("domain <> ''")
+    bare = pages.select(
+        F.concat(F.lit("u"), F.col("page_id").cast("string")).alias("id"),
+        F.regexp_replace("url", "^[a-z]+://", "").alias("content"),
+    )
+    return lists.domain_table(suffixes), texts(spark, sf).unionByName(bare)
+
+
+@query(
+    f"""WITH {O.domain_ctes(1)}
+SELECT id, len(regexp_extract_all(marked, {O.q(O.MARKED_URL)})) AS urls FROM marks"""
+)
+def gate_url_count_domains(spark, sf):
+    table, bodies = _page_domains(spark, sf, 1)
+    count = clean.bare_url_count(clean.strip_links(F.col("content")), table)
+    return bodies.select("id", count.cast("bigint").alias("urls"))
+
+
+@query(
+    f"""WITH {O.domain_ctes(2)}
+SELECT id, md5(regexp_replace(marked, {O.q(O.MARKED_URL)}, ' ', 'g')) AS digest FROM marks"""
+)
+def strip_bare_urls_domains(spark, sf):
+    table, bodies = _page_domains(spark, sf, 2)
+    blanked = clean.strip_bare_urls(clean.strip_links(F.col("content")), table)
+    return bodies.select("id", F.md5(blanked).alias("digest"))
+
+
 @query(_digest_sql(O.key_text("base")))
 def clean_for_keys(spark, sf):
     return _digest(spark, sf, clean.clean_for_keys)

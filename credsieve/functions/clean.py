@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from credsieve import resources as R
+from credsieve.functions import domains
 from credsieve.functions.common import let
 
 MAX_URLS = 30
@@ -71,7 +72,12 @@ def holds_domain(c: Column, tlds=R.TLDS) -> Column:
 
 
 def strip_bare_urls(c: Column, tlds=R.TLDS) -> Column:
-    """Blank scheme-less URLs; expects a text without URLs and e-mails."""
+    """Blank scheme-less URLs; expects a text without URLs and e-mails.
+
+    ``tlds`` is a short list of domains, or a ``DomainTable``.
+    """
+    if isinstance(tlds, domains.DomainTable):
+        return domains.strip_bare_urls(c, tlds)
     pattern = bare_url_pattern(tlds)
     return _change_lines(
         c,
@@ -117,6 +123,9 @@ def scheme_url_count(content: Column) -> Column:
 
 
 def bare_url_count(links_stripped: Column, tlds=R.TLDS) -> Column:
+    if isinstance(tlds, domains.DomainTable):
+        return domains.bare_url_count(links_stripped, tlds)
+
     def count(text):
         lines = F.filter(F.split(text, "\n", -1), lambda line: holds_domain(line, tlds))
         return F.regexp_count(F.array_join(lines, "\n"), F.lit(bare_url_pattern(tlds)))

@@ -17,6 +17,7 @@ from credsieve import schemas
 from credsieve.functions import clean, extract, spans, urls
 from credsieve.functions.common import built_once, compute_once, let
 from credsieve.functions.context import MAX_LINE, file_hits, line_short
+from credsieve.functions.domains import DomainTable
 from credsieve.functions.mask import code_column
 from credsieve.functions.score import (
     MIN_ENTROPY,
@@ -55,6 +56,7 @@ class ScanConfig:
     does not repeat a detection.
     ``preset``: "compat" looks for ``patterns`` in the cleaned text, "fixed" for the longest
     keys of ``bank`` in the raw text.
+    ``tlds``: domains that make a dotted word a URL, as a short list or a ``DomainTable``.
     ``max_urls`` to ``min_entropy`` are the gates: a file with more URLs or candidates,
     or fewer lines, is not reported (``run_scan`` counts such files), nor is a candidate
     in longer lines only or of lower entropy.
@@ -69,7 +71,7 @@ class ScanConfig:
     patterns: tuple = R.KEY_BANK
     preset: str = "compat"
     bank: tuple = R.FIXED_BANK
-    tlds: tuple = R.TLDS
+    tlds: tuple | DomainTable = R.TLDS
     case_sensitive: bool = False
     max_urls: int = clean.MAX_URLS
     min_lines: int = clean.MIN_LINES

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from credsieve import resources as R
 from credsieve import schemas
+from credsieve.functions.domains import DomainTable
 
 MAX_LIST = 100_000
 
@@ -79,6 +80,22 @@ def read_target_files(spark, path) -> DataFrame:
     return read_list(spark, path, "target_file_paths")
 
 
+def read_domains(spark, path) -> DataFrame:
+    """Domain suffixes from a file of the usual form, one in a line.
+
+    Comments (``#`` or ``//``) and exceptions (``!``) are left out; a wildcard (``*.``)
+    counts as the suffix below it, since a label must stand before a suffix anyway. A
+    missing file is an error.
+    """
+    name = F.regexp_extract("value", r"^\s*(?:\*\.)?([^\s#!/*]+)", 1)
+    return spark.read.text(path).select(F.lower(name).alias("domain")).where("domain <> ''")
+
+
+def domain_table(domains: DataFrame) -> DomainTable:
+    """The table of suffixes that scans take as ``tlds``; lists hold some ten thousand."""
+    return DomainTable.of(list_values(domains.distinct()))
+
+
 def read_dictionary(spark, path) -> DataFrame:
     words = read_list(spark, path, "dic_word")
     if words.isEmpty():
