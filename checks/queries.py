@@ -281,6 +281,15 @@ def read_local_code(spark, sf):
     )
 
 
+@query(f"WITH {_TREE_SQL}, {_TREE_LISTED} SELECT path, length(content) AS length, content FROM listed")
+def read_store_code(spark, sf):
+    """Listed and read through the store that a URI names, without a mount."""
+    root = "file://" + _tree(spark, sf)
+    found = local_files.list_files(spark, [root], _TREE_EXTENSIONS)
+    bodies = local_files.read_local_code(found).join(found, "path")
+    return bodies.select(_below(root, F.col("path")).alias("path"), "length", "content")
+
+
 # --- queries and predicates --------------------------------------------------
 
 
@@ -1050,6 +1059,13 @@ def scan_files(spark, sf):
     return _file_rows(root, file_scan.scan_files(spark, [root], _TREE_EXTENSIONS, config))
 
 
+@query(_file_scan_sql(False))
+def scan_files_store(spark, sf):
+    root = "file://" + _tree(spark, sf)
+    config = replace(CONFIG, extensions=())
+    return _file_rows(root, file_scan.scan_files(spark, [root], _TREE_EXTENSIONS, config))
+
+
 @query(_file_scan_sql(True))
 def scan_files_with_dictionary(spark, sf):
     root = _tree(spark, sf)

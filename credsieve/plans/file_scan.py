@@ -1,4 +1,4 @@
-"""Scan of files on a mounted file system, for credentials and keys."""
+"""Scan of files on a mounted file system or in a store, for credentials and keys."""
 
 from dataclasses import replace
 
@@ -15,9 +15,9 @@ from credsieve.scratch import run_folder, written
 from credsieve.sources.local_files import listed_files, read_bodies, walk
 
 
-def local_code_files(listing: DataFrame) -> DataFrame:
+def local_code_files(listing: DataFrame, open_store=None) -> DataFrame:
     """Listed files in the shape the scans read; the path stands for the URL."""
-    return read_bodies(listing).select(
+    return read_bodies(listing, open_store).select(
         F.xxhash64("path").alias("file_id"),
         F.col("path").alias("html_url"),
         F.timestamp_millis("modified_ms").alias("indexed_at"),
@@ -32,25 +32,26 @@ def _kinds(config):
 
 
 def run_file_scan(
-    spark: SparkSession, paths, extensions=EXTENSIONS, config=None, file_ledger=None, **inputs
-) -> dict:
+    spark: SparkSession, paths, extensions=EXTENSIONS, config=None, file_ledger=None,
+    open_store=None, **inputs
+) -> dict:
     """``detections``, file ``ledger`` rows and ``unreadable`` paths of a run over folders.
 
     Files in the ledger are skipped unless changed. Each file is read once, in the task
     that searches it for credentials and for keys; its body is not shuffled or copied. An
     unreadable file or folder, or a root that is not there, is listed with the reason and
-    enters no ledger. Tables that hold plain secrets are removed at the end of the run.
+    enters no ledger. ``paths`` may be URIs of stores, see ``walk``. Tables that hold plain secrets are removed at the end of the run.
     """
     kinds = _kinds(config)
     with run_folder(spark):
-        entries = written(walk(spark, paths), "entries")
+        entries = written(walk(spark, paths, open_store), "entries")
         listing = listed_files(entries, extensions)
         if file_ledger is not None:
             listing = drop_seen_files(listing, file_ledger)
         listing = written(listing, "listing")
         ext = urls.url_extension(F.col("path"))
         to_read = listing.where(clean.not_markdown(ext) & has_extension(ext, kinds[0].extensions))
-        staged = written(stage_kinds(local_code_files(to_read), kinds, ["error"]), "staged")
+        staged = written(stage_kinds(local_code_files(to_read, open_store), kinds, ["error"]), "staged")
         found = None
         for k, kind in enumerate(kinds):
             own = staged.withColumns(

@@ -1,4 +1,4 @@
-"""Files of a mounted (shared) file system.
+"""Files of a mounted (shared) file system, or of a store that a URI names.
 
 The built-in file sources hide names that start with ``_`` or ``.``, such as
 ``__init__.py``. So the folders are walked level by level, each level one
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from credsieve.scratch import written
+from credsieve.sources import stores
 
 _ENTRY = (
     "path string, is_dir boolean, length bigint, modified_ms bigint, is_root boolean, error string"
@@ -46,16 +47,28 @@ def _entries(folder):
         yield folder, False, None, None, False, str(error)
 
 
-def _list_folders(batches):
-    for batch in batches:
-        entries = chain.from_iterable(map(_entries, batch["path"]))
-        while rows := list(islice(entries, _BATCH_ENTRIES)):
-            yield _frame(rows)
+def _lister(open_store):
+    def entries(folder):
+        return stores.folder_entries(folder, open_store) if stores.is_uri(folder) else _entries(folder)
 
+    def run(batches):
+        for batch in batches:
+            found = chain.from_iterable(map(entries, batch["path"]))
+            while rows := list(islice(found, _BATCH_ENTRIES)):
+                yield _frame(rows)
 
-def _stat_roots(batches):
-    for batch in batches:
-        yield _frame([_entry(p, True) for p in batch["path"]])
+    return run
+
+
+def _root_reader(open_store):
+    def entry(path):
+        return stores.root_entry(path, open_store) if stores.is_uri(path) else _entry(path, True)
+
+    def run(batches):
+        for batch in batches:
+            yield _frame([entry(p) for p in batch["path"]])
+
+    return run
 
 
 def _frame(rows):
@@ -69,22 +82,26 @@ def file_suffix(path):
     return F.regexp_extract(name, r"^.+\.([^.]+)$", 1)
 
 
-def walk(spark: SparkSession, paths) -> DataFrame:
-    """All entries below the roots; ``error`` says why one could not be read."""
+def walk(spark: SparkSession, paths, open_store=None) -> DataFrame:
+    """All entries below the roots; ``error`` says why one could not be read.
+
+    A root is a path on a mount or the URI of a store (``sources/stores.py``), whose
+    entries are URIs too; ``open_store`` opens stores that pyarrow does not know.
+    """
     roots = spark.createDataFrame(pa.table({"path": pa.array(list(paths), pa.string())}))
-    level = written(roots.mapInPandas(_stat_roots, _ENTRY), "listing")
+    level = written(roots.mapInPandas(_root_reader(open_store), _ENTRY), "listing")
     found = level
     while not (folders := level.where("is_dir").select("path")).isEmpty():
         # one folder may be huge, many are small: spread them by path
         spread = folders.repartition("path")
-        level = written(spread.mapInPandas(_list_folders, _ENTRY), "listing")
+        level = written(spread.mapInPandas(_lister(open_store), _ENTRY), "listing")
         found = found.unionByName(level)
     return found
 
 
-def list_files(spark: SparkSession, paths, extensions) -> DataFrame:
+def list_files(spark: SparkSession, paths, extensions, open_store=None) -> DataFrame:
     """Files below the roots with one of the suffixes; a root that is a file always."""
-    return listed_files(walk(spark, paths), extensions)
+    return listed_files(walk(spark, paths, open_store), extensions)
 
 
 def listed_files(entries: DataFrame, extensions) -> DataFrame:
@@ -103,28 +120,32 @@ def _read_text(path):
         return None, str(error)
 
 
-def _read_bodies(batches):
-    for batch in batches:
-        rows, size = [], 0
-        for path, modified in zip(batch["path"], batch["modified_ms"]):
-            text, error = _read_text(path)
-            rows.append((path, modified, text, error))
-            size += len(text or "")
-            if size > _BATCH_BYTES:
-                yield pd.DataFrame(rows, columns=["path", "modified_ms", "content", "error"])
-                rows, size = [], 0
-        yield pd.DataFrame(rows, columns=["path", "modified_ms", "content", "error"])
+def _body_reader(open_store):
+    def run(batches):
+        reader = stores.Reader(open_store)
+        for batch in batches:
+            rows, size = [], 0
+            for path, modified in zip(batch["path"], batch["modified_ms"]):
+                text, error = reader.text(path) if stores.is_uri(path) else _read_text(path)
+                rows.append((path, modified, text, error))
+                size += len(text or "")
+                if size > _BATCH_BYTES:
+                    yield pd.DataFrame(rows, columns=["path", "modified_ms", "content", "error"])
+                    rows, size = [], 0
+            yield pd.DataFrame(rows, columns=["path", "modified_ms", "content", "error"])
+
+    return run
 
 
-def read_bodies(df: DataFrame) -> DataFrame:
+def read_bodies(df: DataFrame, open_store=None) -> DataFrame:
     """``path`` and ``modified_ms`` of each listed file with its whole text, or the
     ``error`` that kept it from being read."""
     spread = df.select("path", "modified_ms").repartition("path")
     kinds = "path string, modified_ms bigint, content string, error string"
-    return spread.mapInPandas(_read_bodies, kinds)
+    return spread.mapInPandas(_body_reader(open_store), kinds)
 
 
-def read_local_code(df: DataFrame) -> DataFrame:
+def read_local_code(df: DataFrame, open_store=None) -> DataFrame:
     """Whole text of each listed file; a file that cannot be read is empty."""
-    bodies = read_bodies(df)
+    bodies = read_bodies(df, open_store)
     return bodies.select("path", F.coalesce("content", F.lit("")).alias("content"))
