@@ -43,8 +43,8 @@ STAGES = [
     ("mixing_to_targets", mixing_to_targets),
 ]
 
-#: No stage but the filters' bookkeeping could be put in SQL. tests/llm compares the
-#: operators of the stages with brute-force versions and the stages' rows with each other.
+#: No stage but the filters' bookkeeping could be put in SQL. tests/llm/test_pipeline.py
+#: compares every stage with a plain version on what its predecessor kept.
 ORACLE_SQL = None
 
 
