@@ -1,14 +1,12 @@
 """Similarity of a candidate to ordinary words, by character pieces."""
 
-import os
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from credsieve.functions.common import let
-from credsieve.functions.score import char_ngrams
-from credsieve.operators.partitioning import BROADCAST_ROWS, SALTS, fits_broadcast, left_join_hot
-from credsieve.scratch import written
+from credsieve.functions.score import NGRAM_SIZES, char_ngrams
+from credsieve.operators.partitioning import BROADCAST_ROWS, fits_broadcast, left_join_hot, semi_join
+from credsieve.scratch import salted_hash, written
 
 MIN_DOC_SHARE = 1e-5
 
@@ -50,10 +48,6 @@ def build_ngram_table(words: DataFrame) -> DataFrame:
     )
 
 
-#: Makes the hashes under which scores are stored useless to others.
-_SALT = os.urandom(16).hex()
-
-
 def dictionary_match(df: DataFrame, ngrams: DataFrame, secret="secret", max_rows=BROADCAST_ROWS):
     """Add ``match``: sum over the pieces of the secret of the piece's log total.
 
@@ -70,26 +64,20 @@ def dictionary_match(df: DataFrame, ngrams: DataFrame, secret="secret", max_rows
         scores = met.groupBy("_secret").agg(F.sum("log_total").alias("match"))
     else:
         scores = _scores_shuffled(pieces, table)
-    scores = written(scores.select(_hashed("_secret").alias("_hash"), "match"), "scores")
-    joined = left_join_hot(df.withColumn("_hash", _hashed(secret)), scores, ["_hash"], max_rows)
+    scores = written(scores.select(salted_hash("_secret").alias("_hash"), "match"), "scores")
+    joined = left_join_hot(df.withColumn("_hash", salted_hash(secret)), scores, ["_hash"], max_rows)
     return joined.select(*df.columns, F.coalesce("match", F.lit(0.0)).alias("match"))
 
 
-def _hashed(column):
-    return F.sha2(F.concat(F.lit(_SALT), F.col(column)), 256)
-
-
 def _scores_shuffled(pieces, table):
-    """For a table too large to broadcast: frequent pieces are spread over ``SALTS`` keys,
-    the table is repeated per salt."""
-    every_salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    counted = (
-        pieces.groupBy("_secret", "ngram")
-        .agg(F.count("*").alias("tf"))
-        .withColumn("_salt", F.pmod(F.xxhash64("_secret"), F.lit(SALTS)).cast("int"))
-    )
+    """For a table too large to broadcast: the pieces go to the table. The first characters
+    of the table's pieces are far fewer than these; while they can be broadcast, a piece
+    that starts like none of them is left out before the shuffle."""
+    head = F.substring("ngram", 1, min(NGRAM_SIZES))
+    heads = written(table.select(head.alias("_head")).distinct(), "heads")
+    likely = semi_join(pieces.withColumn("_head", head), heads, "_head").drop("_head")
     return (
-        counted.join(table.withColumn("_salt", every_salt), ["ngram", "_salt"])
+        likely.join(table.hint("merge"), "ngram")
         .groupBy("_secret")
-        .agg(F.sum(F.col("tf") * F.col("log_total")).alias("match"))
+        .agg(F.sum("log_total").alias("match"))
     )

@@ -1,9 +1,8 @@
-"""Spreading work over cores and hot keys over tasks."""
+"""Spreading work over cores, and joins that fit the size of their sides."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 32
 #: Rows, and bytes as ``row_bytes`` counts them, up to which a join side is broadcast.
 BROADCAST_ROWS = 2_000_000
 BROADCAST_BYTES = 128 << 20
@@ -11,17 +10,20 @@ BROADCAST_BYTES = 128 << 20
 _ROW_COST = 32
 
 
-def fill_cores(table: DataFrame, key: str) -> DataFrame:
+def fill_cores(table: DataFrame, key: str, task_rows: int | None = None) -> DataFrame:
     """Spread a plain table scan with fewer partitions than cores over all cores.
 
     A table of few row groups would leave most cores idle in the body pass. A
     large table has more partitions than cores and is left as it is, so its
-    bodies are never shuffled.
+    bodies are never shuffled. ``task_rows``: about as many rows a task at most, for
+    narrow rows that stand for much more work than their bytes tell; they are counted.
     """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    if table.rdd.getNumPartitions() >= cores:
+    wanted = table.sparkSession.sparkContext.defaultParallelism
+    if task_rows is not None:
+        wanted = max(wanted, -(-table.count() // task_rows))
+    if table.rdd.getNumPartitions() >= wanted:
         return table
-    return table.repartition(cores, key)
+    return table.repartition(wanted, key)
 
 
 def row_bytes(table: DataFrame):
@@ -47,15 +49,14 @@ def semi_join(big: DataFrame, keys: DataFrame, on, max_rows=BROADCAST_ROWS) -> D
     return big.join(keys, on, "left_semi")
 
 
-def left_join_hot(left: DataFrame, right: DataFrame, keys, max_rows=BROADCAST_ROWS, salts=SALTS):
+def left_join_hot(left: DataFrame, right: DataFrame, keys, max_rows=BROADCAST_ROWS):
     """Left join to a stored table with one row per key, where ``left`` may have hot keys.
 
     The right side is measured: a small one is broadcast, so ``left`` is not
-    shuffled at all. Beyond that each key of ``left`` is spread over ``salts``
-    tasks and the right side is repeated per salt.
+    shuffled at all. Beyond that both sides are shuffled once, and Spark splits the
+    partitions of ``left`` that a hot key makes large (adaptive skew join), so no row
+    of the right side is repeated for keys that are not hot.
     """
     if fits_broadcast(right, max_rows):
         return left.join(F.broadcast(right), keys, "left")
-    salt = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
-    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.withColumn("_salt", salt).join(repeated, [*keys, "_salt"], "left").drop("_salt")
+    return left.join(right.hint("merge"), keys, "left")
