@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from credsieve.operators.partitioning import left_join_hot
+from credsieve.scratch import salted_hash, written
 
 # Columns that identify a detection and are no features.
 ID_COLUMNS = {
@@ -88,11 +89,14 @@ def apply_labels(df: DataFrame, review: DataFrame, max_rows=1_000_000) -> DataFr
     """Reviewed labels override the default 1; of several reviews the lowest counts.
 
     The same line may stand in very many files, so one reviewed line may label
-    a large share of the rows.
+    a large share of the rows. The reviews are written, as they are measured before
+    they are joined, under a hash that names no secret.
     """
-    reviewed = review.groupBy("Secret", "Code").agg(F.min("Label").alias("_reviewed"))
+    line = salted_hash("Secret", "Code").alias("_line")
+    lowest = review.groupBy("Secret", "Code").agg(F.min("Label").alias("_reviewed"))
+    reviewed = written(lowest.select(line, "_reviewed").where("_line is not null"), "reviewed")
     return (
-        left_join_hot(df, reviewed, ["Secret", "Code"], max_rows)
+        left_join_hot(df.select("*", line), reviewed, ["_line"], max_rows)
         .withColumn("Label", F.coalesce("_reviewed", F.lit(1)))
         .select(*df.columns)
     )
