@@ -68,6 +68,9 @@ FROM (SELECT o_orderkey AS file_id, o_orderdate AS indexed_at,
 # Two query terms for the public scan: nothing else of the corpus has both.
 CORE_KEYWORDS = ("password", "token", "api_key", "db_password", "secret", "auth_token")
 
+#: Files a task scans: a row of ``orders`` has few bytes, the file made of it many.
+FILES_A_TASK = 100_000
+
 SITE_HOST = "https://git.example.com"
 RAW_HOST = "https://raw.example.com"
 
@@ -86,7 +89,7 @@ def table(spark, sf_dir, name):
 def code_files(spark, sf_dir):
     """Code corpus derived from ``orders``."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    return code_files_of(fill_cores(orders, "o_orderkey"))
+    return code_files_of(fill_cores(orders, "o_orderkey", FILES_A_TASK))
 
 
 def code_files_of(orders):
@@ -104,7 +107,8 @@ def key_files(spark, sf_dir):
     """Files with keys of all formats, derived from ``orders``."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     return spark.sql(
-        KEY_FILES.replace("FROM orders)", "FROM {orders})"), orders=fill_cores(orders, "o_orderkey")
+        KEY_FILES.replace("FROM orders)", "FROM {orders})"),
+        orders=fill_cores(orders, "o_orderkey", FILES_A_TASK),
     )
 
 
