@@ -24,6 +24,8 @@ _NAMES = [part.split()[0] for part in _ENTRY.split(", ")]
 #: Entries of a listing that leave a task together, however large a folder is.
 _BATCH_ENTRIES = 50_000
 _BATCH_BYTES = 16 << 20
+#: Files that one task reads, about. Spark would join tasks by the bytes of the paths.
+FILES_A_TASK = 2_000
 
 
 def _entry(path, is_root):
@@ -91,9 +93,10 @@ def walk(spark: SparkSession, paths, open_store=None) -> DataFrame:
     roots = spark.createDataFrame(pa.table({"path": pa.array(list(paths), pa.string())}))
     level = written(roots.mapInPandas(_root_reader(open_store), _ENTRY), "listing")
     found = level
-    while not (folders := level.where("is_dir").select("path")).isEmpty():
+    cores = spark.sparkContext.defaultParallelism
+    while count := (folders := level.where("is_dir").select("path")).count():
         # one folder may be huge, many are small: spread them by path
-        spread = folders.repartition("path")
+        spread = folders.repartition(min(count, 16 * cores), "path")
         level = written(spread.mapInPandas(_lister(open_store), _ENTRY), "listing")
         found = found.unionByName(level)
     return found
@@ -140,7 +143,9 @@ def _body_reader(open_store):
 def read_bodies(df: DataFrame, open_store=None) -> DataFrame:
     """``path`` and ``modified_ms`` of each listed file with its whole text, or the
     ``error`` that kept it from being read."""
-    spread = df.select("path", "modified_ms").repartition("path")
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    tasks = max(cores, -(-df.count() // FILES_A_TASK))
+    spread = df.select("path", "modified_ms").repartition(tasks, "path")
     kinds = "path string, modified_ms bigint, content string, error string"
     return spread.mapInPandas(_body_reader(open_store), kinds)
 
