@@ -3,6 +3,11 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from credsieve.scratch import written
+
+SALTS = 32
+#: Rows of one key from which on they are spread over tasks.
+HOT_ROWS = 100_000
 #: Rows, and bytes as ``row_bytes`` counts them, up to which a join side is broadcast.
 BROADCAST_ROWS = 2_000_000
 BROADCAST_BYTES = 128 << 20
@@ -49,14 +54,22 @@ def semi_join(big: DataFrame, keys: DataFrame, on, max_rows=BROADCAST_ROWS) -> D
     return big.join(keys, on, "left_semi")
 
 
-def left_join_hot(left: DataFrame, right: DataFrame, keys, max_rows=BROADCAST_ROWS):
+def left_join_hot(left: DataFrame, right: DataFrame, keys, max_rows=BROADCAST_ROWS, salts=SALTS):
     """Left join to a stored table with one row per key, where ``left`` may have hot keys.
 
     The right side is measured: a small one is broadcast, so ``left`` is not
-    shuffled at all. Beyond that both sides are shuffled once, and Spark splits the
-    partitions of ``left`` that a hot key makes large (adaptive skew join), so no row
-    of the right side is repeated for keys that are not hot.
+    shuffled at all. Beyond that the keys of ``left`` are counted; those of more than
+    ``HOT_ROWS`` rows are spread over ``salts`` tasks, and only their rows of the right
+    side are repeated per salt.
     """
     if fits_broadcast(right, max_rows):
         return left.join(F.broadcast(right), keys, "left")
-    return left.join(right.hint("merge"), keys, "left")
+    counted = left.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > HOT_ROWS)
+    hot = F.broadcast(written(counted.select(*keys, F.lit(True).alias("_hot")), "hot-keys"))
+    unmatched = F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
+    spread = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
+    salt = F.when(unmatched | F.col("_hot"), spread).otherwise(0)
+    last = F.when(F.col("_hot"), salts - 1).otherwise(0)
+    salted = left.join(hot, keys, "left").withColumn("_salt", salt).drop("_hot")
+    repeated = right.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), last)))
+    return salted.join(repeated.drop("_hot"), [*keys, "_salt"], "left").drop("_salt")

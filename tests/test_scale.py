@@ -6,7 +6,7 @@ import os
 from pyspark.sql import functions as F
 
 from checks import fixtures, queries
-from credsieve.operators import dictionary, features
+from credsieve.operators import dictionary, features, partitioning
 from credsieve.operators.partitioning import fill_cores, left_join_hot
 from credsieve.scratch import written
 from credsieve.sources import local_files
@@ -23,11 +23,12 @@ def orders_at(spark, folder, count):
     orders.write.parquet(f"{folder}/orders.parquet")
 
 
-def test_a_large_right_side_is_not_repeated(spark):
+def test_only_hot_keys_of_a_large_right_side_are_repeated(spark, monkeypatch):
+    monkeypatch.setattr(partitioning, "HOT_ROWS", 20)
     left = spark.createDataFrame([("a", i) for i in range(50)] + [("b", 1), (None, 2), ("c", 3)], "k string, n int")
     right = written(spark.createDataFrame([("a", 1.0), ("b", 2.0), (None, 9.0)], "k string, v double"), "right")
     joined = left_join_hot(left, right, ["k"], 0)
-    assert "explode" not in plan_of(joined)
+    assert "_hot" in plan_of(joined)
     small = left_join_hot(left, right, ["k"])
     assert sorted(map(str, joined.collect())) == sorted(map(str, small.collect()))
     assert joined.where("k is null and v is null").count() == 1
