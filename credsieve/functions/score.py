@@ -39,9 +39,14 @@ def dictionary_score(match: Column) -> Column:
     return F.lit(math.log2(100)) / (F.log2(match + F.lit(1.0)) + F.lit(1.0))
 
 
+def ngram_text(s: Column) -> Column:
+    """The text that ``char_ngrams`` cuts into pieces."""
+    return F.regexp_replace(F.lower(s), r"(?U)\s\s+", " ")
+
+
 def char_ngrams(s: Column) -> Column:
     """All 3, 4 and 5 character pieces of the lower-cased text, with repeats."""
-    text = F.regexp_replace(F.lower(s), r"(?U)\s\s+", " ")
+    text = ngram_text(s)
 
     def pieces(t, n):
         return F.when(

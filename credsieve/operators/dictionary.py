@@ -1,14 +1,17 @@
 """Similarity of a candidate to ordinary words, by character pieces."""
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credsieve.functions.common import let
-from credsieve.functions.score import NGRAM_SIZES, char_ngrams
+from credsieve.functions.common import compute_once, let
+from credsieve.functions.score import NGRAM_SIZES, char_ngrams, ngram_text
 from credsieve.operators.partitioning import BROADCAST_ROWS, fits_broadcast, left_join_hot, semi_join
 from credsieve.scratch import salted_hash, written
 
 MIN_DOC_SHARE = 1e-5
+#: Pieces of a table up to which every task may hold it: it passes through the driver.
+IN_PLACE_PIECES = 500_000
 
 
 def dictionary_words(documents: DataFrame, text="text") -> DataFrame:
@@ -69,6 +72,37 @@ def dictionary_match(df: DataFrame, ngrams: DataFrame, secret="secret", max_rows
     return joined.select(*df.columns, F.coalesce("match", F.lit(0.0)).alias("match"))
 
 
+def fits_in_place(ngrams: DataFrame) -> bool:
+    """Whether a stored table is small enough for ``match_in_place``."""
+    return ngrams.count() <= IN_PLACE_PIECES
+
+
+def match_in_place(df: DataFrame, ngrams: DataFrame, secret="secret") -> DataFrame:
+    """The same ``match`` for a table that fits each task. The rows of ``df`` stay where
+    they are and are read once: nothing is grouped, stored or joined back, so the work
+    grows with the rows alone. Each secret of a batch is scored once."""
+    totals: dict = {}
+    for piece, log_total in ngrams.select("ngram", "log_total").collect():
+        if piece is not None and log_total is not None:
+            totals[piece] = totals.get(piece, 0.0) + log_total
+    held, sizes = df.sparkSession.sparkContext.broadcast(totals), NGRAM_SIZES
+
+    @F.pandas_udf("double")
+    def match(texts: pd.Series) -> pd.Series:
+        known = held.value
+
+        def score(text):
+            pieces = (text[i : i + n] for n in sizes for i in range(len(text) - n + 1))
+            return float(sum(known.get(piece, 0.0) for piece in pieces))
+
+        scores = {text: 0.0 if text is None else score(text) for text in texts.unique()}
+        return texts.map(scores)
+
+    # Behind a generator no later filter asks for the score a second time.
+    scored = df.withColumn("_match", match(ngram_text(F.col(secret))))
+    return compute_once(scored, df.columns, match=F.coalesce("_match", F.lit(0.0)))
+
+
 def _scores_shuffled(pieces, table):
     """For a table too large to broadcast: the pieces go to the table. The first characters
     of the table's pieces are far fewer than these; while they can be broadcast, a piece

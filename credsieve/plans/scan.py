@@ -26,7 +26,7 @@ from credsieve.functions.score import (
     shannon_entropy,
 )
 from credsieve.operators.commits import attach_commits, stamp
-from credsieve.operators.dictionary import dictionary_match
+from credsieve.operators.dictionary import dictionary_match, fits_in_place, match_in_place
 from credsieve.operators.ledger import drop_seen, fingerprint, latest_per_url
 from credsieve.operators.partitioning import semi_join
 from credsieve.operators.queries import (
@@ -40,6 +40,10 @@ from credsieve.operators.weights import key_weight
 from credsieve.scratch import written
 from credsieve.sources.lists import read_confidence
 
+#: Files with candidates from which on each is scored where it lies, if the dictionary
+#: fits the tasks; the distinct secrets of fewer are scored once and joined back.
+IN_PLACE_FILES = 100_000
+
 CREDS, KEYS = "creds", "keys"
 PUBLIC, ENTERPRISE, FILES = "public", "enterprise", "files"
 COMPAT, FIXED = "compat", "fixed"
@@ -329,23 +333,26 @@ def _repeat_searches(rows, config):
     return rows.withColumn("_n", F.explode(F.sequence(F.lit(1), times))).drop("_n")
 
 
+#: What detections show of a staged file, besides its hits.
+_FILE_COLUMNS = ["file_id", "html_url", "indexed_at", "ext", "found_primary"]
+
+
 def candidate_hits(
-    staged: DataFrame, config: ScanConfig, ledger=None, ngrams=None
+    staged: DataFrame, config: ScanConfig, ledger=None, ngrams=None, in_place=False
 ) -> DataFrame:
     """One row per file, keyword and secret with its first hit line, unseen files only.
 
     Against a ledger, seen rows go first and the dictionary is asked for the
     rest; without one, each secret of a file is scored once for all keywords.
+    ``in_place``: ``ngrams`` fits the tasks, see ``match_in_place``.
     """
-    rows = staged.select(
-        "file_id", "html_url", "indexed_at", "ext", "found_primary",
-        F.explode("hits").alias("h"),
-    ).select("*", "h.secret", "h.entropy", "h.matches").drop("h")
+    rows = staged.select(*_FILE_COLUMNS, F.explode("hits").alias("h"))
+    rows = rows.select("*", "h.secret", "h.entropy", "h.matches").drop("h")
 
     def with_match(df):
         if ngrams is None:
             return df.withColumn("match", F.lit(0.0))
-        return dictionary_match(df, ngrams)
+        return (match_in_place if in_place else dictionary_match)(df, ngrams)
 
     if ledger is None:
         return with_fingerprint(_explode_matches(with_match(rows), config), config)
@@ -362,15 +369,23 @@ def detections(
 ) -> DataFrame:
     """Scored, masked and enriched detections of staged files.
 
-    ``stored``: ``staged`` is a written table. Else it is written here if ``ngrams`` or
-    ``commits`` are given, since it is then read again, for its distinct secrets and for
-    the files whose commits are needed; its secrets are sealed. ``predicted``: leave the detections that the
-    model takes for false in, with its ``prediction`` as the last column.
+    ``stored``: ``staged`` is a written table. Else its files with candidates are written
+    here, their secrets sealed, if they are read again: for their keys if ``commits`` are
+    given, and for their distinct secrets if ``ngrams`` does not fit the tasks.
+    ``predicted``: leave the detections that the model takes for false in, with its
+    ``prediction`` as the last column.
     """
     spark = staged.sparkSession
-    if not stored and (ngrams is not None or commits is not None):
-        staged = written(staged, "staged", seal=["hits"])
-    rows = candidate_hits(staged, config, ledger, ngrams)
+    in_place = ngrams is not None and fits_in_place(ngrams)
+    hit = staged if stored else staged.where(F.size("hits") > 0).select(*_FILE_COLUMNS, "hits")
+    if not stored and (commits is not None or (ngrams is not None and not in_place)):
+        staged, stored = written(hit, "staged", seal=["hits"]), True
+        hit = staged.drop("hits")
+    elif stored:
+        hit = staged.where(F.size("hits") > 0)
+    if stored and in_place:
+        in_place = hit.count() >= IN_PLACE_FILES
+    rows = candidate_hits(staged, config, ledger, ngrams, in_place)
     if not config.dedupe:
         rows = _repeat_searches(rows, config)
     rows = key_weight(rows, read_confidence(spark) if confidence is None else confidence)
@@ -402,7 +417,7 @@ def detections(
         if not predicted:
             rows = rows.where("prediction <> 0").drop("prediction")
     if commits is not None:
-        rows = attach_commits(rows, commits, _files_with_hits(staged, config))
+        rows = attach_commits(rows, commits, _keys_of(hit, config))
     rows = stamp(rows, config.as_of).withColumn(
         "Code", code_column(F.col("line"), F.col("secret"), config.unmask, config.compat_mask)
     )
@@ -412,10 +427,10 @@ def detections(
     return rows.select(*_output_columns(config, commits is not None), *shown)
 
 
-def _files_with_hits(staged, config):
-    """Owner, repository and path of each staged file with a candidate."""
-    hit = staged.where(F.size("hits") > 0).select("html_url")
-    return written(with_fetch_url(hit, config).select("owner", "repo", "file_path"), "hit-files")
+def _keys_of(hit, config):
+    """Owner, repository and path of each file with a candidate."""
+    files = with_fetch_url(hit.select("html_url"), config)
+    return written(files.select("owner", "repo", "file_path"), "hit-files")
 
 
 def _output_columns(config, with_commits):

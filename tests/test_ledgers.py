@@ -197,6 +197,27 @@ def test_no_scan_leaves_plain_secrets(spark, monkeypatch, max_rows):
     assert all(b"abcd1234" not in open(p, "rb").read() for p in left)
 
 
+def test_scans_store_files_with_candidates_only_and_score_many_in_place(spark, monkeypatch):
+    ngrams = spark.createDataFrame([("abc", 1.0), ("bcd", 2.0)], "ngram string, log_total double")
+    commits = spark.createDataFrame([], "owner string, repo string, file_path string, status int, body string")
+    landed = files(spark, ("f.py", 1, SECRET), ("g.py", 1, "import os\nimport token\nnothing here\n"))
+
+    def run(**inputs):
+        before = scratch_files(spark)
+        found = [tuple(r)[:9] for r in S.scan_creds(landed, CONFIG, ngrams=ngrams, **inputs).collect()]
+        left = scratch_files(spark) - before
+        return found, [p for p in left if p.endswith(".parquet")]
+
+    few, left = run(commits=commits)
+    staged = [p for p in left if "/staged-" in p]
+    assert len(few) == 1 and sum(spark.read.parquet(f"file:{p}").count() for p in staged) == 1
+    monkeypatch.setattr(S, "IN_PLACE_FILES", 0)
+    many, left = run(commits=commits)
+    assert few == many and any("/staged-" in p for p in left) and not any("/scores-" in p for p in left)
+    bare, left = run()
+    assert len(bare) == 1 and left == []
+
+
 def test_sealed_columns_come_back(spark):
     schema = "k int, s string, a array<struct<x:string,y:double,z:int>>"
     rows = [(1, "plain 'text' ü\n", [("u", 0.1, 2), (None, 1e-300, None)]), (2, None, None), (3, "", [])]

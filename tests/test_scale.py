@@ -51,6 +51,21 @@ def test_pieces_that_start_like_none_of_a_large_table_leave_before_the_shuffle(s
     }
 
 
+def test_secrets_are_scored_where_they_lie(spark):
+    grams = [("pas", 1.0), ("pass", 2.0), ("ass", 0.5), ("0a1", 3.0), ("äöü", 4.0), ("pass", 0.25), ("a b", 8.0), (None, 9.0)]
+    table = written(spark.createDataFrame(grams, "ngram string, log_total double"), "grams")
+    secrets = ["password", "PassPass", "x0A1y", "ÄÖÜß", "A \t B", "\U0001f511pass", "zz", "", None, "password"]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(secrets)], "id int, secret string")
+    scored = dictionary.match_in_place(df, table)
+    plan = plan_of(scored)
+    assert "join" not in plan and "aggregate" not in plan
+    assert scored.columns == ["id", "secret", "match"]
+    assert sorted(scored.collect()) == sorted(dictionary.dictionary_match(written(df, "secrets"), table).collect())
+    # A filter on the score does not ask for it twice.
+    assert plan_of(scored.where("match > 3")).count("arrowevalpython") == 1
+    assert scored.where("match > 3").count() == 6
+
+
 def test_reviews_are_computed_once_and_match_whole_values(spark):
     met = spark.sparkContext.accumulator(0)
 
