@@ -43,14 +43,25 @@ def fits_broadcast(table: DataFrame, max_rows=BROADCAST_ROWS) -> bool:
     return size.rows <= max_rows and (size.bytes or 0) <= BROADCAST_BYTES
 
 
-def semi_join(big: DataFrame, keys: DataFrame, on, max_rows=BROADCAST_ROWS) -> DataFrame:
+def semi_join(
+    big: DataFrame, keys: DataFrame, on, max_rows=BROADCAST_ROWS, task_rows=None
+) -> DataFrame:
     """Rows of ``big`` whose key is in the stored table ``keys``.
 
     Small ``keys`` are broadcast, so ``big`` stays where it is; others are left to
     the optimizer, which shuffles both sides. The rows are the same either way.
+    ``task_rows``: about as many keys a task at most if both sides are shuffled, for rows
+    that stand for more work than their bytes tell. Spark then neither puts tasks
+    together by bytes nor sorts the rows of ``big``. The keys are joined once each, as a
+    semi join would be moved below the shuffle.
     """
     if fits_broadcast(keys, max_rows):
         keys = F.broadcast(keys)
+    elif task_rows is not None:
+        on = [on] if isinstance(on, str) else list(on)
+        tasks = max(keys.sparkSession.sparkContext.defaultParallelism, -(-keys.count() // task_rows))
+        once = keys.select(*on).repartition(tasks, *on).distinct().hint("shuffle_hash")
+        return big.repartition(tasks, *on).join(once, on).select(*big.columns)
     return big.join(keys, on, "left_semi")
 
 

@@ -44,6 +44,9 @@ from credsieve.sources.lists import read_confidence
 #: fits the tasks; the distinct secrets of fewer are scored once and joined back.
 IN_PLACE_FILES = 100_000
 
+#: New files a task scans at most, about, if their bodies have to be shuffled.
+NEW_FILES_A_TASK = 100_000
+
 CREDS, KEYS = "creds", "keys"
 PUBLIC, ENTERPRISE, FILES = "public", "enterprise", "files"
 COMPAT, FIXED = "compat", "fixed"
@@ -204,18 +207,20 @@ def unscanned(files: DataFrame, scanned: DataFrame, config: ScanConfig) -> DataF
 
     Decided on URL, time and id alone; bodies of other files are not read, and those
     of the new ones are not shuffled while their ids are few enough to be broadcast.
+    URLs start alike, so a hash of them comes first where rows are sorted.
     """
     if not config.dedupe:
         raise ValueError("a scan of all versions has no newest one to go on from")
-    version = F.struct("indexed_at", "file_id")
+    version, key = F.struct("indexed_at", "file_id"), F.xxhash64("html_url").alias("_key")
     last = (
         scanned.where(F.col("search") == search_id(config))
-        .groupBy("html_url")
+        .groupBy(key, "html_url")
         .agg(F.max(version).alias("_last"))
     )
-    landed = files.select("file_id", "html_url", "indexed_at").join(last, "html_url", "left")
+    landed = files.select("file_id", "html_url", "indexed_at", key)
+    landed = landed.join(last, ["_key", "html_url"], "left")
     new = landed.where(F.col("_last").isNull() | (version > F.col("_last"))).select("file_id")
-    return semi_join(files, written(new, "new-files"), "file_id")
+    return semi_join(files, written(new, "new-files"), "file_id", task_rows=NEW_FILES_A_TASK)
 
 
 def stage_kinds(files: DataFrame, configs, keep=()) -> DataFrame:

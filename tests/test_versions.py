@@ -6,7 +6,9 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
+from credsieve.operators import partitioning
 from credsieve.operators.dictionary import dictionary_match
+from credsieve.operators.ledger import latest_per_url
 from credsieve.operators.weights import key_weight
 from credsieve.plans import scan as S
 from credsieve.functions.extract import key_candidates
@@ -138,6 +140,32 @@ def test_bodies_are_not_shuffled_to_leave_out_scanned_versions(spark):
     assert "BroadcastHashJoin" in text and "hashpartitioning" not in text
 
 
+def test_many_new_files_are_spread_by_their_number(spark, monkeypatch):
+    first = versions(spark, ("a.py", 1, SECRET), ("b.py", 1, SECRET))
+    scanned = run_scan(first, CONFIG)["scanned"]
+    later = versions(spark, *[(f"n{k}.py", 2, SECRET) for k in range(40)], ("a.py", 2, SECRET))
+    later = later.withColumn("file_id", F.col("file_id") + 100)
+    nameless = later.limit(1).withColumn("file_id", F.lit(None).cast("long"))
+    both = first.unionByName(later).unionByName(later.where("file_id < 103")).unionByName(nameless)
+    few = S.unscanned(both, scanned, CONFIG)
+    monkeypatch.setattr(partitioning, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(S, "NEW_FILES_A_TASK", 1, raising=False)
+    many = S.unscanned(both, scanned, CONFIG)
+    assert many.columns == few.columns == both.columns
+    assert sorted(many.collect()) == sorted(few.collect()) and many.count() == 44
+    assert many.rdd.getNumPartitions() == 45  # one id a task
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_urls_are_ranked_by_a_hash_first(spark):
+    files = versions(spark, ("a.py", 1, SECRET), ("a.py", 2, SECRET)).drop("content")
+    files = files.unionByName(files.withColumn("html_url", F.lit(None).cast("string")))
+    newest = latest_per_url(files)
+    assert [r.file_id for r in newest.collect()] == [1, 1]
+    assert "xxhash64" in newest._jdf.queryExecution().executedPlan().toString()
+
+
 def test_commits_of_other_files_are_left_out_first(spark):
     from credsieve import schemas
     from credsieve.operators.commits import attach_commits
