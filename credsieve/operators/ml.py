@@ -1,13 +1,14 @@
 """Random forest that tells real secrets from false positives."""
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.feature import OneHotEncoder, OneHotEncoderModel, StringIndexerModel, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from credsieve.operators import forest
 from credsieve.operators.features import CATEGORICAL, NUMERIC, with_features
-from credsieve.scratch import exists, remove
+from credsieve.scratch import exists, remove, written
 
 TREES = 500
 DEPTH = 3
@@ -60,11 +61,19 @@ def pipeline(labels, trees=TREES, depth=DEPTH, seed=123) -> Pipeline:
 
 
 def train(training: DataFrame, trees=TREES, depth=DEPTH, seed=123, **categories) -> PipelineModel:
-    """Fit on labelled training rows with features; two rows are the minimum."""
-    if training.limit(2).count() < 2:
+    """Fit on labelled training rows with features; two rows are the minimum.
+
+    The columns that a forest learns from are written once, as they are read several times;
+    secrets and lines are not among them.
+    """
+    rows = written(training.select(*NUMERIC, *CATEGORICAL, "Label"), "training-rows")
+    if rows.limit(2).count() < 2:
         raise ValueError("training needs at least two rows")
-    labels = categories_in(training, **categories)
-    return pipeline(labels, trees, depth, seed).fit(training)
+    labels = categories_in(rows, **categories)
+    *encoding, classifier = pipeline(labels, trees, depth, seed).getStages()
+    encoded = Pipeline(stages=encoding).fit(rows)
+    fitted = forest.fit(rows, forest.Layout(NUMERIC, dict(zip(CATEGORICAL, labels))), classifier)
+    return PipelineModel([*encoded.stages, fitted])
 
 
 def categories_of(model: PipelineModel) -> dict:
@@ -114,11 +123,35 @@ def load_forest(spark: SparkSession, path: str, keywords=None, extensions=None)
 
 
 def predict(df: DataFrame, model: PipelineModel) -> DataFrame:
-    """Rows with features and a ``prediction`` column."""
+    """Rows with features and a ``prediction`` column, what ``model`` says of them."""
+    layout = _layout(model)
+    found = layout and forest.asked(model.stages[-1], layout, df.sparkSession)
+    if found and found.most <= forest.MOST_LEAVES:
+        return forest.predicted(df, found)
     scored = model.transform(df)
     return scored.select(*df.columns, "prediction")
 
 
+def _layout(model: PipelineModel):
+    """The features of a model with the stages of ``pipeline``; None for another one."""
+    *indexers, encoder, assembler, classifier = model.stages if len(model.stages) > 3 else [None] * 3
+    kinds = (OneHotEncoderModel, VectorAssembler, RandomForestClassificationModel)
+    if not all(map(isinstance, (encoder, assembler, classifier), kinds)):
+        return None
+    layout = forest.Layout(NUMERIC, categories_of(model))
+    plain = pipeline([[""]] * len(CATEGORICAL)).getStages()
+    same = (
+        [s.getOutputCol() for s in indexers] == encoder.getInputCols() == plain[-3].getInputCols()
+        and [*layout.categories] == CATEGORICAL
+        and all(s.getHandleInvalid() == "keep" for s in (*indexers, encoder))
+        and not encoder.getDropLast()
+        and assembler.getInputCols() == plain[-2].getInputCols()
+        and classifier.numFeatures == layout.size
+        and not classifier.isSet("thresholds")
+    )
+    return layout if same else None
+
+
 def ml_filter(df: DataFrame, model: PipelineModel) -> DataFrame:
     """Detections predicted to be real, columns unchanged. A failure is raised."""
     return with_prediction(df, model).where("prediction <> 0").drop("prediction")
