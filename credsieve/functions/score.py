@@ -12,12 +12,11 @@ NGRAM_SIZES = (3, 4, 5)
 def shannon_entropy(s: Column) -> Column:
     """Entropy of the character distribution, natural logarithm."""
     chars = F.array_distinct(F.filter(F.split(s, ""), lambda c: c != ""))
-
-    def add(total, c):
-        p = (F.length(s) - F.length(F.replace(s, c, F.lit("")))) / F.length(s)
-        return total - p * F.ln(p)
-
-    return F.aggregate(chars, F.lit(0.0), add)
+    # Counted first, as a lambda computes what it names twice twice.
+    shares = F.transform(
+        chars, lambda c: (F.length(s) - F.length(F.replace(s, c, F.lit("")))) / F.length(s)
+    )
+    return F.aggregate(shares, F.lit(0.0), lambda total, p: total - p * F.ln(p))
 
 
 def occurrences(text: Column, word: Column) -> Column:

@@ -80,19 +80,23 @@ def fits_in_place(ngrams: DataFrame) -> bool:
 def match_in_place(df: DataFrame, ngrams: DataFrame, secret="secret") -> DataFrame:
     """The same ``match`` for a table that fits each task. The rows of ``df`` stay where
     they are and are read once: nothing is grouped, stored or joined back, so the work
-    grows with the rows alone. Each secret of a batch is scored once."""
+    grows with the rows alone. Each secret of a batch is scored once, and pieces are looked
+    up only where the text goes on like the start of one."""
     totals: dict = {}
     for piece, log_total in ngrams.select("ngram", "log_total").collect():
         if piece is not None and log_total is not None:
             totals[piece] = totals.get(piece, 0.0) + log_total
-    held, sizes = df.sparkSession.sparkContext.broadcast(totals), NGRAM_SIZES
+    sizes, head = NGRAM_SIZES, min(NGRAM_SIZES)
+    heads = frozenset(piece[:head] for piece in totals)
+    held = df.sparkSession.sparkContext.broadcast((totals, heads))
 
     @F.pandas_udf("double")
     def match(texts: pd.Series) -> pd.Series:
-        known = held.value
+        known, heads = held.value
 
         def score(text):
-            pieces = (text[i : i + n] for n in sizes for i in range(len(text) - n + 1))
+            starts = [i for i in range(len(text) - head + 1) if text[i : i + head] in heads]
+            pieces = (text[i : i + n] for n in sizes for i in starts if i + n <= len(text))
             return float(sum(known.get(piece, 0.0) for piece in pieces))
 
         scores = {text: 0.0 if text is None else score(text) for text in texts.unique()}

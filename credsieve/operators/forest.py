@@ -359,9 +359,6 @@ class Asked:
         def ruled_out(first, last):
             return kind.type(every & ~(((1 << (last - first + 1)) - 1) << first))
 
-        self.lowest = None
-        if bits <= 16:
-            self.lowest = np.array([(i & -i).bit_length() - 1 for i in range(1 << bits)])
         # Numeric: row b of a table holds, per tree, what b thresholds below the value leave.
         self.thresholds, self.tables = [], []
         for feature in range(len(layout.numeric)):
@@ -383,17 +380,20 @@ class Asked:
                     wrong = ~np.where(is_value, goes_left[1], goes_left[0])
                     table[wrong, t] &= ruled_out(first, last)
             self.tables.append(table)
-        # Shares of the classes in each leaf, as a tree votes.
-        self.votes = np.zeros((classes, len(leaves) * self.most))
+        # Shares of the classes in each leaf, as a tree votes; of trees with few leaves by the
+        # leaves that are left, else by the first of them.
+        self.by_rest = bits == 8
+        self.width = 1 << bits if self.by_rest else self.most
+        self.votes = np.zeros((len(leaves), classes, self.width))
         for t, own in enumerate(leaves):
-            for i, counts in enumerate(own):
-                if total := sum(counts):
-                    self.votes[:, t * self.most + i] = [c / total for c in counts]
-
-    def lowest_bit(self, left: np.ndarray) -> np.ndarray:
-        if self.lowest is not None:
-            return self.lowest[left]
-        # The logarithm of a power of two is exact.
+            shares = [[c / (sum(counts) or 1.0) for c in counts] for counts in own]
+            for i in range(self.width):
+                leaf = (i & -i).bit_length() - 1 if self.by_rest else i
+                if 0 <= leaf < len(own):
+                    self.votes[t, :, i] = shares[leaf]
+
+    def first_leaf(self, left: np.ndarray) -> np.ndarray:
+        """The number of the lowest bit: the logarithm of a power of two is exact."""
         return np.log2((left & (~left + left.dtype.type(1))).astype("float64")).astype("int64")
 
     def predictions(self, table: pd.DataFrame) -> np.ndarray:
@@ -404,17 +404,17 @@ class Asked:
         ]
         bins += [self.layout.numbers(k, table[c]) for k, c in enumerate(self.layout.categories)]
         said = np.empty(len(table))
-        trees = self.tables[0].shape[1]
-        first = np.arange(trees) * self.most
         for at in range(0, len(table), ASKED):
             part = slice(at, at + ASKED)
             left = self.tables[0][bins[0][part]]
             for own, numbers in zip(self.tables[1:], bins[1:]):
                 left &= own[numbers[part]]
-            leaf = first + self.lowest_bit(left)
-            # A running sum adds in the order of the trees, like Spark ML, so ties are the same.
-            votes = [own[leaf].cumsum(1)[:, -1] for own in self.votes]
-            said[part] = np.argmax(votes, axis=0)
+            leaf = np.ascontiguousarray((left if self.by_rest else self.first_leaf(left)).T)
+            # Added tree by tree, like Spark ML, so ties are the same.
+            total = np.zeros((self.votes.shape[1], leaf.shape[1]))
+            for own, at_leaf in zip(self.votes, leaf):
+                total += own.take(at_leaf, axis=1)
+            said[part] = np.argmax(total, axis=0)
         return said
 
 

@@ -245,3 +245,15 @@ def test_equal_secrets_are_scored_once(spark):
     assert scored.where("match = 2.0").count() == 3000
     plan = scored._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan  # the rows themselves are never grouped
+
+
+def test_strings_of_a_row_are_sealed_together(spark):
+    schema = "a string, k int, b string, c string, `d.e` int"
+    rows = [("Ü\U0001f511x", 1, "", "abcd1234", 5), (None, 2, "abcd1234", None, 6), (None, 3, None, None, 7), ("-" * 10, 4, "0", "\n\x00", 8)]
+    table = written(spark.createDataFrame(rows, schema), "sealed", seal=["a", "b", "c"])
+    assert sorted((tuple(r) for r in table.collect()), key=lambda r: r[1]) == rows
+    stored = spark.read.parquet(table.scratch_path)
+    assert dict(stored.dtypes) == {"a": "binary", "k": "int", "d.e": "int"}
+    assert not any(b"abcd1234" in bytes(r.a) for r in stored.collect())
+    plan = table.where("b = 'abcd1234'").select("c")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aesDecrypt") == 1
