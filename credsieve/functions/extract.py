@@ -9,6 +9,8 @@ from credsieve.functions.common import let, literal_strings
 
 MIN_TOKEN = 7
 MAX_CANDIDATES = 20
+#: Stop words that are given to Spark one by one, a call each.
+MOST_SINGLE_WORDS = 256
 
 _NO_STRINGS = "array<string>"
 
@@ -86,17 +88,26 @@ def _key_matches(text, runs, patterns):
 
 def is_cred_token(t: Column, stop_words=R.STOP_WORDS) -> Column:
     """Long enough, no stop word, no escape/hex/rfc/http text, a digit and a letter."""
-    low = F.lower(t)
-    return (
-        (F.length(t) >= MIN_TOKEN)
-        & t.rlike("[0-9]")
-        & t.rlike("[a-zA-Z]")
-        & ~low.startswith("u0")
-        & ~low.startswith("0x")
-        & ~low.startswith("rfc")
-        & ~low.contains("http")
-        & ~F.array_contains(literal_strings(stop_words), t)
-    )
+    return (F.length(t) >= MIN_TOKEN) & _digit_and_letter(t) & _is_no_noise(t, stop_words)
+
+
+def _digit_and_letter(t: Column) -> Column:
+    return t.rlike("[0123456789]") & t.rlike("[a-zA-Z]")
+
+
+def _is_no_noise(t: Column, stop_words) -> Column:
+    """No stop word, no escape/hex/rfc/http text."""
+
+    def plain(low):
+        starts = low.startswith("u0") | low.startswith("0x") | low.startswith("rfc")
+        return ~(starts | low.contains("http"))
+
+    # Constants given one by one are looked up by hash, an array of them is searched through.
+    if 0 < len(stop_words) <= MOST_SINGLE_WORDS:
+        stopped = t.isin(list(stop_words))
+    else:
+        stopped = F.array_contains(literal_strings(stop_words), t)
+    return ~stopped & let(F.lower(t), plain)
 
 
 def cred_candidates(c: Column, stop_words=R.STOP_WORDS) -> Column:
@@ -107,20 +118,23 @@ def cred_candidates(c: Column, stop_words=R.STOP_WORDS) -> Column:
     them are split further, after those without a digit or letter are gone.
     """
     run = rf"[^{_SPACE}{char_class(R.CRED_NOISE)}]{{{MIN_TOKEN},}}"
-    runs = F.filter(
-        F.regexp_extract_all(c, F.lit(run), F.lit(0)),
-        lambda t: t.rlike("[0123456789]") & t.rlike("[a-zA-Z]"),
-    )
-    inner = F.lit(f"[^{_RARE_SPACE}]{{{MIN_TOKEN},}}")
-    tokens = F.flatten(
-        F.transform(
-            runs,
-            lambda t: F.when(
-                t.rlike(f"[{_RARE_SPACE}]"), F.regexp_extract_all(t, inner, F.lit(0))
-            ).otherwise(F.array(t)),
+    inner, rare = F.lit(f"[^{_RARE_SPACE}]{{{MIN_TOKEN},}}"), f"[{_RARE_SPACE}]"
+
+    def split_further(runs):
+        parts = F.flatten(
+            F.transform(
+                runs,
+                lambda t: F.when(t.rlike(rare), F.regexp_extract_all(t, inner, F.lit(0))).otherwise(
+                    F.array(t)
+                ),
+            )
         )
-    )
-    return F.array_distinct(F.filter(tokens, lambda t: is_cred_token(t, stop_words)))
+        # Runs as they are have a digit and a letter already.
+        return F.when(F.exists(runs, lambda t: t.rlike(rare)), F.filter(parts, _digit_and_letter)).otherwise(runs)
+
+    runs = F.filter(F.regexp_extract_all(c, F.lit(run), F.lit(0)), _digit_and_letter)
+    tokens = let(runs, split_further)
+    return F.array_distinct(F.filter(tokens, lambda t: _is_no_noise(t, stop_words)))
 
 
 def cred_tokens(c: Column, stop_words=R.STOP_WORDS) -> Column:

@@ -20,9 +20,9 @@ def shannon_entropy(s: Column) -> Column:
 
 
 def occurrences(text: Column, word: Column) -> Column:
-    """Non-overlapping occurrences of a non-empty word."""
-    rest = F.length(F.replace(text, word, F.lit("")))
-    return ((F.length(text) - rest) / F.length(word)).cast("int")
+    """Non-overlapping occurrences of a non-empty word; bytes are known without counting."""
+    rest = F.octet_length(F.replace(text, word, F.lit("")))
+    return ((F.octet_length(text) - rest) / F.octet_length(word)).cast("int")
 
 
 def keyword_count(content: Column, keyword: Column) -> Column:

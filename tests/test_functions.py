@@ -217,3 +217,27 @@ def test_megabytes_on_one_line(spark, text):
         F.size(extract.key_candidates(clean.clean_for_keys(content))),
         clean.url_count(content, clean.strip_links(content)),
     ).collect()
+
+
+def test_occurrences_of_long_characters(spark):
+    row = spark.createDataFrame([("üxüüx🔑ü🔑", "", None)], "t string, e string, n string")
+    for word, n in (("ü", 4), ("üx", 2), ("🔑", 2), ("üü", 1), ("y", 0)):
+        counts = row.select(*[score.occurrences(F.col(c), F.lit(word)) for c in ("t", "e", "n")]).first()
+        assert tuple(counts) == (n, 0, None)
+
+
+@pytest.mark.parametrize("most", [0, 256])
+def test_tokens_are_those_of_the_full_list(spark, monkeypatch, most):
+    """Also when many stop words are given, and with spaces of all kinds inside."""
+    monkeypatch.setattr(extract, "MOST_SINGLE_WORDS", most)
+    texts = [
+        "abcdefg1 static1 U0bcdef1 0Xabcdef RFCabc12 ahTTpb12 1234567 abcdefg abc1", "a\u2003bcdefgh1\u2003x abcdef\u20282",
+        "\u2003abcdefg1\u3000hijklmn2 abcdefg1", "", None, "Åbcdef12 \U0001f511abcde1", "abcdefg1\u2003abcdefg", "Kubernetes1\u212a",
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for words in (extract.R.STOP_WORDS, (), ("abcdefg1",)):
+        found = extract.cred_candidates(F.col("t"), words), extract.cred_tokens(F.col("t"), words)
+        rows = df.select(*found).collect()
+        assert [r[0] for r in rows] == [r[1] for r in rows]
+    assert [r[0] for r in rows[:3]] == [["static1"], ["bcdefgh1"], ["hijklmn2"]]
+    assert rows[5][0] == ["Åbcdef12", "\U0001f511abcde1"]
