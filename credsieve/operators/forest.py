@@ -25,8 +25,8 @@ from credsieve.scratch import new_path, remove, written
 CHUNK, PARTS = 4096, 32
 #: Rows that the bins are found from, as Spark ML has it, and rows asked at once.
 BIN_ROWS, ASKED = 10_000, 1024
-#: Leaves of a tree up to which it is asked by bins.
-MOST_LEAVES = 64
+#: Leaves of a tree up to which it is asked by bins, and classes, as many as Spark ML takes.
+MOST_LEAVES, MOST_CLASSES = 64, 100
 
 
 class Layout:
@@ -208,6 +208,8 @@ def fit(rows: DataFrame, layout: Layout, classifier) -> RandomForestClassificati
     rows = _checked(rows, layout)
     size = rows.agg(F.count("*").alias("n"), F.max("Label").alias("last")).first()
     classes = int(size.last) + 1
+    if classes > MOST_CLASSES:
+        raise ValueError(f"labels go up to {classes - 1}, beyond {MOST_CLASSES} classes")
     share = min(1.0, max(most * most, BIN_ROWS) / size.n)
     sample = rows.select(*layout.numeric) if share == 1 else rows.select(*layout.numeric).sample(share, seed)
     met = sample.toPandas()
